@@ -32,9 +32,8 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits joined by one space; null where there are none."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.length(plain) > 0, plain)
+    """Lower-case runs of letters and digits joined by one space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def scrambled(x):

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import bpe, langid, minhash, mixing, pii
 from .common import read
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    data = Path(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+    return bpe.digests(read(spark, sf_dir, "documents"), data, public_tokenizers.PATTERN)
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document; the first of a class is kept."""
+    found = minhash.classes(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows outside the test fold only."""
     docs = read(spark, sf_dir, "documents")
@@ -16,5 +31,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op4_language_id": op4_language_id}
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for personal data."""
+    return pii.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_language_id": op4_language_id, "op8_pii_surrogates": op8_pii_surrogates, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
