@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, pii
+from . import ann, bpe, hnsw, langid, minhash, mixing, pii, secrets
 from .common import read
 
 
@@ -31,15 +31,33 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose vec_id is divisible by 20."""
+    vectors = ann.usable(read(spark, sf_dir, "embeddings"))
+    found = ann.search(vectors, vectors.filter("id % 20 = 0"), 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op7_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    found = hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates for personal data."""
     return pii.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digests(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_language_id": op4_language_id, "op8_pii_surrogates": op8_pii_surrogates, "op10_mixing": op10_mixing}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash_near_dedup, op4_language_id, op5_additive_quantisation, op7_hnsw_near_dedup, op8_pii_surrogates, op9_secret_scan, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
