@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hnsw, langid, minhash, mixing, pii, secrets
+from . import ann, bpe, hnsw, langid, licenses, minhash, mixing, packing, pii, secrets
 from .common import read
 
 
@@ -24,6 +24,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
+def op3_token_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Every document's ids in packed rows."""
+    data = Path(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+    return packing.tokenize_and_pack(read(spark, sf_dir, "documents"), data, public_tokenizers.PATTERN)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows outside the test fold only."""
     docs = read(spark, sf_dir, "documents")
@@ -38,6 +44,12 @@ def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document; its source is its directory."""
+    docs = read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return licenses.scan(docs, carry=("doc_id",)).select("doc_id", "path", "licence", "cosine", "origin")
+
+
 def op7_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     found = hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
@@ -59,5 +71,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash_near_dedup, op4_language_id, op5_additive_quantisation, op7_hnsw_near_dedup, op8_pii_surrogates, op9_secret_scan, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash_near_dedup, op3_token_packing, op4_language_id, op5_additive_quantisation, op6_license_scan, op7_hnsw_near_dedup, op8_pii_surrogates, op9_secret_scan, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
