@@ -131,10 +131,11 @@ def _verified(threshold: float):
     return run
 
 
-def verify(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Only texts of some pair are dealt out."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(signed.select("id", "shingles").join(needed, "id", "left_semi"))
+def verify(pairs: DataFrame, signed: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough. Shingles are dealt out once, and those of some pair again."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(chosen, "id")
+    texts = signed.select("id", F.col("content").alias("own"), "shingles").join(needed, "id").filter("own = content")
+    texts = written(texts.select("id", "shingles").dropDuplicates(["id"]))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long"))
 
@@ -154,13 +155,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     copies = written(usable.groupBy("content").agg(F.min("id").alias("first")))
     members = usable.select("id", "content").join(copies, "content")
     # rows that share an id count as one document, with the least of their contents
-    chosen = copies.groupBy("first").agg(F.min("content").alias("content")).withColumnRenamed("first", "id")
-    signed = written(usable.join(chosen, ["id", "content"], "left_semi").dropDuplicates(["id"]))
-    bands = signed.select("id", F.explode("bands").alias("band"))
+    chosen = written(copies.groupBy("first").agg(F.min("content").alias("content")).withColumnRenamed("first", "id"))
+    first = usable.select("id", F.col("content").alias("own"), "bands").join(chosen, "id").filter("own = content").dropDuplicates(["id"])
+    bands = first.select("id", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("band", "hub")
     shared = written(bands.join(hubs, "band"))
     tried = written(shared.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    links = verify(tried, signed, threshold)
+    links = verify(tried, usable, chosen, threshold)
     found = written(connected(links))
 
     where = shared.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
@@ -170,7 +171,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     across = open_rows.withColumnRenamed("id", "a").join(other, "band").filter("c <> d and a > b").select("a", "b").distinct()
     across = written(across.join(tried, ["a", "b"], "left_anti"))
     if not across.isEmpty():
-        links = links.unionByName(verify(across, signed, threshold))
+        links = links.unionByName(verify(across, usable, chosen, threshold))
         found = written(connected(links))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
