@@ -191,10 +191,10 @@ def replaced(docs: DataFrame, key: str = "millrace", text_col: str = "text") ->
     mentions = mentions.withColumn("canonical", _canonical(F.col("kind"), F.col("value")))
     real = (F.col("kind") != "card") | (_luhn(F.col("canonical")) == 0)
     mentions = written(mentions.withColumn("kind", F.when(real, F.col("kind"))))
+    sex = F.min(F.when(F.col("kind") == "name", F.nullif(_sex(F.col("value")), F.lit("n"))))
+    entities = mentions.filter("kind is not null").groupBy("kind", "canonical").agg(F.coalesce(sex, F.lit("n")).alias("sex"))
     script = F.when(F.col("canonical").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    bare = F.regexp_replace("value", rf"^(?:{_TITLES})\.? ", "")
-    found = mentions.filter("kind is not null").select("kind", "canonical", _sex(F.col("value")).alias("sex"), script.alias("script"), bare.contains(" ").alias("given"))
-    entities = found.groupBy("kind", "canonical", "script", "given").agg(F.min(F.when(F.col("sex") != "n", F.col("sex"))).alias("sex")).withColumn("sex", F.coalesce("sex", F.lit("n")))
+    entities = entities.withColumns({"script": script, "given": F.col("canonical").contains(" ")})
     table = surrogates(entities, key)
     shown = mentions.join(table, ["kind", "canonical"], "left").select("_content", F.struct("pos", F.when(F.col("surrogate").isNotNull(), _rendered(F.col("kind"), F.col("value"), F.col("surrogate"))).otherwise(F.col("value")).alias("new")).alias("x"), F.col("surrogate").isNotNull().cast("long").alias("is_new"))
     each = shown.groupBy("_content").agg(F.sort_array(F.collect_list("x")).alias("_new"), F.sum("is_new").alias("_number"))
