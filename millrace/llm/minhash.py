@@ -5,8 +5,9 @@ Every element sends a Poisson process of arrivals (rate: its weight) to the sign
 slot keeps the element that came first. Two slots agree with the probability Jaccard similarity of
 the two weighted sets. A document's processes end as soon as no arrival can come before the latest
 first arrival of its slots. Documents that share a band of slots are candidates; a candidate is a
-link if the plain or the probability Jaccard similarity, computed exactly from all shingles, is at
-least the threshold.
+link if the Jaccard similarity of their shingle sets, computed exactly from all shingles, is at least
+the threshold. Weights are damped, 1 + ln n for n occurrences, so the similarity that a signature
+estimates stays near the one that is tested.
 
 Defined results: a null or wordless text links with nothing. A text of one to four words has one
 shingle, of all its words. Letter case, punctuation and white space don't count. Copies of one
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scrambled, words, written
@@ -69,7 +70,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
 
 
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """The probability Jaccard similarity of two weighted sets of distinct elements."""
+    """The probability Jaccard similarity of two weighted sets of distinct elements: what signatures estimate."""
     both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
@@ -83,12 +84,12 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """The greater of plain and probability Jaccard of two texts' sorted shingle hashes."""
-    (x, wx), (y, wy) = (np.unique(np.frombuffer(t, np.uint32), return_counts=True) for t in (a, b))
+    """Jaccard similarity of two texts by their sorted distinct shingle hashes."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     if not len(x) or not len(y):
         return 0.0
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return max(common / (len(x) + len(y) - common), probability_jaccard(x, wx, y, wy))
+    return common / (len(x) + len(y) - common)
 
 
 def _signed(batches):
@@ -108,14 +109,14 @@ def _signed(batches):
             first = np.ones(len(made), bool)
             first[1:] = (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])
             at = np.flatnonzero(first)
-            keys = signatures(made[at], np.diff(at, append=len(made)).astype(float), owner[at], len(ends), BANDS * ROWS)
+            keys = signatures(made[at], 1 + np.log(np.diff(at, append=len(made))), owner[at], len(ends), BANDS * ROWS)
             slots = (keys & np.uint64((1 << NAME_BITS) - 1)).reshape(len(ends), BANDS, ROWS)
             band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(ends), BANDS))
             for i in range(ROWS):
                 band = scrambled(band * np.uint64(31) + slots[:, :, i])
             small = (made >> np.uint64(32)).astype(np.uint32)
             starts = ends - np.diff(ends, prepend=0)
-            packed = [np.sort(small[a:b]).tobytes() for a, b in zip(starts, ends, strict=True)]
+            packed = [np.unique(small[a:b]).tobytes() for a, b in zip(starts, ends, strict=True)]
             some = np.diff(ends, prepend=0) > 0
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(band[some].reshape(-1).view(np.int64)))
             yield pa.record_batch([rows.column(0), rows.column(1), bands, pa.array(packed, pa.binary())], ["id", "content", "bands", "shingles"])
@@ -131,51 +132,77 @@ def _verified(threshold: float):
     return run
 
 
-def verify(pairs: DataFrame, signed: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
+def _prefixed(batches):
+    """(id, c, size, s): the distinct shingles of each text, one row for each."""
+    for batch in batches:
+        for i, c, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            s = np.frombuffer(data, np.uint32).astype(np.int64)
+            yield pa.record_batch([pa.array(np.full(len(s), x)) for x in (i, c, len(s))] + [pa.array(s)], ["id", "c", "size", "s"])
+
+
+def verify(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough. Shingles are dealt out once, and those of some pair again."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(chosen, "id")
-    texts = signed.select("id", F.col("content").alias("own"), "shingles").join(needed, "id").filter("own = content")
-    texts = written(texts.select("id", "shingles").dropDuplicates(["id"]))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = written(signed.select("id", "content", "shingles").join(needed, "id", "left_semi").dropDuplicates(["id", "content"]).select("id", "shingles"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long"))
 
 
+def across(open_rows: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of `open_rows` (id, c) in different classes c that may reach the threshold: all that do are among them.
+
+    Two sets of that similarity share one of the rarest shingles of each (the first n - ceil(threshold n) + 1
+    in one order for all, the rarest first), and the first that they share stands so early in both that enough
+    can follow. So texts that have only a passage or the ground of a group of copies in common, however
+    many they are, never meet.
+    """
+    texts = signed.select("id", "content", "shingles").join(open_rows, "id").dropDuplicates(["id", "content"]).select("id", "c", "shingles")
+    each = written(texts.mapInArrow(_prefixed, "id long, c long, size long, s long"))
+    number = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "s"))
+    first = each.join(number, "s").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).filter("low < high")
+    first = written(first.select("s", "id", "c", "size", "rank"))
+    other = first.select("s", F.col("id").alias("b"), F.col("c").alias("d"), F.col("size").alias("size_b"), F.col("rank").alias("rank_b"))
+    # behind the first element that both share, at most so many more are common
+    enough = 1 + F.least(F.col("size") - F.col("rank"), F.col("size_b") - F.col("rank_b")) >= threshold / (1 + threshold) * (F.col("size") + F.col("size_b")) - 1e-9
+    return first.withColumnRenamed("id", "a").join(other, "s").filter(enough & F.expr("c <> d and a > b")).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, n_links) for each row of `docs`: the least id of its near-duplicate class, and how many
     other distinct texts were linked to its text while the class was found.
 
-    Pass 1 checks each bucket's members against its least member. Pass 2 checks, in buckets whose
-    members are still in more than one class, all pairs across classes; so no candidate link between
-    two classes is lost, and a bucket of one class (the large ones) costs its size, not its square.
+    Pass 1 checks each bucket's members against its central one, which shares the most buckets with
+    others: the text that a group of near copies was made from. Pass 2 looks, among the members of buckets
+    that are still in more than one class, for all links across classes. So no candidate link between two
+    classes is lost, and a bucket of one class (the large ones) costs its size, not its square.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("p")).select("id", F.when(F.col("p") != "", F.col("p")).alias("p"))
     rows = plain.select("id", F.md5("p").alias("content"), F.transform(F.split("p", " "), lambda w: F.xxhash64(w)).alias("w"))
-    all_signed = written(rows.mapInArrow(_signed, "id long, content string, bands array<long>, shingles binary"))
-    usable = all_signed.filter("id is not null and content is not null")
-    copies = written(usable.groupBy("content").agg(F.min("id").alias("first")))
-    members = usable.select("id", "content").join(copies, "content")
-    # rows that share an id count as one document, with the least of their contents
-    chosen = written(copies.groupBy("first").agg(F.min("content").alias("content")).withColumnRenamed("first", "id"))
-    first = usable.select("id", F.col("content").alias("own"), "bands").join(chosen, "id").filter("own = content").dropDuplicates(["id"])
-    bands = first.select("id", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("band", "hub")
-    shared = written(bands.join(hubs, "band"))
-    tried = written(shared.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    links = verify(tried, usable, chosen, threshold)
+    signed = written(rows.mapInArrow(_signed, "id long, content string, bands array<long>, shingles binary"))
+    usable = signed.filter("id is not null and content is not null")
+    # rows that share an id count as one document, linked if any of their texts is
+    copies = written(usable.groupBy("content").agg(F.min(F.struct("id", "bands")).alias("x")).select("content", "x.id", "x.bands"))
+    bands = copies.select("id", F.explode("bands").alias("band"))
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(bands.join(sizes, "band"))
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(weight, "id").groupBy("band").agg(F.max_by("id", F.struct(F.col("weight"), -F.col("id"))).alias("hub"))
+    pairs = shared.join(hubs, "band").filter("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    links = verify(written(pairs), usable, threshold)
     found = written(connected(links))
 
     where = shared.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     split = where.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
-    open_rows = written(where.join(split, "band", "left_semi"))
-    other = open_rows.select("band", F.col("id").alias("b"), F.col("c").alias("d"))
-    across = open_rows.withColumnRenamed("id", "a").join(other, "band").filter("c <> d and a > b").select("a", "b").distinct()
-    across = written(across.join(tried, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        links = links.unionByName(verify(across, usable, chosen, threshold))
-        found = written(connected(links))
+    open_rows = written(where.join(split, "band", "left_semi").select("id", "c").distinct())
+    if not open_rows.isEmpty():
+        more = verify(written(across(open_rows, usable, threshold)), usable, threshold)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = written(connected(links))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_first = found.join(degree, "id", "left")
-    known = members.join(of_first.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rest = all_signed.filter("id is null or content is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    of_text = copies.select("content", F.col("id").alias("first")).join(found.join(degree, "id"), F.col("first") == F.col("id"), "left").select("content", F.coalesce("component", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = usable.select("id", "content").join(of_text, "content").select("id", "class_id", "n_links")
+    rest = signed.filter("id is null or content is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return known.unionByName(rest)
