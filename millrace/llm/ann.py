@@ -23,7 +23,7 @@ from .common import written
 #: Codebooks, words in each, width of the beam, and rows of the training sample at most.
 BOOKS, CODES, BEAM, SAMPLE = 12, 256, 8, 12_000
 #: Candidates of each query that are reranked; rows and queries in a block.
-REFINE, BLOCK, QUERY_BLOCK = 240, 8192, 1024
+REFINE, BLOCK, QUERY_BLOCK = 240, 131_072, 256
 _ROUNDS = 8
 
 
@@ -81,8 +81,8 @@ def _coded(books: np.ndarray):
         for batch in batches:
             dim = books.shape[2]
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            for start in range(0, len(x), BLOCK // 8):
-                part = x[start : start + BLOCK // 8]
+            for start in range(0, len(x), 1024):
+                part = x[start : start + 1024]
                 codes, norm = encode(part, books)
                 scale = np.linalg.norm(part, axis=1) / np.maximum(norm, 1e-20)
                 yield pa.record_batch([batch.column(0).slice(start, len(part)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32))], ["id", "code", "scale"])
