@@ -132,12 +132,12 @@ def _verified(threshold: float):
     return run
 
 
-def _prefixed(batches):
-    """(id, c, size, s): the distinct shingles of each text, one row for each."""
+def _listed(batches):
+    """(id, s): the distinct shingles of each text, one row for each."""
     for batch in batches:
-        for i, c, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            s = np.frombuffer(data, np.uint32).astype(np.int64)
-            yield pa.record_batch([pa.array(np.full(len(s), x)) for x in (i, c, len(s))] + [pa.array(s)], ["id", "c", "size", "s"])
+        for i, data in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            s = np.frombuffer(data, np.int32)
+            yield pa.record_batch([pa.array(np.full(len(s), i)), pa.array(s)], ["id", "s"])
 
 
 def verify(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
@@ -156,12 +156,18 @@ def across(open_rows: DataFrame, signed: DataFrame, threshold: float) -> DataFra
     can follow. So texts that have only a passage or the ground of a group of copies in common, however
     many they are, never meet.
     """
-    texts = signed.select("id", "content", "shingles").join(open_rows, "id").dropDuplicates(["id", "content"]).select("id", "c", "shingles")
-    each = written(texts.mapInArrow(_prefixed, "id long, c long, size long, s long"))
-    number = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "s"))
-    first = each.join(number, "s").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).filter("low < high")
+    texts = signed.select("id", "content", "shingles").join(open_rows.select("id"), "id", "left_semi").dropDuplicates(["id", "content"]).select("id", "shingles")
+    each = written(texts.mapInArrow(_listed, "id long, s int"))
+    sizes = open_rows.join(each.groupBy("id").agg(F.count(F.lit(1)).alias("size")), "id")
+    # shingles of one text only stand first, and need not move: their number is enough
+    number = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = Window.partitionBy("id")
+    rank = F.row_number().over(own.orderBy("n", "s")) - F.count(F.lit(1)).over(own)
+    ranked = each.join(number, "s").withColumn("back", rank).join(sizes, "id").withColumn("rank", F.col("size") + F.col("back"))
+    first = ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
     first = written(first.select("s", "id", "c", "size", "rank"))
+    apart = first.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("s")
+    first = first.join(apart, "s", "left_semi")
     other = first.select("s", F.col("id").alias("b"), F.col("c").alias("d"), F.col("size").alias("size_b"), F.col("rank").alias("rank_b"))
     # behind the first element that both share, at most so many more are common
     enough = 1 + F.least(F.col("size") - F.col("rank"), F.col("size_b") - F.col("rank_b")) >= threshold / (1 + threshold) * (F.col("size") + F.col("size_b")) - 1e-9
