@@ -69,8 +69,8 @@ QUERIES = {
     "t7_replace_some": (lambda s, d: text.replace_some(_docs(s, d), r"(?P<first>\w)(\w+)", "$2${first}", 2).select("doc_id", F.md5("text").alias("md5"), "replace_count"), None),
     "t8_match_census": (lambda s, d: text.match_census(_docs(s, d), _PATTERNS), f"SELECT name, lang, count(*) FILTER (WHERE n > 0) AS docs, CAST(sum(n) AS BIGINT) AS matches FROM ({_CENSUS}) GROUP BY 1, 2"),
     "t9_shape_profile": (
-        lambda s, d: text.shape_profile(table(s, d, "part").withColumn("v", F.regexp_replace(F.concat_ws(" - ", "p_name", "p_brand", "p_type"), r"\d", "0")), "v"),
-        f"SELECT shape, count(*) AS n, min(v) AS example FROM (SELECT v, {_SHAPE} AS shape FROM (SELECT regexp_replace(concat_ws(' - ', p_name, p_brand, p_type), '[0-9]', '0', 'g') AS v FROM part)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
+        lambda s, d: text.shape_profile(table(s, d, "part").withColumn("v", F.regexp_replace(F.concat_ws(" - ", "p_name", "p_brand", "p_type"), r"\d+", "00")), "v"),
+        f"SELECT shape, count(*) AS n, min(v) AS example FROM (SELECT v, {_SHAPE} AS shape FROM (SELECT regexp_replace(concat_ws(' - ', p_name, p_brand, p_type), '[0-9]+', '00', 'g') AS v FROM part)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
     ),
     "t10_b64_sweep": (
         lambda s, d: codec.b64_sweep(_docs(s, d)).select("doc_id", "token", "bytes"),
@@ -82,7 +82,7 @@ QUERIES = {
     ),
     "t12_escape_census": (
         lambda s, d: codec.escape_census(_docs(s, d).filter(~F.col("text").contains("\\")).withColumn("v", F.concat(F.regexp_replace("text", "qu", r"\\\\u0071\\\\u0075"), F.lit("&#x41; U+0041 %u0041"))), "v", "lang"),
-        "SELECT lang, form, count(*) FILTER (WHERE n > 0) AS \"values\", CAST(sum(n) AS BIGINT) AS n FROM (SELECT lang, unnest(['unicode', 'es6', 'double', 'percent', 'codepoint', 'html']) AS form, unnest([2 * ((length(text) - length(replace(text, 'qu', ''))) // 2), 0, 0, 1, 1, 1]) AS n FROM documents WHERE NOT contains(text, chr(92))) GROUP BY 1, 2",
+        "SELECT lang, form, count(*) FILTER (WHERE n > 0) AS \"values\", CAST(sum(n) AS BIGINT) AS n FROM (SELECT lang, unnest(['unicode', 'es6', 'double', 'percent', 'codepoint', 'html']) AS form, unnest([0, 0, 2 * ((length(text) - length(replace(text, 'qu', ''))) // 2), 1, 1, 1]) AS n FROM documents WHERE NOT contains(text, chr(92))) GROUP BY 1, 2",
     ),
     "t13_unescape": (lambda s, d: codec.unescape(_docs(s, d).withColumn("v", F.regexp_replace("text", "qu", r"\\\\u0071\\\\u0075")), "doc_id", "v"), "SELECT doc_id, text, CAST(NULL AS VARCHAR) AS error FROM documents WHERE contains(text, 'qu')"),
     "t14_tidy_spacing": (lambda s, d: _docs(s, d).select("doc_id", F.md5(text.tidy_spacing(F.col("text"))).alias("md5")), "SELECT doc_id, md5(regexp_replace(text, '[ \\t]{2,}', ' ', 'g')) AS md5 FROM documents"),
