@@ -21,6 +21,8 @@ _LINES = "(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS po
 _PATTERNS = {"mail": "[A-Za-z0-9._]+@[a-z0-9.]+", "number": "[0-9]{4,}", "the": "(?i)\\bthe\\b"}
 _CENSUS = " UNION ALL ".join(f"SELECT '{n}' AS name, lang, len(regexp_extract_all(text, '{p}')) AS n FROM documents" for n, p in _PATTERNS.items())
 _SHAPE = r"replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '([^A-Za-z0-9_ ])', chr(57344) || '\1', 'g'), '[A-Za-z_][A-Za-z0-9_]*', chr(57345), 'g'), ' +', chr(57346), 'g'), '00', '\\d{2}', 'g'), chr(57345), '\w+'), chr(57346), '\s+'), chr(57344), '\')"
+_MARKED = r"regexp_replace(regexp_replace(regexp_replace(v, '([^A-Za-z0-9_\s])', chr(57344) || '\1', 'g'), '[A-Za-z_][A-Za-z0-9_]*', chr(57345), 'g'), '\s+', chr(57346), 'g')"
+_SHAPE_RUNS = rf"replace(replace(replace(array_to_string(list_transform(string_split_regex({_MARKED}, '[0-9]+'), lambda g, i: g || coalesce('\d{{' || length(regexp_extract_all({_MARKED}, '[0-9]+')[i]) || '}}', '')), ''), chr(57345), '\w+'), chr(57346), '\s+'), chr(57344), '\')"
 _REASON = "CASE WHEN t = '' THEN 'empty' WHEN starts_with(t, '-') THEN 'negative' WHEN len(regexp_extract_all(t, '[.]')) > 1 THEN 'dots' END"
 
 
@@ -72,6 +74,10 @@ QUERIES = {
         lambda s, d: text.shape_profile(table(s, d, "part").withColumn("v", F.regexp_replace(F.concat_ws(" - ", "p_name", "p_brand", "p_type"), r"\d+", "00")), "v"),
         f"SELECT shape, count(*) AS n, min(v) AS example FROM (SELECT v, {_SHAPE} AS shape FROM (SELECT regexp_replace(concat_ws(' - ', p_name, p_brand, p_type), '[0-9]+', '00', 'g') AS v FROM part)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
     ),
+    "t9_shape_runs": (
+        lambda s, d: text.shape_profile(table(s, d, "part").withColumn("v", F.concat_ws(" - ", "p_name", "p_brand", "p_type")), "v"),
+        f"SELECT shape, count(*) AS n, min(v) AS example FROM (SELECT v, {_SHAPE_RUNS} AS shape FROM (SELECT concat_ws(' - ', p_name, p_brand, p_type) AS v FROM part)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
+    ),
     "t10_b64_sweep": (
         lambda s, d: codec.b64_sweep(_docs(s, d)).select("doc_id", "token", "bytes"),
         "SELECT doc_id, token, length(rtrim(token, '=')) * 3 // 4 AS bytes FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9+/_=-]+', ' ', 'g'), '(?:^| )([A-Za-z0-9+/_-]{24,}={0,2})(?: |$)', 1)) AS token FROM documents) WHERE length(rtrim(token, '=')) % 4 <> 1",
@@ -81,7 +87,7 @@ QUERIES = {
         "SELECT doc_id, md5(translate(to_base64(encode(text)), '+/', '-_')) AS md5, CAST(length(to_base64(encode(text))) + greatest(0, (length(to_base64(encode(text))) - 1) // 76) AS BIGINT) AS wrapped_chars FROM documents",
     ),
     "t12_escape_census": (
-        lambda s, d: codec.escape_census(_docs(s, d).filter(~F.col("text").contains("\\")).withColumn("v", F.concat(F.regexp_replace("text", "qu", r"\\\\u0071\\\\u0075"), F.lit("&#x41; U+0041 %u0041"))), "v", "lang"),
+        lambda s, d: codec.escape_census(_docs(s, d).withColumn("v", F.concat(F.regexp_replace("text", "qu", r"\\\\u0071\\\\u0075"), F.lit("&#x41; U+0041 %u0041"))), "v", "lang"),
         "SELECT lang, form, count(*) FILTER (WHERE n > 0) AS \"values\", CAST(sum(n) AS BIGINT) AS n FROM (SELECT lang, unnest(['unicode', 'es6', 'double', 'percent', 'codepoint', 'html']) AS form, unnest([0, 0, 2 * ((length(text) - length(replace(text, 'qu', ''))) // 2), 1, 1, 1]) AS n FROM documents WHERE NOT contains(text, chr(92))) GROUP BY 1, 2",
     ),
     "t13_unescape": (lambda s, d: codec.unescape(_docs(s, d).withColumn("v", F.regexp_replace("text", "qu", r"\\\\u0071\\\\u0075")), "doc_id", "v"), "SELECT doc_id, text, CAST(NULL AS VARCHAR) AS error FROM documents WHERE contains(text, 'qu')"),
