@@ -117,6 +117,11 @@ def sitemap_entries(urls: DataFrame, shard_rows: int = 50_000) -> DataFrame:
     return urls.select("url", entry.alias("entry"), F.pmod(F.xxhash64("url"), shards).alias("shard"))
 
 
-def event_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """IO8: files of events as a stream; `path` is a folder or a glob."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema: str, files_a_batch: int | None = None) -> DataFrame:
+    """IO8: files of events as a stream; `path` is a folder or a glob.
+
+    All files that are there form one micro-batch, so a replay is right whatever the order of time among
+    them; `files_a_batch` bounds it for files that come in order of time.
+    """
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
