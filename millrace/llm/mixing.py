@@ -22,7 +22,7 @@ from .common import written
 
 #: Weights of the sources in order, repeating; the share of all sizes that is mixed; copies of a source at most.
 WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2
-#: Words that the dynamic program fits; more than that is dealt out in proportion first.
+#: Words that the dynamic program fits, or twice the longest text's if that is more; what exceeds them is dealt out in proportion first.
 EXACT = 60_000
 #: Rows of one source and length in one seeded group; a larger set is split by the leading hash bits.
 GROUP = 50_000
@@ -55,9 +55,10 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
     """How many of each length to take so that the sum comes as near to `budget` as is found, not above it.
 
-    What exceeds EXACT and the longest length is dealt out in proportion to the counts, then by one
-    more of each length, longest first; then bounded-knapsack dynamic programming over the rest:
-    counts are split into powers of two, and for each sum the item that first reached it is kept.
+    What exceeds EXACT and twice the longest length is dealt out in proportion to the counts, then by
+    more of each length, longest first, so that at least half of that stays open; then bounded-knapsack
+    dynamic programming over all the rest, in units of the lengths' common divisor: counts are split into
+    powers of two, and for each sum the item that first reached it is kept.
     """
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -66,20 +67,23 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
         return take
     if budget == total:
         return counts.copy()
-    if budget > EXACT:
-        take = (counts * ((budget - EXACT // 2) / total)).astype(np.int64)
+    # no length exceeds half of the limit, so what the loop leaves open is within it
+    limit = max(EXACT, 2 * int(lengths[counts > 0].max()))
+    if budget > limit:
+        take = (counts * ((budget - limit // 2) / total)).astype(np.int64)
     rest = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
-        if rest <= EXACT:
+        if rest <= limit:
             break
-        more = min(int(counts[i] - take[i]), (rest - EXACT // 2) // int(lengths[i]))
+        more = min(int(counts[i] - take[i]), (rest - limit // 2) // int(lengths[i]))
         if more > 0:
             take[i] += more
             rest -= more * int(lengths[i])
-    rest = min(rest, EXACT)
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    lengths, rest = lengths // unit, rest // unit
     reached = np.zeros(rest + 1, bool)
     reached[0] = True
-    by = np.full(rest + 1, -1, np.int64)
+    by = np.full(rest + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     for i in np.random.default_rng(seed).permutation(len(lengths)):
         spare, step = int(counts[i] - take[i]), 1
