@@ -31,9 +31,14 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/=_-])")
+# lines of base64, one after the other; a key in them ends where its own lengths say
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*[\r\n]\s*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Line breaks written out, as in JSON and env files.
+ESCAPED = re.compile(r"\\+[nr]")
 HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
 
 # Object identifiers of key algorithms (RSA, EC, DSA, X25519, X448, Ed25519, Ed448), in DER.
@@ -136,6 +141,63 @@ def _kind(data: bytes | None) -> str | None:
     return None if not data else "der" if is_key(data) else "ssh" if is_ssh(data) else None
 
 
+def _ends(data: bytes) -> set[int]:
+    """Where a key at the start of these bytes may end, by its own lengths."""
+    if data[:1] == b"\x30" and len(data) > 2:
+        n = data[1] & 0x7F if data[1] & 0x80 else 0
+        return {2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])} if n <= 4 else set()
+    private = data.startswith(b"openssh-key-v1\0")
+    at, fields, out = 15 if private else 0, 0, set()
+    while True:
+        if private and fields == 3:
+            at += 4
+        if at + 4 > len(data):
+            return out
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data) or not private and not fields and data[4 : 4 + size] not in SSH_TYPES:
+            return out
+        at, fields = at + 4 + size, fields + 1
+        out.add(at)
+
+
+def _joined(text: str, lines: list[tuple[int, int]], first: int, chars: int | None) -> tuple[str, list[int]]:
+    """Lines from `first` on, as many as hold `chars` characters (None: all), and the length after each."""
+    bare, sizes, size = [], [], 0
+    for n in range(first, len(lines)):
+        if chars is not None and size >= chars:
+            break
+        a, b = lines[n]
+        size += b - a
+        bare.append(text[a:b])
+        sizes.append(size)
+    return "".join(bare), sizes
+
+
+def wrapped(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of keys in base64 that is broken over lines."""
+    out = []
+    for block in WRAPPED.finditer(text):
+        lines = [m.span() for m in LINE.finditer(text, *block.span())]
+        i = 0
+        while i < len(lines):
+            # base64 of the first bytes of DER, of an OpenSSH key file and of a public key
+            if text.startswith(("M", "b3BlbnNzaC1rZXktdjE", "AAAA"), lines[i][0]):
+                # a key of DER tells its length first, so no more lines are read than it has
+                head = decoded(_joined(text, lines, i, 44)[0][:44]) or b""
+                need = max(_ends(head), default=0) if head[:1] == b"\x30" else None if head[:15] == b"openssh-key-v1\0" or head[4:].startswith(tuple(SSH_TYPES)) else 0
+                chars, sizes = _joined(text, lines, i, need and (need * 4 + 2) // 3)
+                data = decoded(chars if len(chars) % 4 != 1 else chars[:-1]) or b""
+                ends = _ends(data)
+                for j in range(1, len(sizes)):
+                    if sizes[j] % 4 != 1 and (n := sizes[j] * 3 // 4) in ends and (kind := _kind(data[:n])):
+                        end = lines[i + j][1]
+                        out.append((lines[i][0], end + len(re.match("={0,2}", text[end : end + 2])[0]), kind))
+                        i += j
+                        break
+            i += 1
+    return out
+
+
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, number of the kind, end) of every span, in order."""
     if not text:
@@ -145,15 +207,21 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if _kind(decoded("".join(m[2].split()))):
+            if _kind(decoded(re.sub(r"\\+[nrt]|\\+(?=/)|\s", "", m[2]))):
                 out.append((m.start(), 3, m.end()))
+    plain = ESCAPED.sub(lambda m: "\n" * len(m[0]), text) if "\\" in text else text  # places stay as they are
     if "ey" in text or "ew" in text:  # base64 of an opening brace
-        out += [(m.start(), 4, m.end()) for m in JWT.finditer(text) if is_signed(m[1], m[2])]
+        out += [(m.start(), 4, m.end()) for m in JWT.finditer(plain) if is_signed(m[1], m[2])]
     taken: list[tuple[int, int]] = []
-    for m in RUN.finditer(text):
+    for m in RUN.finditer(plain):
         if kind := _kind(decoded(m[0])):
             out.append((m.start(), KINDS.index(kind), m.end()))
             taken.append(m.span())
+    covered = taken + [(a, b) for a, k, b in out if k == 3]
+    for start, end, kind in wrapped(plain) if "\n" in plain or "\r" in plain else ():
+        if not any(a < end and start < b for a, b in covered):
+            out.append((start, KINDS.index(kind), end))
+            taken.append((start, end))
     for m in HEX_RUN.finditer(text):
         if (kind := _kind(bytes.fromhex(m[0]))) and not any(a < m.end() and m.start() < b for a, b in taken):
             out.append((m.start(), KINDS.index(kind), m.end()))
