@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of the names of the tables that operators keep for a while.
+PREFIX = "millrace-"
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data folder."""
@@ -15,25 +19,38 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share, by the session's spark.checkpoint.dir.
+
+    Where the session names none, one machine that runs everything (a local master) takes a temporary folder;
+    a cluster is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    if not found and re.fullmatch(r"local(\[[^]]*])?", spark.sparkContext.master):
+        found = f"file://{tempfile.mkdtemp(prefix=PREFIX)}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: lineage ends here, and lost executors lose nothing.
-
-    Of more partitions than eight for each core some are written by one task, one after the other.
-    """
+    """`df` as a table in the shared folder: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
-    df.coalesce(8 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    path = f"{shared_dir(spark)}/{PREFIX}{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `written` wrote for these tables; nothing may read them after that."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            if folder.rpartition("/")[2].startswith(PREFIX):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits joined by one space."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,5 +39,6 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = edges.filter("a is not null and b is not null and a <> b")
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _are_stars(edges):
-        edges = written(_stars(_stars(edges, True), False))
+        before, edges = edges, written(_stars(_stars(edges, True), False))
+        discard(before)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scrambled, words, written
+from .common import discard, scrambled, words, written
 from .components import connected
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of slots: at similarity 0.8 a pair shares none of 32 bands of 6 slots once in 16,000 cases.
 BANDS, ROWS = 32, 6
+#: Words that a task works on at a time, about.
+BLOCK = 100_000
 #: Low bits of a slot's key that name its element; the bits above are the arrival time.
 NAME_BITS = 24
 
@@ -85,70 +87,96 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 def similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two texts by their sorted distinct shingle hashes."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return 0.0
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (len(x) + len(y) - common)
 
 
+def _distinct(batch: pa.RecordBatch):
+    """Of blocks of a batch's rows (id, content, words): the rows, distinct shingles, their counts, owners and where each text's end."""
+    listed = batch.column(2)
+    sizes = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(sizes + 250) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(listed)]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        ends = np.cumsum(sizes[start:end]).astype(np.int64)
+        made, ends = shingles(listed.slice(start, end - start).flatten().to_numpy(zero_copy_only=False), ends)
+        owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        order = np.lexsort((made, owner))
+        made, owner = made[order], owner[order]
+        first = np.ones(len(made), bool)
+        first[1:] = (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(first)
+        yield batch.slice(start, end - start), made[at], np.diff(at, append=len(made)), owner[at], np.searchsorted(owner[at], np.arange(len(ends)), "right")
+
+
 def _signed(batches):
-    """Bands and sorted shingle hashes of each batch's texts; empty for those without words."""
+    """Bands of each batch's texts; none for those without words."""
     for batch in batches:
-        listed = batch.column(2)
-        sizes = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes + 250) // 500_000
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(listed)]
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            part, rows = listed.slice(start, end - start), batch.slice(start, end - start)
-            ends = np.cumsum(sizes[start:end]).astype(np.int64)
-            made, ends = shingles(part.flatten().to_numpy(zero_copy_only=False), ends)
-            owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            order = np.lexsort((made, owner))
-            made, owner = made[order], owner[order]
-            first = np.ones(len(made), bool)
-            first[1:] = (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])
-            at = np.flatnonzero(first)
-            keys = signatures(made[at], 1 + np.log(np.diff(at, append=len(made))), owner[at], len(ends), BANDS * ROWS)
+        for rows, elements, counts, owner, ends in _distinct(batch):
+            keys = signatures(elements, 1 + np.log(counts), owner, len(ends), BANDS * ROWS)
             slots = (keys & np.uint64((1 << NAME_BITS) - 1)).reshape(len(ends), BANDS, ROWS)
             band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(ends), BANDS))
             for i in range(ROWS):
                 band = scrambled(band * np.uint64(31) + slots[:, :, i])
-            small = (made >> np.uint64(32)).astype(np.uint32)
-            starts = ends - np.diff(ends, prepend=0)
-            packed = [np.unique(small[a:b]).tobytes() for a, b in zip(starts, ends, strict=True)]
             some = np.diff(ends, prepend=0) > 0
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(band[some].reshape(-1).view(np.int64)))
-            yield pa.record_batch([rows.column(0), rows.column(1), bands, pa.array(packed, pa.binary())], ["id", "content", "bands", "shingles"])
+            yield pa.record_batch([rows.column(0), rows.column(1), bands], ["id", "content", "bands"])
+
+
+def _shingled(batches):
+    """(id, size, shingles): the sorted distinct shingle hashes of each text."""
+    for batch in batches:
+        for rows, elements, _, _, ends in _distinct(batch):
+            starts = np.concatenate([[0], ends[:-1]])
+            packed = pa.array([elements[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())
+            yield pa.record_batch([rows.column(0), pa.array(ends - starts), packed], ["id", "size", "shingles"])
 
 
 def _verified(threshold: float):
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            ok = [i for i in range(len(a)) if similarity(x[i], y[i]) >= threshold]
-            yield pa.record_batch([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], ["a", "b"])
+            a, b, x, y = (batch.column(i) for i in range(4))
+            ok = pa.array([i for i in range(len(a)) if similarity(x[i].as_buffer(), y[i].as_buffer()) >= threshold], pa.int64())
+            yield pa.record_batch([a.take(ok), b.take(ok)], ["a", "b"])
 
     return run
 
 
 def _listed(batches):
-    """(id, s): the distinct shingles of each text, one row for each."""
+    """(id, c, size, s): the distinct shingles of each text, one row for each."""
     for batch in batches:
-        for i, data in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-            s = np.frombuffer(data, np.int32)
-            yield pa.record_batch([pa.array(np.full(len(s), i)), pa.array(s)], ["id", "s"])
+        sizes = batch.column(2).to_numpy()
+        block = np.cumsum(sizes) // BLOCK
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            s = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3).slice(start, end - start)] or [np.empty(0, np.int64)])
+            of = np.repeat(np.arange(start, end), sizes[start:end])
+            yield pa.record_batch([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(sizes[of]), pa.array(s)], ["id", "c", "size", "s"])
 
 
-def verify(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Shingles are dealt out once, and those of some pair again."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(signed.select("id", "content", "shingles").join(needed, "id", "left_semi").dropDuplicates(["id", "content"]).select("id", "shingles"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long"))
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, content, p): p is the text's words, content their hash; both null without words."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("p")).select("id", F.when(F.col("p") != "", F.col("p")).alias("p"))
+    return plain.select("id", F.unhex(F.md5("p")).alias("content"), "p")
 
 
-def across(open_rows: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "content", F.transform(F.split("p", " "), lambda w: F.xxhash64(w)).alias("w"))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts (id, size, shingles) are similar enough; sizes alone refuse most others."""
+    sizes = texts.groupBy("id").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    near = pairs.join(sizes.toDF("a", "low_a", "high_a"), "a").join(sizes.toDF("b", "low_b", "high_b"), "b")
+    near = near.filter((F.col("high_a") >= threshold * F.col("low_b")) & (F.col("high_b") >= threshold * F.col("low_a"))).select("a", "b")
+    x, y = texts.select(F.col("id").alias("a"), F.col("shingles").alias("x")), texts.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return written(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long").distinct())
+
+
+def across(open_rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of `open_rows` (id, c) in different classes c that may reach the threshold: all that do are among them.
 
     Two sets of that similarity share one of the rarest shingles of each (the first n - ceil(threshold n) + 1
@@ -156,59 +184,70 @@ def across(open_rows: DataFrame, signed: DataFrame, threshold: float) -> DataFra
     can follow. So texts that have only a passage or the ground of a group of copies in common, however
     many they are, never meet.
     """
-    texts = signed.select("id", "content", "shingles").join(open_rows.select("id"), "id", "left_semi").dropDuplicates(["id", "content"]).select("id", "shingles")
-    each = written(texts.mapInArrow(_listed, "id long, s int"))
-    sizes = open_rows.join(each.groupBy("id").agg(F.count(F.lit(1)).alias("size")), "id")
+    rows = texts.join(open_rows, "id").select("id", "c", "size", "shingles")
+    each = written(rows.mapInArrow(_listed, "id long, c long, size long, s long"))
     # shingles of one text only stand first, and need not move: their number is enough
     number = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    own = Window.partitionBy("id")
+    own = Window.partitionBy("id", "size")
     rank = F.row_number().over(own.orderBy("n", "s")) - F.count(F.lit(1)).over(own)
-    ranked = each.join(number, "s").withColumn("back", rank).join(sizes, "id").withColumn("rank", F.col("size") + F.col("back"))
+    ranked = each.join(number, "s").withColumn("rank", F.col("size") + rank)
     first = ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
     first = written(first.select("s", "id", "c", "size", "rank"))
+    discard(each)
     apart = first.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("s")
-    first = first.join(apart, "s", "left_semi")
-    other = first.select("s", F.col("id").alias("b"), F.col("c").alias("d"), F.col("size").alias("size_b"), F.col("rank").alias("rank_b"))
+    near = first.join(apart, "s", "left_semi")
+    other = near.select("s", F.col("id").alias("b"), F.col("c").alias("d"), F.col("size").alias("size_b"), F.col("rank").alias("rank_b"))
     # behind the first element that both share, at most so many more are common
     enough = 1 + F.least(F.col("size") - F.col("rank"), F.col("size_b") - F.col("rank_b")) >= threshold / (1 + threshold) * (F.col("size") + F.col("size_b")) - 1e-9
-    return first.withColumnRenamed("id", "a").join(other, "s").filter(enough & F.expr("c <> d and a > b")).select("a", "b").distinct()
+    pairs = written(near.withColumnRenamed("id", "a").join(other, "s").filter(enough & F.expr("c <> d and a > b")).select("a", "b").distinct())
+    discard(first)
+    return pairs
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id, n_links) for each row of `docs`: the least id of its near-duplicate class, and how many
-    other distinct texts were linked to its text while the class was found.
+    """(id, class_id, n_checked_links) for each row of `docs`: the least id of its near-duplicate class, and how
+    many other distinct texts were linked to its text while the class was found (not all of a class's links).
 
     Pass 1 checks each bucket's members against its central one, which shares the most buckets with
-    others: the text that a group of near copies was made from. Pass 2 looks, among the members of buckets
-    that are still in more than one class, for all links across classes. So no candidate link between two
-    classes is lost, and a bucket of one class (the large ones) costs its size, not its square.
+    others: the text that a group of near copies was made from. Pass 2 looks, among the other members of
+    buckets that are still in more than one class, for all links across classes. So no candidate link
+    between two classes is lost, and a bucket of one class (the large ones) costs its size, not its square.
+
+    Bands only, some 256 bytes a text, are kept for all texts; those that share a band with another text
+    fetch their words by one join on the id.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("p")).select("id", F.when(F.col("p") != "", F.col("p")).alias("p"))
-    rows = plain.select("id", F.md5("p").alias("content"), F.transform(F.split("p", " "), lambda w: F.xxhash64(w)).alias("w"))
-    signed = written(rows.mapInArrow(_signed, "id long, content string, bands array<long>, shingles binary"))
+    rows = _prepared(docs, id_col, text_col)
+    signed = written(_hashed(rows).mapInArrow(_signed, "id long, content binary, bands array<long>"))
     usable = signed.filter("id is not null and content is not null")
     # rows that share an id count as one document, linked if any of their texts is
     copies = written(usable.groupBy("content").agg(F.min(F.struct("id", "bands")).alias("x")).select("content", "x.id", "x.bands"))
     bands = copies.select("id", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(bands.join(sizes, "band"))
+    needed = rows.filter("content is not null").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "content"])
+    texts = written(_hashed(needed).mapInArrow(_shingled, "id long, size long, shingles binary"))
+
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    hubs = shared.join(weight, "id").groupBy("band").agg(F.max_by("id", F.struct(F.col("weight"), -F.col("id"))).alias("hub"))
-    pairs = shared.join(hubs, "band").filter("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-    links = verify(written(pairs), usable, threshold)
+    hubs = written(shared.join(weight, "id").groupBy("band").agg(F.max_by("id", F.struct(F.col("weight"), -F.col("id"))).alias("hub")))
+    others = written(shared.join(hubs, "band").filter("id <> hub").select("band", "id", "hub"))
+    pairs = others.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    links = verify(pairs, texts, threshold)
     found = written(connected(links))
 
-    where = shared.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    # all members were compared with the central one; what is open are links between the others
+    where = others.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     split = where.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
     open_rows = written(where.join(split, "band", "left_semi").select("id", "c").distinct())
     if not open_rows.isEmpty():
-        more = verify(written(across(open_rows, usable, threshold)), usable, threshold)
+        more = verify(across(open_rows, texts, threshold), texts, threshold)
         if not more.isEmpty():
             links = links.unionByName(more)
             found = written(connected(links))
+    discard(texts, shared, hubs, others, open_rows)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_text = copies.select("content", F.col("id").alias("first")).join(found.join(degree, "id"), F.col("first") == F.col("id"), "left").select("content", F.coalesce("component", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    known = usable.select("id", "content").join(of_text, "content").select("id", "class_id", "n_links")
-    rest = signed.filter("id is null or content is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_checked_links"))
+    joined = found.join(degree, "id").withColumnRenamed("id", "first")
+    of_text = copies.select("content", F.col("id").alias("first")).join(joined, "first", "left").select("content", F.coalesce("component", "first").alias("class_id"), F.coalesce("n_checked_links", F.lit(0)).cast("long").alias("n_checked_links"))
+    known = usable.select("id", "content").join(of_text, "content").select("id", "class_id", "n_checked_links")
+    rest = signed.filter("id is null or content is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_checked_links"))
     return known.unionByName(rest)

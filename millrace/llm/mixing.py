@@ -117,13 +117,14 @@ def _fitted(seed: int):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies) of each row of `docs`.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, source, size, source_size, target, taken, copies) of each row of `docs`.
 
-    Only ids, sources and sizes are shuffled. A source's lengths and counts, not its documents, meet
-    in one task; the documents of one length are picked in groups of at most about GROUP rows.
+    Only ids, sources and sizes are shuffled (and the small columns of `carry`). A source's lengths and counts,
+    not its documents, meet in one task; the documents of one length are picked in groups of at most about
+    GROUP rows. Tables with a row for each source and length grow with the rows, so they are never broadcast.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(source_col).cast("string").alias("source"), size(F.col(text_col)).alias("size"))
     rows = written(rows.withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit(seed))))
     counts = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     aim = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))).select("source", F.col("target"), F.col("source_size").alias("total"))
@@ -131,14 +132,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = counts.filter("size > 0").join(aim.withColumnRenamed("source", "s"), F.expr("source <=> s")).select("source", "size", "n", "target")
     plan = written(known.groupBy("source").applyInPandas(_fitted(seed), "source string, size long, n long, whole long, extra long, source_size long, target double"))
     sliced = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "whole", "extra", F.greatest(F.lit(1), F.expr(f"n div {GROUP}")).alias("parts"))
-    slim = rows.join(sliced, F.expr("source <=> s and size = z")).withColumn("part", F.expr("pmod(shiftrightunsigned(draw, 1), parts)"))
-    slim = slim.select("doc_id", "source", "size", "draw", "whole", "extra", "part")
+    slim = rows.join(sliced.hint("shuffle_merge"), F.expr("source <=> s and size = z")).withColumn("part", F.expr("pmod(shiftrightunsigned(draw, 1), parts)"))
+    slim = slim.select("doc_id", *carry, "source", "size", "draw", "whole", "extra", "part")
     # a slice takes what the slices before it have left of its length's number
     slices = slim.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"), F.first("extra").alias("extra"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slices = slices.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("q"), F.greatest(F.lit(0), F.col("extra") - before).alias("picks"))
     ranked = slim.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "doc_id")))
-    picked = ranked.join(slices, F.expr("source <=> s and size = z and part = q")).select("doc_id", "source", "size", (F.col("whole") + F.when(F.col("rank") <= F.col("picks"), 1).otherwise(0)).alias("copies"))
-    whole = picked.unionByName(rows.filter("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies")))
+    picked = ranked.join(slices.hint("shuffle_merge"), F.expr("source <=> s and size = z and part = q")).select("doc_id", *carry, "source", "size", (F.col("whole") + F.when(F.col("rank") <= F.col("picks"), 1).otherwise(0)).alias("copies"))
+    whole = picked.unionByName(rows.filter("size = 0").select("doc_id", *carry, "source", "size", F.lit(0).cast("long").alias("copies")))
     aim = aim.withColumnRenamed("source", "s")
-    return whole.join(aim, F.expr("source <=> s")).select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return whole.join(aim, F.expr("source <=> s")).select("doc_id", *carry, "source", "size", F.col("total").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -21,7 +21,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document; the first of a class is kept."""
     found = minhash.classes(read(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_checked_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def op3_token_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
