@@ -5,7 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, langid, minhash, mixing, pii
@@ -19,27 +19,39 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class; a row without id is a class of its own."""
-    found = minhash.classes(docs).filter("id = class_id").select(F.col("id").alias("_kept")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The first document of each near-duplicate class; a row without id is a class of its own.
+
+    Rows that share an id are one document: the one that is least by a hash of its columns stays. An empty
+    table stays empty.
+    """
+    found = written(minhash.classes(docs).filter("id = class_id").select(F.col("id").alias("_kept")).distinct())
+    least = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), F.hash(*docs.columns)))
+    kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn("_least", least).filter("_least = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data; n_chars is counted anew."""
-    out = pii.replaced(docs).drop("n_entities")
+    """Texts with surrogates for personal data; n_chars is counted anew. Null texts stay null, repeated rows repeated."""
+    out = pii.replaced(docs, pii.session_key(spark)).drop("n_entities")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(taken, F.expr("doc_id <=> _id"))
+    """Documents as often as the mix takes them.
+
+    A row is known by two hashes of all its columns, so rows without id, or that share one, keep their own
+    numbers. Rows that are alike in all columns come as often as the mix takes them together. Null and empty
+    texts have size 0 and are never taken; an empty table stays empty.
+    """
+    keyed = docs.withColumns({"_a": F.xxhash64(*docs.columns), "_b": F.hash(*docs.columns)})
+    taken = mixing.mix(keyed, carry=("_a", "_b")).groupBy("_a", "_b").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    once = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_copies"))
+    joined = keyed.join(taken, ["_a", "_b"]).withColumn("_once", once).filter("_once = 1")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded again, as digests."""
+    """Every document encoded and decoded again, as digests; a null text counts as an empty one."""
     data = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
     return bpe.digests(docs, data, public_tokenizers.PATTERN)
 

@@ -16,12 +16,15 @@ Where two patterns match at one place the first listed wins; matches don't overl
 from __future__ import annotations
 
 from functools import reduce
+from secrets import token_hex
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: The session setting that holds the key of the surrogates; set it where reruns are to agree.
+KEY = "spark.millrace.pii.key"
 # Titles and given names by gender, syllables for surnames, by script.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Madame", "Mme", "Mlle", "Frau", "Señora", "Sra", "Srta", "Госпожа"], "m": ["Mr", "Monsieur", "Herr", "Señor", "Sr", "Господин"], "n": ["Dr", "Prof"]}
 GIVEN = {
@@ -178,7 +181,7 @@ def _rendered(kind: Column, value: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn", "iban"), spread).when(kind == "name", F.concat(title, surrogate)).otherwise(cased)
 
 
-def replaced(docs: DataFrame, key: str = "millrace", text_col: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with `text_col` rewritten, and n_entities, the mentions replaced in it.
 
     Only mentions are shuffled to find surrogates, in a split-able join; the texts with mentions move
@@ -204,3 +207,10 @@ def replaced(docs: DataFrame, key: str = "millrace", text_col: str = "text") ->
     number = F.coalesce("_number", F.lit(0))
     rewritten = joined.select(*(F.when(number > 0, F.array_join(filled, "")).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns), number.cast("long").alias("n_entities"))
     return docs.filter(~has).select(*docs.columns, F.lit(0).cast("long").alias("n_entities")).unionByName(rewritten)
+
+
+def session_key(spark) -> str:
+    """The secret key of the session: KEY in its conf, or one drawn at random for as long as the session lives."""
+    if not spark.conf.get(KEY, ""):
+        spark.conf.set(KEY, token_hex(32))
+    return spark.conf.get(KEY)

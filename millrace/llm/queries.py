@@ -58,7 +58,7 @@ def op7_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates for personal data."""
-    return pii.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
