@@ -39,7 +39,7 @@ FROM $orders""",
 SELECT CASE WHEN l_partkey % 50 = 0 THEN 'abc' WHEN l_partkey % 53 = 0 THEN '999999'
    ELSE lpad(CAST(l_orderkey % 1000000 AS STRING), 6, '0') END AS code,
  l_shipdate AS ts,
- row_number() OVER (ORDER BY l_orderkey, l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS claim_id
+ (l_orderkey * 8 + l_linenumber) * 4096 + (l_partkey * 31 + l_suppkey * 17 + day(l_shipdate)) % 4096 AS claim_id
 FROM $lineitem""",
     "requests": """
 SELECT event_id, CAST(user_id AS STRING) AS client, ts,

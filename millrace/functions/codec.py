@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 B64_LEAST = 24
 # Forms of escapes, as Java patterns.
 FORMS = {
-    "unicode": r"(?<!\\)\\u[0-9a-fA-F]{4}",
-    "es6": r"\\u\{[0-9a-fA-F]{1,6}\}",
-    "double": r"\\\\u[0-9a-fA-F]{4}",
+    "unicode": r"(?<!\\)\\(?:u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})",
+    "es6": r"(?<!\\)\\u\{[0-9a-fA-F]{1,8}\}",
+    "double": r"\\\\(?:u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|u\{[0-9a-fA-F]{1,8}\})",
     "percent": r"%u[0-9a-fA-F]{4}",
-    "codepoint": r"U\+[0-9a-fA-F]{4,6}",
+    "codepoint": r"\bU\+[0-9a-fA-F]{1,6}\b",
     "html": r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});",
 }
 
@@ -45,7 +45,8 @@ def escape_census(rows: DataFrame, column: str, by: str) -> DataFrame:
     return each.groupBy(by, F.col("x.form").alias("form")).agg(F.count_if(F.col("x.n") > 0).alias("values"), F.sum("x.n").alias("n"))
 
 
-_ONE = {"es6": r"\\u\{([0-9a-fA-F]{1,6})\}", "unicode": r"\\u([0-9a-fA-F]{4})", "percent": r"%u([0-9a-fA-F]{4})", "codepoint": r"U\+([0-9a-fA-F]{4,6})", "html": r"&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"}
+_DOUBLE = re.compile(r"\\(?=\\(?:u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|u\{[0-9a-fA-F]{1,8}\}))")
+_ONE = {"es6": r"\\u\{([0-9a-fA-F]{1,8})\}", "unicode": r"\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})", "percent": r"%u([0-9a-fA-F]{4})", "codepoint": r"\bU\+([0-9a-fA-F]{1,6})\b", "html": r"&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"}
 
 
 def unescaped(text: str, mode: str = "auto", passes: int = 3) -> str:
@@ -60,7 +61,7 @@ def unescaped(text: str, mode: str = "auto", passes: int = 3) -> str:
     if mode != "auto" and mode not in _ONE:
         raise ValueError(f"unknown mode {mode}")
     for _ in range(passes):
-        new = text.replace("\\\\u", "\\u") if mode == "auto" else text
+        new = _DOUBLE.sub("", text) if mode == "auto" else text
         for form in _ONE if mode == "auto" else (mode,):
             new = (decimal if form == "html" else re.compile(_ONE[form])).sub(one, new)
         new = new.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # pairs written as two escapes

@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Hints in attributes of main content and of the rest; schemes of links.
-MAIN = r"content|article|post|entry|main|body|text|blog"
-REST = r"comment|sidebar|footer|header|nav|menu|related|share|recommend|advert|banner"
-SCHEMES = ("http", "https", "mailto", "tel", "ftp")
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Least characters of text that main content has.
+# Hints in attributes of main content and of the rest, tags, least score; schemes of links.
+MAIN = re.compile(
+    r"(cnblogs_post_body|post_body|article[-_]?content|entry[-_]?content|"
+    r"post[-_]?content|blog[-_]?post|blogpost|main[-_]?content|content[-_]?main|"
+    r"page[-_]?content|rich_media_content|js_content|post[-_]?entry|"
+    r"content[-_]?body|article|single[-_]?content|topic[-_]?content)"
+)
+REST = re.compile(
+    r"(comment|footer|sidebar|related|recommend|advert|ads?[_-]?|nav|menu|"
+    r"widget|share|pagination|breadcrumb|meta|info[-_]?box|toolbar|header)",
+    re.I,
+)
+REST_INSIDE = re.compile(
+    r"<[a-z]+\b[^>]*(?:id|class)=[\"'][^\"']*(?:comment|footer|sidebar|"
+    r"related|recommend|advert|ads?[_-]?|\bnav\b|widget|pagination|breadcrumb)"
+    r"[^\"']*[\"']",
+    re.I,
+)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\s[^<>]*?)?)(/?)>", re.S)
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 LEAST = 120
+SCHEMES = ("http", "https", "mailto", "tel", "ftp")
 
 
 def page_title(page: Column) -> Column:
@@ -29,72 +45,67 @@ def strip_chrome(page: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(page, r"(?s)<!--.*?-->", ""), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
 
 
-class _Candidates(HTMLParser):
-    """Elements that may be the main content, with what their scores count."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[dict] = []
-        self.done: list[dict] = []
-        self.line: list[int] = []
-
-    def feed(self, text: str) -> None:
-        self.line = [0]
-        for part in text.splitlines(keepends=True):
-            self.line.append(self.line[-1] + len(part))
-        super().feed(text)
-
-    def _at(self) -> int:
-        row, column = self.getpos()
-        return self.line[min(row - 1, len(self.line) - 1)] + column
-
-    def handle_starttag(self, tag, attrs):
-        for x in self.open:
-            x["p"] += tag == "p"
-            x["h"] += tag in ("h1", "h2", "h3")
-        if tag in VOID:
-            return
-        text = " ".join(f"{v}" for k, v in attrs if k in ("class", "id", "role", "itemprop") and v).lower()
-        bad = bool(re.search(REST, text))
-        wanted = tag == "article" or tag in ("div", "section", "main") and bool(re.search(MAIN, text)) and not bad or tag == "main"
-        self.open.append({"tag": tag, "start": self._at(), "p": 0, "h": 0, "chars": 0, "bad": bad, "wanted": wanted})
-
-    def handle_endtag(self, tag):
-        if not any(x["tag"] == tag for x in self.open):
-            return
-        end = self._at() + len(tag) + 3
-        while self.open:
-            x = self.open.pop()
-            x["end"] = end
-            if x["wanted"]:
-                self.done.append(x)
-            if x["tag"] == tag:
-                break
-
-    def handle_data(self, data):
-        n = len(re.sub(r"\s+", "", data))
-        for x in self.open:
-            x["chars"] += n
+def scored(page: str) -> list[tuple[int, int, int]]:
+    """(start, end, score) of a page's elements that may be its main content.
+
+    All counts are running sums over the page, so nested candidates cost no second look at their text.
+    """
+    starts, ends, chars, words = [], [], [0], [0]
+    open_tags: dict[str, list[int]] = {}
+    found: list[list[int]] = []
+    before = 0
+    for m in TAG.finditer(page):
+        own = page[before : m.start()].split()
+        chars.append(chars[-1] + sum(map(len, own)))
+        words.append(words[-1] + len(own))
+        starts.append(m.start())
+        ends.append(m.end())
+        before, tag, place = m.end(), m[2].lower(), len(starts) - 1
+        if m[1]:
+            if mine := open_tags.get(tag):
+                at = mine.pop()
+                if at >= 0:
+                    found[at][1:] = [m.end(), place]
+            continue
+        if m[4] or tag in VOID:
+            continue
+        wanted = tag == "article" or tag in ("div", "section", "main") and MAIN.search(m[3]) and not REST.search(m[3])
+        open_tags.setdefault(tag, []).append(len(found) if wanted else -1)
+        if wanted:
+            found.append([place, len(page), -1])
+    own = page[before:].split()
+    chars.append(chars[-1] + sum(map(len, own)))
+    words.append(words[-1] + len(own))
+    paragraphs = [m.start() for m in re.finditer("<p", page)]
+    headings = [m.start() for m in re.finditer(r"<h[1-3][\s>]", page, re.I)]
+    rest = [m.start() for m in REST_INSIDE.finditer(page)]
+
+    def number(places: list[int], start: int, end: int) -> int:
+        return bisect_left(places, end) - bisect_left(places, start)
+
+    out = []
+    for place, end, last in found:
+        upto = (last if last >= 0 else len(starts)) + 1
+        plain = chars[upto] - chars[place + 1] + max(0, words[upto] - words[place + 1] - 1)
+        start = starts[place]
+        out.append((start, end, plain + 25 * number(paragraphs, start, end) + 30 * number(headings, start, end) - 150 * number(rest, start, end)))
+    return out
 
 
 def candidates(pages: DataFrame) -> DataFrame:
-    """(page_id, start, end, chars, score) of every element that may be a page's main content."""
+    """(page_id, start, end, score) of every element that may be a page's main content."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _Candidates()
-                found.feed(page or "")
-                rows += [(key, x["start"], x["end"], x["chars"], x["chars"] + 25 * x["p"] + 30 * x["h"] - 150 * x["bad"]) for x in found.done]
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["page_id", "start", "end", "chars", "score"])
+            rows = [(key, *x) for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in scored(page or "")]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["page_id", "start", "end", "score"])
 
-    return pages.select(F.col("page_id").cast("long"), strip_chrome(F.col("html")).alias("html")).mapInArrow(run, "page_id long, start long, end long, chars long, score long")
+    return pages.select(F.col("page_id").cast("long"), strip_chrome(F.col("html")).alias("html")).mapInArrow(run, "page_id long, start long, end long, score long")
 
 
 def main_content(pages: DataFrame) -> DataFrame:
-    """(page_id, content, extracted): the best element with enough text, the first of equals, else the whole page."""
-    best = candidates(pages).filter(F.col("chars") >= LEAST).groupBy("page_id").agg(F.max_by(F.struct("start", "end"), F.struct("score", -F.col("start"))).alias("best"))
+    """(page_id, content, extracted): the best element if it scores enough, the first of equals, else the whole page."""
+    best = candidates(pages).filter(F.col("score") >= LEAST).groupBy("page_id").agg(F.max_by(F.struct("start", "end"), F.struct("score", -F.col("start"))).alias("best"))
     page = strip_chrome(F.col("html"))
     whole = pages.select("page_id", page.alias("page")).join(best, "page_id", "left")
     content = F.when(F.col("best").isNotNull(), F.substr("page", (F.col("best.start") + 1).cast("int"), (F.col("best.end") - F.col("best.start")).cast("int"))).otherwise(F.col("page"))

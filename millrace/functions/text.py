@@ -39,10 +39,12 @@ def corpus_line_dedupe(docs: DataFrame) -> DataFrame:
     """Texts without lines that occur before, in order of (doc_id, pos), anywhere in the corpus; lines dropped by document.
 
     A line's first place is a minimum, which is pre-aggregated; no line's occurrences meet in one task.
+    A null or empty text has no lines: it stays, empty.
     """
-    each = lines(docs).withColumn("h", F.sha2("line", 256))
+    each = docs.select("doc_id", F.posexplode_outer(split_lines(F.col("text"))).alias("pos", "line")).withColumn("h", F.sha2("line", 256))
     first = each.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
-    marked = each.join(first, "h").withColumn("keep", (F.col("doc_id") == F.col("f.doc_id")) & (F.col("pos") == F.col("f.pos")))
+    first = first.filter("h is not null")
+    marked = each.join(first, "h", "left").withColumn("keep", (F.col("doc_id") == F.col("f.doc_id")) & (F.col("pos") == F.col("f.pos")))
     kept = F.transform(F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("pos", "line")))), lambda x: x["line"])
     return marked.groupBy("doc_id").agg(F.array_join(kept, "\n").alias("text"), F.count_if(~F.col("keep")).alias("dropped"))
 
@@ -183,7 +185,7 @@ def unwrap_soft_lines(text: Column) -> Column:
 
 
 # Time formats in order of trial.
-TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyyMMddHHmmss"]
+TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyyMMddHHmmss"]
 
 
 def normalise_timestamps(rows: DataFrame, column: str, tz_min: int = 480) -> DataFrame:
@@ -270,11 +272,11 @@ def expand_ranges(specs: DataFrame, strict: bool = True) -> DataFrame:
 
     The strict form refuses numbers out of 1..total, the lenient one cuts ranges and refuses only an empty result.
     """
-    parts = specs.select("id", "total", F.posexplode(F.split(F.regexp_replace("spec", r"\s+", ""), ",")).alias("at", "part"))
+    parts = specs.select("id", "total", F.posexplode_outer(F.split(F.regexp_replace("spec", r"\s+", ""), ",")).alias("at", "part"))
     a, b = F.regexp_extract("part", r"^(\d+)(?:-(\d+))?$", 1), F.regexp_extract("part", r"^(\d+)(?:-(\d+))?$", 2)
     low = a.try_cast("int")
     high = F.when(b == "", low).otherwise(b.try_cast("int"))
-    parts = parts.withColumns({"low": low, "high": high}).withColumn("bad", F.col("low").isNull() | F.col("high").isNull() | (F.col("low") > F.col("high")))
+    parts = parts.withColumns({"low": low, "high": high}).withColumn("bad", F.col("part").isNull() | F.col("low").isNull() | F.col("high").isNull() | (F.col("low") > F.col("high")))
     if strict:
         parts = parts.withColumn("bad", F.col("bad") | (F.col("low") < 1) | (F.col("high") > F.col("total")))
     lo, hi = F.greatest(F.col("low"), F.lit(1)), F.least(F.col("high"), F.col("total"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def recent(records: DataFrame, limit: int = 50) -> DataFrame:
@@ -141,17 +142,33 @@ def name_collisions(records: DataFrame) -> DataFrame:
 
 
 def dedupe_names(rows: DataFrame, group: str, name: str, order: str) -> DataFrame:
-    """`unique_name`, with `_1`, `_2`, ... before the extension of a name seen before in the group, in any case.
+    """`unique_name`: a name that the group has before, in any case, gets the first free of `_1`, `_2`, ... before its extension.
 
-    A second pass numbers names that a suffix has made equal to another.
+    A task reads its groups in order and holds the names that one group has taken, and the last number tried for each.
     """
-    def passed(df: DataFrame, column: str, out: str, mark: str) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy(group, F.lower(column)).orderBy(order)) - 1
-        ext = F.regexp_extract(column, r"(?s)^.+(\.[^.]*)$", 1)
-        stem = F.substr(F.col(column), F.lit(1), F.length(column) - F.length(ext))
-        return df.withColumn("_n", nth).withColumn(out, F.when(F.col("_n") == 0, F.col(column)).otherwise(F.concat(stem, F.lit(mark), F.col("_n").cast("string"), ext))).drop("_n")
-
-    return passed(passed(rows, name, "_once", "_"), "_once", "unique_name", "_").drop("_once")
+    def run(batches):
+        own, taken, tried = None, set(), {}
+        for batch in batches:
+            out = []
+            for key, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != own:
+                    own, taken, tried = key, set(), {}
+                found, low = wanted, (wanted or "").lower()
+                if wanted is not None and low in taken:
+                    dot = wanted.rfind(".")
+                    stem, ext = (wanted[:dot], wanted[dot:]) if dot > 0 else (wanted, "")
+                    n = tried.get(low, 0)
+                    while found.lower() in taken:
+                        n += 1
+                        found = f"{stem}_{n}{ext}"
+                    tried[low] = n
+                if found is not None:
+                    taken.add(found.lower())
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string())], names=[*batch.schema.names[2:], "unique_name"])
+
+    sorted_rows = rows.select(F.col(group).alias("_group"), F.col(name).alias("_name"), *rows.columns).repartition("_group").sortWithinPartitions("_group", order)
+    return sorted_rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("unique_name", StringType())]))
 
 
 def batch_limits(uploads: DataFrame, max_file: int, max_files: int, max_batch: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 OTHER = "_other"
 # Another name of a tool, and the accents of categories.
 ALIASES = {"json": "code-format"}
-ACCENTS = ["blue", "green", "orange", "purple", "red", "teal", "gray"]
+ACCENTS = ["indigo", "emerald", "violet", "amber", "rose", "sky", "slate", "teal", "orange"]
 
 
 def canonical_slug(slug: Column) -> Column:
@@ -66,11 +66,14 @@ def flags_status(tools: DataFrame, disabled: DataFrame) -> DataFrame:
 
 
 def by_category(tools: DataFrame, categories: DataFrame) -> DataFrame:
-    """Shown categories in order with their tools; tools of an unknown one stand in `_other`, last; empty ones are left out."""
+    """(id, pos, at, slug): shown categories with their tools, `at` the place of a tool in its category.
+
+    Tools of an unknown category stand in `_other`, last; empty categories are left out.
+    """
     cats = categories.select(F.col("id").alias("_id"), "pos", F.col("hidden"))
     joined = tools.join(cats, F.col("category") == F.col("_id"), "left").filter(~F.coalesce("hidden", F.lit(False)))
-    grouped = joined.groupBy(F.coalesce("_id", F.lit(OTHER)).alias("id"), F.coalesce("pos", F.lit(1 << 30)).alias("pos"))
-    return grouped.agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "slug"))), lambda x: x["slug"]).alias("slugs"))
+    named = joined.select(F.coalesce("_id", F.lit(OTHER)).alias("id"), F.coalesce("pos", F.lit(1 << 30)).alias("pos"), "ord", "slug")
+    return named.select("id", "pos", (F.row_number().over(Window.partitionBy("id").orderBy("ord", "slug")) - 1).alias("at"), "slug")
 
 
 def nav(tools: DataFrame, categories: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("status", "progress_permille", "error")
-# Keys of a result that are public, prefixes of working files.
-PUBLIC_KEYS = ["filename", "pages", "size", "blocks", "warnings", "format", "width", "height", "count", "elapsed_ms"]
-PREFIXES = ["job-", "upload-", "out-", "tmp-"]
+# Keys of a result that are public, prefixes of working folders, what an error without text reads.
+PUBLIC_KEYS = ["pages", "tables", "text_blocks", "images", "lines", "warnings", "files", "batch", "engine", "bytes"]
+PREFIXES = ["word2pdf_async_", "word2pdf_batch_async_", "pdf2word_async_", "pdf2word_batch_async_"]
+NO_TEXT = "转换失败"
 
 
 def current_jobs(updates: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -29,21 +31,22 @@ def reclaimable(jobs: DataFrame, now: str, kept_s: int = 30, stale_s: int = 3600
 def throttle_progress(updates: DataFrame, step: float = 0.02, seconds: float = 1.0) -> DataFrame:
     """Updates that are kept: each differs enough from the last kept one, in progress or in time.
 
-    A job's updates are folded in order in one row, so the memory is that of one job's log; for logs
-    without bound see streaming.throttle_stream.
+    A task reads its jobs' updates in order and holds the last kept one, so a long log costs no memory.
     """
-    each = F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "progress"))), lambda x: x)
-    grouped = updates.filter("progress is not null").groupBy("job_id").agg(each.alias("log"))
-    last = F.struct(F.lit(None).cast("double").alias("p"), F.lit(None).cast("timestamp").alias("t"))
-    start = F.struct(last.alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        at = x["ts"].cast("timestamp")
-        gap = F.unix_micros(at) - F.unix_micros(acc["last"]["t"])
-        drop = F.coalesce((x["progress"] - acc["last"]["p"] < step) & (gap < seconds * 1_000_000), F.lit(False))
-        return F.when(drop, acc).otherwise(F.struct(F.struct(x["progress"].alias("p"), at.alias("t")).alias("last"), F.concat(acc["kept"], F.array(x["seq"])).alias("kept")))
-
-    return grouped.select("job_id", F.explode(F.aggregate("log", start, fold, lambda acc: acc["kept"])).alias("seq"))
+    def run(batches):
+        job, last, since = None, 0.0, 0
+        for batch in batches:
+            kept = []
+            for i, (key, t, progress) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
+                if key == job and progress - last < step and t - since < seconds * 1_000_000:
+                    continue
+                job, last, since = key, progress, t
+                kept.append(i)
+            at = pa.array(kept, pa.int64())
+            yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at)], ["job_id", "seq"])
+
+    rows = updates.filter("progress is not null and job_id is not null").select(F.col("job_id").cast("string"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("seq").cast("long"), F.col("progress").cast("double"))
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "t", "seq").mapInArrow(run, "job_id string, seq long")
 
 
 def public_jobs(jobs: DataFrame) -> DataFrame:
@@ -54,10 +57,12 @@ def public_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def redact(text: Column) -> Column:
-    """The first line of an error without file paths, 500 characters at most."""
-    line = F.element_at(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), 1)
-    line = F.regexp_replace(line, r"[A-Za-z]:\\\S*", "…")
-    return F.substring(F.regexp_replace(line, r"(?:/[A-Za-z0-9_.-]++)+/", "…/"), 1, 500)
+    """The first line of an error without file paths, 500 characters at most; empty for none."""
+    edge = r"^[\s\x1c-\x1f\x85\u00a0\u2028\u2029]+|[\s\x1c-\x1f\x85\u00a0\u2028\u2029]+$"
+    line = F.element_at(F.split(F.regexp_replace(text, edge, ""), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"), 1)
+    line = F.regexp_replace(F.regexp_replace(line, edge, ""), r"[A-Za-z]:\\[^\s\"']*", "…")
+    line = F.regexp_replace(line, r"/[A-Za-z0-9_./-]+/", "…/")
+    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.substring(F.when(line == "", NO_TEXT).otherwise(line), 1, 500))
 
 
 def error_groups(updates: DataFrame) -> DataFrame:

@@ -7,8 +7,19 @@ from pyspark.sql import functions as F
 
 STATUSES = ("available", "expired", "exhausted", "missing")
 # Extensions of the content kinds.
-IMAGES = ["png", "jpg", "jpeg", "gif", "webp", "bmp", "svg"]
-TEXTS = ["txt", "md", "csv", "json", "log", "xml", "html"]
+IMAGES = ["png", "jpg", "jpeg", "gif", "webp", "bmp"]
+TEXTS = [
+    "txt", "text", "md", "markdown", "rst",
+    "c", "h", "cc", "cpp", "hpp", "cxx", "hh",
+    "py", "pyw", "js", "jsx", "mjs", "ts", "tsx",
+    "json", "csv", "tsv", "xml", "yaml", "yml", "toml", "ini",
+    "cfg", "conf", "properties", "env", "sql", "log",
+    "css", "scss", "less", "html", "htm", "svg",
+    "sh", "bash", "zsh", "bat", "cmd", "ps1", "fish",
+    "go", "rs", "java", "rb", "php", "lua", "r", "m", "pl",
+    "swift", "kt", "kts", "scala", "dart", "vue", "svelte",
+    "diff", "patch",
+]
 DEFAULTS = {"max_downloads": 0, "download_count": 0, "file_count": 1, "burn_after": 0, "note": "", "text_payload": "", "content_type": ""}
 
 
@@ -48,9 +59,10 @@ def list_packages(packages: DataFrame, now: str, limit: int = 50, q: str = "", s
 
 
 def content_kind(packages: DataFrame) -> DataFrame:
-    """Image, text, pdf or other by extension; null for text parcels."""
-    ext = F.lower(F.regexp_extract("original_name", r"\.([^.]+)$", 1))
-    kind = F.when(F.col("text_payload") != "", None).when(ext.isin(IMAGES), "image").when(ext == "pdf", "pdf").when(ext.isin(TEXTS), "text").otherwise("other")
+    """Image, pdf, text or other by extension or, where there is one, by content_type; null for text parcels."""
+    ext = F.lower(F.regexp_extract("original_name", r"[^/\\]\.([^./\\]+)$", 1))
+    given = F.lower(F.coalesce(F.col("content_type") if "content_type" in packages.columns else F.lit(""), F.lit("")))
+    kind = F.when(F.col("text_payload") != "", None).when(ext.isin(IMAGES) | given.startswith("image/"), "image").when((ext == "pdf") | (given == "application/pdf"), "pdf").when(ext.isin(TEXTS) | given.startswith("text/"), "text").otherwise("other")
     return packages.withColumn("kind", kind)
 
 
@@ -110,9 +122,9 @@ def assign_codes(new: DataFrame, used: DataFrame, seed: int = 7, space: int = 1_
 def settle_claims(packages: DataFrame, claims: DataFrame, kind: str = "file") -> DataFrame:
     """P10: the outcome of every claim: invalid, expired, exhausted, missing or ok, tested in this order.
 
-    Only a claim that is otherwise good uses a download up, so its number among the good ones of its
-    code decides whether one was left. A code's claims meet in one window partition; what it holds is a
-    few numbers a claim, and one that outgrows a task is settled by streaming.settle_claims_stream.
+    Only a claim that is otherwise good uses a download up. Where k downloads are left, all claims after the
+    k-th good one of their code find it spent; that one is sought among the first k of each of 64 slices of
+    the code's good claims, so a code with a great part of all claims is dealt to many tasks.
     A burnt parcel keeps no payload, yet later claims read `exhausted` first. A null code is invalid.
     """
     cap = F.when(F.col("burn_after") == 1, 1).otherwise(F.col("max_downloads"))
@@ -123,11 +135,15 @@ def settle_claims(packages: DataFrame, claims: DataFrame, kind: str = "file") ->
     full = (F.col("cap") > 0) & (F.col("download_count") >= F.col("cap"))
     good = F.col("found").isNotNull() & ~expired & ~full & F.col("has")
     each = each.withColumn("good", F.coalesce(good, F.lit(False)))
-    nth = F.sum(F.col("good").cast("int")).over(Window.partitionBy("c").orderBy("ts", "claim_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    used = F.col("download_count") + F.least(F.col("nth") - F.col("good").cast("int"), F.greatest(F.lit(0), F.col("cap") - F.col("download_count")))
-    spent = (F.col("cap") > 0) & (used >= F.col("cap"))
+    capped = each.filter("good and cap > 0").select("c", "ts", "claim_id", (F.col("cap") - F.col("download_count")).alias("k"), F.pmod(F.xxhash64("claim_id"), F.lit(64)).alias("slice"))
+    sliced = F.row_number().over(Window.partitionBy("c", "slice").orderBy("ts", "claim_id"))
+    nth = F.row_number().over(Window.partitionBy("c").orderBy("ts", "claim_id"))
+    some = capped.withColumn("n", sliced).filter("n <= k")
+    last = some.withColumn("n", nth).filter("n = k").select(F.col("c").alias("of"), F.struct("ts", "claim_id").alias("last"))
+    each = each.join(last, F.col("c") == F.col("of"), "left")
+    spent = (F.col("cap") > 0) & (full | F.coalesce(F.struct("ts", "claim_id") > F.col("last"), F.lit(False)))
     outcome = F.when(F.col("found").isNull(), "invalid").when(expired, "expired").when(spent, "exhausted").when(~F.col("has"), "missing").otherwise("ok")
-    return each.withColumn("nth", nth).withColumn("outcome", outcome).select("claim_id", "code", "ts", "outcome")
+    return each.withColumn("outcome", outcome).select("claim_id", "code", "ts", "outcome")
 
 
 def lookup(packages: DataFrame, codes: DataFrame, now: str) -> DataFrame:

@@ -2,49 +2,73 @@
 
 from __future__ import annotations
 
+import re
+from collections import deque
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Markers of limited paths, prefixes of noisy ones.
-MARKERS = ["/convert", "/compress", "/send", "/pickup", "/lookup", "/download", "/regex/test", "/regex/replace", "/format"]
-FETCHED = ["/download", "/pickup"]
-NOISY = ["/static/", "/health", "/favicon"]
+MARKERS = ["/convert-async", "/convert-batch-async", "/convert-batch", "/convert", "/compress", "/send", "/pickup", "/lookup", "/regex/test", "/regex/replace"]
+NOISY = ["/static/", "/health", "/sw.js", "/manifest.webmanifest", "/favicon"]
 
 
 def _any(path: Column, parts: list[str]) -> Column:
-    return path.rlike("(" + "|".join(parts) + ")")
+    return path.rlike("(" + "|".join(re.escape(p) for p in parts) + ")")
 
 
 def limited_scope(method: Column, path: Column) -> Column:
-    """Whether a request counts against the limit."""
+    """Whether a request counts against the limit: posts to limited paths, and what is fetched from them."""
     bare = F.regexp_replace(path, r"[?#].*$", "")
-    return ((method == "POST") & _any(bare, MARKERS)) | ((method == "GET") & _any(bare, FETCHED))
+    download = bare.rlike("/download/*$")
+    limited = _any(bare, MARKERS) | bare.startswith("/api/jobs") & download
+    return limited & ((method == "POST") | (method == "GET") & (download | bare.contains("/pickup")))
 
 
 def _micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def sliding_check(requests: DataFrame, limit: int, window_s: int, key: str = "client", order: str = "event_id") -> DataFrame:
-    """R2: verdict of each request; a denied one is not recorded and so doesn't count later.
+def _folded(rows: DataFrame, state: Callable, step: Callable, schema: str) -> DataFrame:
+    """Rows (key, t, id, ...) run through `step(state, row)` in order of key, time and id; a fresh state for each key.
 
-    The fold holds one key's requests in one row; for keys without bound see streaming.sliding_stream,
-    whose state is the last `limit` accepted times.
+    A task reads its keys in sorted order and holds one state, so a key with a great part of all rows
+    costs one task's time, in proportion to its rows, and no memory.
     """
-    log = requests.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct(_micros().alias("t"), F.col(order).alias("id")))).alias("log"))
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+
+    def run(batches):
+        key, own = None, None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own is None or row[0] != key:
+                    key, own = row[0], state()
+                out.append((row[0], row[2], *step(own, *row[1:2], *row[3:])))
+            yield pa.record_batch([pa.array([r[i] for r in out], kinds[part.split()[1]]) for i, part in enumerate(schema.split(", "))], names)
+
+    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(run, schema)
+
+
+def sliding_check(requests: DataFrame, limit: int, window_s: int, key: str = "client", order: str = "event_id") -> DataFrame:
+    """R2: verdict of each request; a denied one is not recorded and so doesn't count later."""
+    rows = requests.select(F.col(key).cast("string").alias("key"), _micros().alias("t"), F.col(order).cast("long").alias("id"))
     if limit <= 0:
-        return log.select("key", F.explode("log").alias("x")).select("key", F.col("x.id").alias(order), F.lit(True).alias("allowed"), F.lit(0).cast("long").alias("retry_after"), F.lit(-1).cast("long").alias("remaining"))
+        return rows.select("key", F.col("id").alias(order), F.lit(True).alias("allowed"), F.lit(0).cast("long").alias("retry_after"), F.lit(-1).cast("long").alias("remaining"))
     span = window_s * 1_000_000
-    start = F.struct(F.array().cast("array<bigint>").alias("live"), F.array().cast("array<struct<id:bigint,allowed:boolean,retry_after:bigint,remaining:bigint>>").alias("out"))
 
-    def fold(acc: Column, x: Column) -> Column:
-        live = F.filter(acc["live"], lambda t: t >= x["t"] - span)
-        full = F.size(live) >= limit
-        wait = F.greatest(F.lit(1).cast("long"), F.floor((span - (x["t"] - F.get(live, F.lit(0)))) / 1_000_000).cast("long") + 1)
-        row = F.struct(x["id"].cast("long").alias("id"), (~full).alias("allowed"), F.when(full, wait).otherwise(0).cast("long").alias("retry_after"), F.when(full, 0).otherwise(limit - F.size(live) - 1).cast("long").alias("remaining"))
-        return F.struct(F.when(full, live).otherwise(F.concat(live, F.array(x["t"]))).alias("live"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def step(live: deque, t: int) -> tuple[bool, int, int]:
+        while live and live[0] < t - span:
+            live.popleft()
+        if len(live) >= limit:
+            return False, max(1, (span - (t - live[0])) // 1_000_000 + 1), 0
+        live.append(t)
+        return True, 0, limit - len(live)
 
-    return log.select("key", F.explode(F.aggregate("log", start, fold, lambda acc: acc["out"])).alias("x")).select("key", F.col("x.id").alias(order), "x.allowed", "x.retry_after", "x.remaining")
+    return _folded(rows, deque, step, f"key string, {order} long, allowed boolean, retry_after long, remaining long")
 
 
 def sliding_record(requests: DataFrame, limit: int, window_s: int, key: str = "client") -> DataFrame:
@@ -56,24 +80,28 @@ def sliding_record(requests: DataFrame, limit: int, window_s: int, key: str = "c
 def lockouts(attempts: DataFrame, limit: int = 8, window_s: int = 600, lock_s: int = 900, key: str = "client", order: str = "event_id") -> DataFrame:
     """State of each attempt (ok boolean): locked, tripped (this failure locks), counted, or cleared by a success.
 
-    While a key is locked nothing is counted. One key's attempts are folded in one row.
+    While a key is locked nothing is counted.
     """
-    log = attempts.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct(_micros().alias("t"), F.col(order).cast("long").alias("id"), F.col("ok").alias("ok")))).alias("log"))
-    start = F.struct(F.array().cast("array<bigint>").alias("live"), F.lit(-(1 << 62)).alias("until"), F.array().cast("array<struct<id:bigint,state:string>>").alias("out"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        locked = x["t"] < acc["until"]
-        live = F.concat(F.filter(acc["live"], lambda t: t >= x["t"] - window_s * 1_000_000), F.array(x["t"]))
-        trips = ~locked & ~x["ok"] & (F.size(live) >= limit)
-        empty = F.array().cast("array<bigint>")
-        state = F.when(locked, "locked").when(x["ok"], "cleared").when(trips, "tripped").otherwise("counted")
-        return F.struct(
-            F.when(locked, acc["live"]).when(x["ok"] | trips, empty).otherwise(live).alias("live"),
-            F.when(trips, x["t"] + lock_s * 1_000_000).when(~locked & x["ok"], F.lit(-(1 << 62))).otherwise(acc["until"]).alias("until"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), state.alias("state")))).alias("out"),
-        )
-
-    return log.select("key", F.explode(F.aggregate("log", start, fold, lambda acc: acc["out"])).alias("x")).select("key", F.col("x.id").alias(order), "x.state")
+    rows = attempts.select(F.col(key).cast("string").alias("key"), _micros().alias("t"), F.col(order).cast("long").alias("id"), F.col("ok"))
+
+    def step(own: dict, t: int, ok: bool) -> tuple[str]:
+        live = own["live"]
+        if own["until"] is not None and t < own["until"]:
+            return ("locked",)
+        if ok:
+            live.clear()
+            own["until"] = None
+            return ("cleared",)
+        while live and live[0] < t - window_s * 1_000_000:
+            live.popleft()
+        live.append(t)
+        if len(live) < limit:
+            return ("counted",)
+        live.clear()
+        own["until"] = t + lock_s * 1_000_000
+        return ("tripped",)
+
+    return _folded(rows, lambda: {"live": deque(), "until": None}, step, f"key string, {order} long, state string")
 
 
 def fixed_window(requests: DataFrame, limit: int, window_s: int, key: str = "client", order: str = "event_id") -> DataFrame:
@@ -103,7 +131,7 @@ def idle_sweep(requests: DataFrame, now: str, idle_s: int = 3600, key: str = "cl
 
 def log_level(path: Column, status: Column) -> Column:
     """Level of an access line."""
-    return F.when(status >= 500, "ERROR").when(path.rlike("^(" + "|".join(NOISY) + ")"), "DEBUG").otherwise("INFO")
+    return F.when(status >= 500, "ERROR").when(path.rlike("^(" + "|".join(re.escape(p) for p in NOISY) + ")"), "DEBUG").otherwise("INFO")
 
 
 def log_rollup(requests: DataFrame, tool: Column, every: str) -> DataFrame:

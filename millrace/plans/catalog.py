@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import oracle, table
@@ -56,7 +55,7 @@ QUERIES = {
     "c5_flag_table": (lambda s, d: c.flag_table(_t(s, d), table(s, d, "disabled")), f"SELECT slug, slug NOT IN (SELECT slug FROM {_DISABLED}) AS enabled FROM $tools"),
     "c5_flags_status": (lambda s, d: c.flags_status(_t(s, d), table(s, d, "disabled")), f"SELECT count(*) FILTER (WHERE slug NOT IN (SELECT slug FROM {_DISABLED})) AS enabled, count(*) AS total, count(*) FILTER (WHERE slug IN (SELECT slug FROM {_DISABLED})) AS disabled FROM $tools"),
     "c6_by_category": (
-        lambda s, d: c.by_category(_eff(s, d), _cats(s, d)).select("id", "pos", F.posexplode("slugs").alias("at", "slug")),
+        lambda s, d: c.by_category(_eff(s, d), _cats(s, d)),
         f"""SELECT coalesce(k.id, '_other') AS id, coalesce(pos, 1073741824) AS pos, CAST(row_number() OVER (PARTITION BY coalesce(k.id, '_other') ORDER BY ord, slug) - 1 AS INT) AS at, slug
         FROM {_EFF} e LEFT JOIN {_CATS} k ON e.category = k.id WHERE NOT coalesce(hidden, false)""",
     ),
@@ -72,9 +71,9 @@ QUERIES = {
     ),
     "c10_snapshot_counts": (lambda s, d: c.snapshot_counts(_t(s, d)), "SELECT count(*) FILTER (WHERE NOT featured) AS modules, count(*) FILTER (WHERE featured) AS featured, count(*) AS total FROM $tools"),
     "c11_save_categories": (
-        lambda s, d: c.save_categories(_t(s, d).select(F.concat(F.substring("slug", 1, 3), F.lit("!"), (F.col("ord") % 5).cast("string")).alias("id"), F.row_number().over(Window.orderBy("slug")).alias("pos"), F.when(F.col("ord") % 2 == 0, "red").otherwise("pink").alias("accent")), s.createDataFrame([("for0",)], "id string")),
+        lambda s, d: c.save_categories(_t(s, d).select(F.concat(F.substring("slug", 1, 3), F.lit("!"), (F.col("ord") % 5).cast("string")).alias("id"), F.regexp_extract("slug", "([0-9]+)$", 1).cast("int").alias("pos"), F.when(F.col("ord") % 2 == 0, "rose").otherwise("pink").alias("accent")), s.createDataFrame([("for0",)], "id string")),
         """SELECT id, pos, accent FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM (SELECT concat(regexp_replace(substr(slug, 1, 3), '[^A-Za-z0-9_-]', '', 'g'), CAST(ord % 5 AS STRING)) AS id,
-        CAST(row_number() OVER (ORDER BY slug) AS INT) AS pos, CASE WHEN ord % 2 = 0 THEN 'red' ELSE 'blue' END AS accent FROM $tools)) WHERE n = 1 AND id <> 'for0'""",
+        CAST(regexp_extract(slug, '([0-9]+)$', 1) AS INT) AS pos, CASE WHEN ord % 2 = 0 THEN 'rose' ELSE 'indigo' END AS accent FROM $tools)) WHERE n = 1 AND id <> 'for0'""",
     ),
     "c11_clean_overrides": (lambda s, d: c.clean_overrides(table(s, d, "overrides"), _cats(s, d)).select("slug", "category"), f"SELECT slug, category FROM $overrides WHERE category IN (SELECT id FROM {_CATS})"),
     "c12_override_diff": (lambda s, d: c.override_diff(table(s, d, "overrides"), _t(s, d), _cats(s, d)), f"SELECT o.slug, o.category FROM $overrides o JOIN $tools t USING (slug) WHERE o.category IN (SELECT id FROM {_CATS}) AND o.category IS DISTINCT FROM t.category"),

@@ -19,6 +19,10 @@ _SHOWN = ["id", "expired", "seconds_remaining", "exhausted", "downloads_left", "
 _STATUS = {"available": "available AND file_exists", "expired": "expired", "exhausted": "exhausted AND NOT expired", "missing": "NOT file_exists"}
 
 
+_TYPE = "CASE size_bytes % 9 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/heic' WHEN 2 THEN 'application/pdf' ELSE '' END"
+_NAME = "CASE size_bytes % 5 WHEN 0 THEN concat(original_name, '.svg') WHEN 1 THEN concat(original_name, '.bin') WHEN 2 THEN 'README' ELSE original_name END"
+
+
 def _p(s, d):
     return table(s, d, "packages")
 
@@ -51,8 +55,9 @@ QUERIES = {
         f"SELECT id, code FROM (SELECT * FROM ({_VIEW}) ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 300) WHERE contains(lower(concat_ws(chr(10), code, original_name, note, id)), '5') AND exhausted AND NOT expired ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 60",
     ),
     "p4_content_kind": (
-        lambda s, d: p.content_kind(_p(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
-        "SELECT CASE WHEN text_payload <> '' THEN NULL WHEN original_name LIKE '%.png' THEN 'image' WHEN original_name LIKE '%.pdf' THEN 'pdf' ELSE 'text' END AS kind, count(*) AS n FROM $packages GROUP BY 1",
+        lambda s, d: p.content_kind(_p(s, d).withColumn("content_type", F.expr(_TYPE)).withColumn("original_name", F.expr(_NAME))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
+        f"""SELECT CASE WHEN text_payload <> '' THEN NULL WHEN name LIKE '%.png' OR type LIKE 'image/%' THEN 'image' WHEN name LIKE '%.pdf' OR type = 'application/pdf' THEN 'pdf'
+        WHEN name LIKE '%.txt' OR name LIKE '%.svg' OR type LIKE 'text/%' THEN 'text' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT text_payload, {_TYPE} AS type, {_NAME} AS name FROM $packages) GROUP BY 1""",
     ),
     "p5_package_stats": (lambda s, d: p.package_stats(_p(s, d)), "SELECT count(*) AS n, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS size_bytes FROM $packages"),
     "p6_purge_expired": (lambda s, d: p.purge_expired(_p(s, d), THEN).select("id"), f"SELECT id FROM $packages WHERE expires_at > TIMESTAMP '{THEN}'"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Leading bytes (in hex) of image types, and types by extension.
 MAGIC = [("jpeg", "^FFD8FF"), ("png", "^89504E470D0A1A0A"), ("gif", "^474946383[79]61"), ("webp", "^52494646.{8}57454250"), ("bmp", "^424D"), ("tiff", "^(49492A00|4D4D002A)"), ("ico", "^0000(01|02)00")]
-EXTENSIONS = {"jpg": "jpeg", "jpeg": "jpeg", "png": "png", "gif": "gif", "webp": "webp", "bmp": "bmp", "tif": "tiff", "tiff": "tiff", "ico": "ico", "cur": "ico"}
+EXTENSIONS = {"jpg": "jpeg", "jpeg": "jpeg", "jpe": "jpeg", "jfif": "jpeg", "png": "png", "gif": "gif", "webp": "webp", "bmp": "bmp", "tif": "tiff", "tiff": "tiff", "ico": "ico", "cur": "ico"}
 #: Limits of an archive: members, bytes of a member and of all, ratio that is suspect from some size on.
 MEMBERS, MEMBER_BYTES, ALL_BYTES, RATIO, RATIO_BYTES = 5000, 200 << 20, 500 << 20, 100, 10 << 20
 
@@ -63,10 +63,10 @@ def classify(content: Column, path: Column) -> Column:
     by_magic = None
     for kind, pattern in MAGIC:
         by_magic = F.when(head.rlike(pattern), kind) if by_magic is None else by_magic.when(head.rlike(pattern), kind)
-    svg = F.lower(F.substring(content, 1, 512).cast("string")).rlike(r"^\s*(<\?xml[^>]*>\s*)?(<!--.*?-->\s*)?<svg")
+    svg = F.substring(content, 1, 4096).cast("string").rlike(r"(?is)^\s*(?:<\?xml\b[^>]*>\s*)?(?:<!--.*?-->\s*)*<svg\b")
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     known = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))
-    return F.coalesce(by_magic, F.when(svg | (ext == "svg"), "svg"), F.element_at(known, ext), F.lit("unsupported"))
+    return F.coalesce(by_magic, F.when(svg | ext.isin("svg", "svgz"), "svg"), F.element_at(known, ext), F.lit("unsupported"))
 
 
 def file_inventory(files: DataFrame) -> DataFrame:

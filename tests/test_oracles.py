@@ -32,7 +32,8 @@ def rows(frame: pd.DataFrame) -> list:
         if isinstance(x, bool):
             return str(x).lower()
         if isinstance(x, float) or type(x).__name__ == "Decimal":
-            return f"{float(x):.6f}" if float(x) != int(x) else str(int(x))
+            x = round(float(x), 6)
+            return f"{x:.6f}" if x != int(x) else str(int(x))
         return str(x)
 
     return sorted(tuple(map(shown, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))

@@ -49,6 +49,7 @@ def test_escapes():
     assert codec.unescaped("\\ud83d\\ude00") == "😀"
     with pytest.raises(ValueError):
         codec.unescaped("\\u{110000}", "es6")
+    assert codec.unescaped("\\U0001F600 U+41 xU+41 \\\\u{41} \\u{00000041}") == "😀 A xU+41 A A"
     for style in ("unicode", "es6", "percent", "html"):
         assert codec.unescaped(codec.escaped("né 你😀", style)) == "né 你😀"
 
@@ -71,9 +72,9 @@ def test_markdown():
 
 def test_main_content(spark):
     long = "word " * 60
-    page = f"<div class='header'>{long}</div><div class='post-body'><p>{long}</p></div><div class='comments'>{long * 3}</div>"
+    page = f"<div class='header'>{long}</div><div class='post_body'><p>{long}</p></div><div class='comments'>{long * 3}</div>"
     row = html.main_content(spark.createDataFrame([(1, page), (2, "<p>short</p>")], "page_id long, html string")).orderBy("page_id").collect()
-    assert row[0].extracted and row[0].content.startswith("<div class='post-body'>") and row[0].content.endswith("</div>") and "comments" not in row[0].content
+    assert row[0].extracted and row[0].content.startswith("<div class='post_body'>") and row[0].content.endswith("</div>") and "comments" not in row[0].content
     assert not row[1].extracted and row[1].content == "<p>short</p>"
 
 
@@ -115,6 +116,51 @@ def test_redact(spark):
     assert one(spark, jobs.redact(F.col("t")), t="bad C:\\a\\b.txt and /tmp/x/y.pdf\nmore") == "bad … and …/y.pdf"
 
 
+@pytest.mark.parametrize("raw, out", [("  \n x /a//b/c \n y", "x …/c"), ("open 'C:\\a b\\c' now", "open '… b\\c' now"), (None, ""), ("", ""), (" \t", jobs.NO_TEXT), ("a\x0bb", "a"), ("e" * 600, "e" * 500)])
+def test_redact_edges(spark, raw, out):
+    assert one(spark, jobs.redact(F.col("t")), t=raw) == out
+
+
+@pytest.mark.parametrize("method, path, out", [("POST", "/tools/json/format", False), ("POST", "/tools/x/convert-batch", True), ("GET", "/api/jobs/1/download/", True), ("POST", "/api/jobs/1/download", True), ("GET", "/tools/x/download", False), ("GET", "/files/pickup/1", True), ("GET", "/tools/x/convert", False), ("PUT", "/tools/x/convert", False)])
+def test_limited(spark, method, path, out):
+    assert one(spark, requests.limited_scope(F.col("m"), F.col("p")), m=method, p=path) is out
+
+
+def test_kinds(spark):
+    rows = [("a.svg", "", "text"), ("a.PNG", "", "image"), ("a.bin", "image/heic", "image"), ("a", "text/x", "text"), (".env", "", "other"), ("x.env", "", "text"), ("x.kts", "", "text"), ("q", "application/pdf", "pdf"), ("q.", "", "other")]
+    frame = spark.createDataFrame([(n, c, "") for n, c, _ in rows], "original_name string, content_type string, text_payload string")
+    assert [r.kind for r in parcels.content_kind(frame).collect()] == [k for _, _, k in rows]
+
+
+def test_dedupe_names(spark):
+    names = ["a", "a", "a_1", "a_1_1", "A", "b.txt", "B.TXT", None, ".x", ".x"]
+    got = activity.dedupe_names(spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "g int, i int, n string"), "g", "n", "i").orderBy("i").collect()
+    assert [r.unique_name for r in got] == ["a", "a_1", "a_1_1", "a_1_1_1", "A_2", "b.txt", "B_1.TXT", None, ".x", ".x_1"]
+
+
+def test_line_dedupe_keeps_all(spark):
+    rows = text.corpus_line_dedupe(spark.createDataFrame([(1, "a\nb"), (2, None), (3, ""), (4, "b\n\n\nc")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text, r.dropped) for r in rows] == [(1, "a\nb", 0), (2, "", 0), (3, "", 0), (4, "\nc", 2)]
+
+
+def test_time_forms(spark):
+    rows = text.normalise_timestamps(spark.createDataFrame([("2024-01-02 03",), ("2024-01-02 03:04:05.123456",)], "raw string"), "raw").collect()
+    assert rows[0].local == "2024-01-02 03:00:00" and rows[1].error == "unparseable"
+
+
+def test_file_kinds(spark):
+    svg = b"\xef<?xml version='1'?>\n<!-- a\nb --> <!-- c --> <svg x>"
+    rows = [(svg[1:], "x", "svg"), (b"?", "a.jfif", "jpeg"), (b"?", "a.jpe", "jpeg"), (b"?", "a.svgz", "svg"), (b"<svgx", "a", "unsupported"), (b"", "a.cur", "ico"), (b" " * 3000 + b"<svg>", "a", "svg")]
+    frame = spark.createDataFrame([(bytearray(c), n) for c, n, _ in rows], "content binary, path string")
+    assert [r[0] for r in frame.select(files.classify(F.col("content"), F.col("path"))).collect()] == [k for _, _, k in rows]
+
+
+def test_main_content_offsets(spark):
+    page = "<body>\f\r x\u2028<article>" + "<p>words of it </p>" * 12 + "</article><div class='main-content nav'>" + "z" * 900 + "</div>"
+    row = html.main_content(spark.createDataFrame([(1, page)], "page_id long, html string")).first()
+    assert row.extracted and row.content == page[page.index("<article>") : page.index("</article>") + 10]
+
+
 def test_names(spark):
     assert one(spark, activity.sanitize_name(F.col("t")), t="a/b/..con.txt") == "_con.txt"
     assert one(spark, activity.sanitize_name(F.col("t")), t="报告 1?.pdf") == "报告_1_.pdf"
@@ -122,10 +168,10 @@ def test_names(spark):
 
 
 def test_ranges(spark):
-    specs = spark.createDataFrame([(1, 6, "1-3,5"), (2, 6, "4-9"), (3, 6, "")], "id long, total int, spec string")
+    specs = spark.createDataFrame([(1, 6, "1-3,5"), (2, 6, "4-9"), (3, 6, ""), (4, 6, None)], "id long, total int, spec string")
     strict = text.expand_ranges(specs)
     assert [r.n for r in strict.filter("id = 1").orderBy("ord").collect()] == [1, 2, 3, 5]
-    assert {r.id for r in strict.filter("error is not null").collect()} == {2, 3}
+    assert {r.id for r in strict.filter("error is not null").collect()} == {2, 3, 4}
     assert [r.n for r in text.expand_ranges(specs, False).filter("id = 2").orderBy("ord").collect()] == [4, 5, 6]
     assert text.compact_ranges(strict.filter("id = 1")).first().spec == "1-3,5"
 
