@@ -179,6 +179,31 @@ def test_ann(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_ann_audit(spark):
+    """Uniform directions, of which far fewer than the first candidates suffice at first: the audit doubles them until recall holds."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    frame = vectors_of(spark, [(i, [float(c) for c in v], 1) for i, v in enumerate(x)])
+    v = ann.usable(frame)
+    got = collections.defaultdict(set)
+    for r in ann.search(v, v.filter("id % 20 = 0"), 20, refine=25).collect():
+        got[r.query_id].add(r.id)
+    near = x.astype(np.float64) @ x[::20].astype(np.float64).T
+    near[np.arange(0, 6000, 20), np.arange(300)] = -np.inf
+    best = np.argsort(-near, axis=0, kind="stable")[:20].T
+    assert sum(len(got[20 * q] & set(b.tolist())) for q, b in enumerate(best)) / 6000 >= 0.93
+
+
+def test_ann_sizes(spark):
+    """Finite components beyond single precision, tiny ones, other lengths, repeated rows, clashing columns, no usable query."""
+    rows = [(i, [float(i), 1.0], 1) for i in range(1, 30)] + [(40, [1e300, 0.0], 1), (41, [1e-300, 0.0], 1), (42, [1.0], 1), (20, [20.0, 1.0], 1)]
+    frame = spark.createDataFrame([(i, v, c, "x", "y") for i, v, c in rows], "vec_id long, embedding array<double>, label int, part string, ids string")
+    v = ann.usable(frame)
+    got = {(r.query_id, r["rank"]): r.id for r in ann.search(v, v.filter("id = 20"), 3).collect()}
+    assert got == {(20, 1): 40, (20, 2): 29, (20, 3): 28}
+    assert ann.search(v, v.filter("id = 42"), 3).count() == ann.search(v, v.filter("id = -1"), 3).count() == 0
+
+
 def test_ann_odd(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [None, 1.0], 1), (6, [float("nan"), 1.0], 1), (7, [-1.0, 0.5], None)]
     v = ann.usable(vectors_of(spark, rows))
