@@ -1,16 +1,23 @@
 """Surrogates for personal data, by DataFrame functions only.
 
 Mail addresses, telephone numbers, IPv4 addresses, payment cards (13 to 19 digits with a right check
-digit), US social security numbers, IBANs and personal names (after a title, or a listed given name
-before a capitalised surname) are found in whole texts. Each distinct entity gets a keyed surrogate
-of its type: digits for digits in the same layout, letters of the same script, a given name of the
-same gender, the same letter case, a right check digit where the original has one. All mentions of
-an entity, however written, get the same surrogate; two entities never share one, and no surrogate
-is a real entity: colliding candidates are drawn again until none is left.
+digit), US social security numbers, IBANs (with right check digits) and personal names are found in whole
+texts. A name is what follows a title, a listed given name with the capitalised word behind it, or two
+capitalised words behind a label such as `Name:`. Each distinct entity gets a keyed surrogate of its
+type: digits for digits in the same layout (a telephone number keeps its country code), letters of the
+same script, a given name of the same gender, the same letter case, right check digits where the
+original has them.
+
+Coreference: all mentions of an entity, however written, get the same surrogate. A name is its given name
+and its surname: each has one surrogate in the whole corpus, so `John Smith`, `Mr. Smith` and `Anna Smith`
+stay as related as they are, and in a text with a name its surname is found where it stands alone, too.
+Two entities never share a surrogate, and no surrogate is a real entity (given names excepted: what is
+given to one may be borne by another, the surname tells them apart): colliding candidates are drawn again.
+Where a space is so crowded that forty draws leave some open, those take each other's values.
 
 Defined results: a null text stays null, an empty one empty; a text without entities is returned as
-it is. Repeated rows come back repeated; other columns pass through, those of clashing names too.
-Where two patterns match at one place the first listed wins; matches don't overlap.
+it is. Repeated rows come back repeated; other columns pass through, whatever their names, but for
+`n_entities`, which is replaced. Where two patterns match at one place the first listed wins; matches don't overlap.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from __future__ import annotations
 from functools import reduce
 from secrets import token_hex
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -28,14 +35,22 @@ KEY = "spark.millrace.pii.key"
 # Titles and given names by gender, syllables for surnames, by script.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Madame", "Mme", "Mlle", "Frau", "Señora", "Sra", "Srta", "Госпожа"], "m": ["Mr", "Monsieur", "Herr", "Señor", "Sr", "Господин"], "n": ["Dr", "Prof"]}
 GIVEN = {
-    ("f", "latin"): ["Alice", "Anna", "Barbara", "Carmen", "Claire", "Elena", "Emma", "Eva", "Hannah", "Helen", "Ines", "Isabel", "Jane", "Julia", "Karen", "Laura", "Linda", "Lucia", "Maria", "Marie", "Martha", "Mary", "Nancy", "Petra", "Rosa", "Ruth", "Sarah", "Sofia", "Susan", "Ursula"],
-    ("m", "latin"): ["Adam", "Albert", "Alan", "Antonio", "Bernard", "Carlos", "Charles", "Daniel", "David", "Eric", "Felix", "Frank", "George", "Hans", "Henry", "Hugo", "Ivan", "Jack", "James", "John", "Jorge", "Karl", "Louis", "Luis", "Mark", "Michael", "Paul", "Peter", "Robert", "Thomas"],
+    ("f", "latin"): [
+        "Alice", "Anna", "Barbara", "Carmen", "Claire", "Elena", "Emma", "Eva", "Hannah", "Helen", "Ines", "Isabel", "Jane", "Julia", "Karen", "Laura", "Linda", "Lucia", "Maria", "Marie",
+        "Martha", "Mary", "Nancy", "Petra", "Rosa", "Ruth", "Sarah", "Sofia", "Susan", "Ursula", "Olga", "Priya", "Fatima", "Aisha", "Yuki", "Mei", "Ingrid", "Chiara", "Leila", "Amina",
+    ],
+    ("m", "latin"): [
+        "Adam", "Albert", "Alan", "Antonio", "Bernard", "Carlos", "Charles", "Daniel", "David", "Eric", "Felix", "Frank", "George", "Hans", "Henry", "Hugo", "Ivan", "Jack", "James", "John",
+        "Jorge", "Karl", "Louis", "Luis", "Mark", "Michael", "Paul", "Peter", "Robert", "Thomas", "Wei", "Ahmed", "Mohammed", "Hiroshi", "Raj", "Sanjay", "Lars", "Giovanni", "Pavel", "Omar",
+    ],
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Татьяна"],
     ("m", "cyrillic"): ["Алексей", "Борис", "Виктор", "Дмитрий", "Иван", "Михаил", "Николай", "Олег", "Павел", "Сергей"],
 }
 SYLLABLES = {"latin": ["bar", "ber", "cor", "dal", "den", "fal", "gar", "hol", "jar", "kel", "lan", "mar", "nor", "pel", "ros", "sal"], "cyrillic": ["бар", "вел", "гор", "дан", "жел", "зор", "кал", "лев", "мар", "нов", "пол", "рад", "сол", "тор", "фед", "хол"]}
+LABELS = ["Name", "Full name", "Contact", "Patient", "Employee", "Customer", "Attn", "Author", "Signed", "Имя", "Nombre", "Nom"]
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
-_NAME = r"\p{Lu}\p{Ll}+(?:[-']\p{Lu}\p{Ll}+)?"
+_WORD = r"\p{Lu}\p{Ll}+(?:[-']\p{Lu}\p{Ll}+)?"
 _TITLES = "|".join(t for kind in TITLES.values() for t in kind)
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 #: Kinds in order of precedence. Every pattern starts behind a boundary, so no place is scanned twice.
@@ -46,14 +61,18 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+(.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{8,15})(?![\p{L}\p{N}]|-\d)",
     "card": r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})(?!\p{{L}})",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD}|(?<=\b(?:{'|'.join(LABELS)}): ){_WORD} {_WORD})(?!\p{{L}})",
 }
 ANY = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(PATTERNS.values())})"
+#: In texts with a name every capitalised word may be its surname.
+WIDE = rf"{ANY}|(?<![\p{{L}}\p{{N}}]){_WORD}(?!\p{{L}})"
 
 
 def _kind(value: Column) -> Column:
-    chain = reduce(lambda made, kind: made.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind), list(PATTERNS)[1:], F.when(value.rlike(f"^(?:{PATTERNS['email']})$"), "email"))
-    return chain.otherwise("phone")
+    chain = F.when(value.rlike(f"^(?:{_WORD})$"), "word")
+    chain = reduce(lambda made, kind: made.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind), [k for k in PATTERNS if k not in ("phone", "name")], chain)
+    # a label stands before the matched value, so names are told by their letters
+    return chain.when(value.rlike(rf"^\p{{Lu}}[\p{{L}}.]+ "), "name").otherwise("phone")
 
 
 def _luhn(digits: Column) -> Column:
@@ -67,10 +86,15 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, rf"^(?:{_TITLES})\.? ", "")
+
+
 def _canonical(kind: Column, value: Column) -> Column:
-    """What all ways of writing one entity share."""
-    bare = F.lower(F.regexp_replace(value, rf"^(?:{_TITLES})\.? ", ""))
-    return F.when(kind.isin("phone", "card", "ssn"), _digits(value)).when(kind == "iban", F.regexp_replace(value, " ", "")).when(kind == "name", bare).otherwise(F.lower(value))
+    """What all ways of writing one entity share; of a name, its surname."""
+    plus = F.when(value.startswith("+"), F.concat(F.lit("+"), _digits(value))).otherwise(_digits(value))
+    surname = F.lower(F.element_at(F.split(_bare(value), " "), -1))
+    return F.when(kind == "phone", plus).when(kind.isin("card", "ssn"), _digits(value)).when(kind == "iban", F.regexp_replace(value, " ", "")).when(kind.isin("name", "word"), surname).otherwise(F.lower(value))
 
 
 def _sex(value: Column) -> Column:
@@ -99,7 +123,9 @@ def _candidate(key: str) -> Column:
     hexes = F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("#")), 256))
     stream = F.translate(hexes, "abcdef", "135790")
     n = F.length(canonical)
-    plain = F.concat(F.substring(canonical, 1, 1), F.substring(stream, 1, 200).substr(F.lit(1), n - 1))
+    code = F.when(kind == "phone", F.regexp_extract(canonical, COUNTRY, 0)).otherwise("")
+    code = F.when(code == "", F.substring(canonical, 1, 1)).otherwise(code)
+    plain = F.concat(code, stream.substr(F.lit(1), n - F.length(code)))
     body = F.concat(F.substring(canonical, 1, 1), stream.substr(F.lit(1), n - 2))
     card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     ip = F.concat_ws(".", *((_number(hexes, i) % 254 + 1).cast("string") for i in (1, 5, 9, 13)))
@@ -126,12 +152,17 @@ def _candidate(key: str) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.least(F.lit(9), attempt + 1)), lambda i: _pick(SYLLABLES[script], F.conv(F.substr(hexes, (i * 4 + 9).cast("int"), F.lit(4)), 16, 10).cast("int")))
         return F.initcap(F.array_join(parts, ""))
 
-    names = None
-    for (sex, script), given in GIVEN.items():
+    def given(names: list[str]) -> Column:
+        """One listed name, and a double, then a longer one if those are taken."""
+        picks = F.transform(F.sequence(F.lit(0), F.least(F.lit(9), F.floor(attempt / 3).cast("int"))), lambda i: _pick(names, F.conv(F.substr(hexes, (i * 4 + 5).cast("int"), F.lit(4)), 16, 10).cast("int")))
+        return F.array_join(picks, "-")
+
+    made = None
+    for (sex, script), names in GIVEN.items():
         same = (F.col("script") == script) & ((F.col("sex") == sex) | (F.col("sex") == "n") & (F.lit(sex) == F.when(_number(hexes, 1) % 2 == 0, "f").otherwise("m")))
-        made = F.when(F.col("given"), F.concat(_pick(given, _number(hexes, 5)), F.lit(" "), surname(script))).otherwise(surname(script))
-        names = F.when(same, made) if names is None else names.when(same, made)
-    return F.when(kind == "email", email).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", names).otherwise(plain)
+        made = F.when(same, given(names)) if made is None else made.when(same, given(names))
+    last = F.when(F.col("script") == "cyrillic", surname("cyrillic")).otherwise(surname("latin"))
+    return F.when(kind == "email", email).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "surname", last).when(kind == "given", made).otherwise(plain)
 
 
 def _mod97(text: Column) -> Column:
@@ -139,46 +170,68 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(digits, F.lit(0), lambda r, d: (r * F.when(d > 9, 100).otherwise(10) + F.coalesce(d, F.lit(0))) % 97)
 
 
-def _same(kind: Column, text: Column) -> Column:
-    """What must differ between two entities: names and addresses without letter case."""
-    return F.lower(text)
+def _iban_fits(canonical: Column) -> Column:
+    return _mod97(F.concat(F.substring(canonical, 5, 64), F.substring(canonical, 1, 4))) == 1
+
 
+#: Draws before what is left open is settled among itself.
+DRAWS = 40
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canonical, surrogate) for distinct entities; no two share a surrogate, none is an entity.
+
+def surrogates(entities: DataFrame, key: str, draws: int = DRAWS) -> DataFrame:
+    """(kind, canonical, surrogate) for distinct entities (kind, canonical, sex, script); no two of a kind share a surrogate.
 
     Each round draws for the entities that are still open. A draw is refused if a smaller open entity
-    has it too, if it was given before, or if it is an entity itself. Name surrogates grow by a
-    syllable a round, so a crowded space always opens up; the others have millions of values at least.
+    has it too, if it was given before, or if it is an entity itself (other than a given name). Name surrogates
+    grow by a syllable a round, so a crowded space always opens up; the others have millions of values at
+    least. What `draws` rounds leave open takes, kind and length by kind and length, the next open one's own
+    value: those were given to none.
     """
     entities = written(entities)
-    real = entities.select("kind", F.lower("canonical").alias("key")).distinct()
+    real = entities.filter("kind <> 'given'").select("kind", F.lower("canonical").alias("key")).distinct()
     open_rows, given, attempt = entities, None, 0
     while True:
-        drawn = open_rows.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", _candidate(key)).withColumn("key", _same(F.col("kind"), F.col("surrogate")))
+        drawn = open_rows.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", _candidate(key)).withColumn("key", F.lower("surrogate"))
         drawn = written(drawn)
         first = drawn.groupBy("kind", "key").agg(F.min("canonical").alias("canonical"))
-        taken = real if given is None else real.unionByName(given.select("kind", _same(F.col("kind"), F.col("surrogate")).alias("key")))
+        taken = real if given is None else real.unionByName(given.select("kind", F.lower("surrogate").alias("key")))
         good = written(first.join(taken, ["kind", "key"], "left_anti").join(drawn.drop("key"), ["kind", "canonical"]).select("kind", "canonical", "surrogate"))
         given = good if given is None else given.unionByName(good)
         open_rows = written(entities.join(given, ["kind", "canonical"], "left_anti"))
         attempt += 1
         if open_rows.isEmpty():
             return given
-        if attempt > 40:
-            raise ValueError("no free surrogate is left for some entities")
+        if attempt >= draws:
+            turn = Window.partitionBy("kind", F.length("canonical")).orderBy(F.xxhash64("canonical", F.lit(key)), "canonical")
+            everyone = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            other = F.coalesce(F.lead("canonical").over(turn), F.first("canonical").over(everyone))
+            return given.unionByName(open_rows.select("kind", "canonical", other.alias("surrogate")))
 
 
-def _rendered(kind: Column, value: Column, surrogate: Column) -> Column:
+def _rendered(kind: Column, value: Column, surrogate: Column, given: Column) -> Column:
     """The surrogate in the way `value` is written: its digits in the same places, title and letter case kept."""
+    signs = F.when(kind == "phone", _digits(surrogate)).otherwise(surrogate)
     spread = F.aggregate(
         F.split(value, ""),
         F.struct(F.lit("").alias("s"), F.lit(1).alias("i")),
-        lambda acc, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct(F.concat(acc["s"], F.substr(surrogate, acc["i"], F.lit(1))).alias("s"), (acc["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["i"].alias("i"))),
+        lambda acc, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct(F.concat(acc["s"], F.substr(signs, acc["i"], F.lit(1))).alias("s"), (acc["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["i"].alias("i"))),
     )["s"]
     title = F.regexp_extract(value, rf"^(?:{_TITLES})\.? ", 0)
     cased = F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), spread).when(kind == "name", F.concat(title, surrogate)).otherwise(cased)
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), spread).when(kind == "surname", F.concat(title, F.coalesce(F.concat(given, F.lit(" ")), F.lit("")), surrogate)).otherwise(cased)
+
+
+def mentions(texts: DataFrame, pattern: str) -> DataFrame:
+    """(content, pos, value, kind, canonical, given) of all matches in distinct texts (content, text); kind is null where a match is no entity."""
+    each = texts.select("content", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))).alias("pos", "value")).withColumn("kind", _kind(F.col("value")))
+    each = each.withColumn("canonical", _canonical(F.col("kind"), F.col("value")))
+    parts = F.split(_bare(F.col("value")), " ")
+    each = each.withColumn("given", F.when((F.col("kind") == "name") & (F.size(parts) > 1), F.lower(parts[0])))
+    # a capitalised word is a mention if it is the surname of a name in the same text
+    own = F.collect_set(F.when(F.col("kind") == "name", F.col("canonical"))).over(Window.partitionBy("content"))
+    fits = F.when(F.col("kind") == "card", _luhn(F.col("canonical")) == 0).when(F.col("kind") == "iban", _iban_fits(F.col("canonical"))).when(F.col("kind") == "word", F.array_contains("own", F.col("canonical"))).otherwise(True)
+    each = each.withColumn("own", own).withColumn("kind", F.when(fits, F.when(F.col("kind").isin("name", "word"), "surname").otherwise(F.col("kind")))).drop("own")
+    return each.filter("kind is not null") if pattern == WIDE else each
 
 
 def replaced(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -187,26 +240,40 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     Only mentions are shuffled to find surrogates, in a split-able join; the texts with mentions move
     once, the others never. One text's mentions are gathered by the text's own hash.
     """
-    has = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
-    marked = docs.filter(has)
-    keyed = marked.select(F.md5(text_col).alias("_content"), F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)).alias("m"))
-    mentions = keyed.dropDuplicates(["_content"]).select("_content", F.posexplode("m").alias("pos", "value")).withColumn("kind", _kind(F.col("value")))
-    mentions = mentions.withColumn("canonical", _canonical(F.col("kind"), F.col("value")))
-    real = (F.col("kind") != "card") | (_luhn(F.col("canonical")) == 0)
-    mentions = written(mentions.withColumn("kind", F.when(real, F.col("kind"))))
-    sex = F.min(F.when(F.col("kind") == "name", F.nullif(_sex(F.col("value")), F.lit("n"))))
-    entities = mentions.filter("kind is not null").groupBy("kind", "canonical").agg(F.coalesce(sex, F.lit("n")).alias("sex"))
+    text = F.col("row")[text_col]
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    has = F.coalesce(text.rlike(ANY), F.lit(False))
+    named = text.rlike(PATTERNS["name"])
+    marked = rows.filter(has).withColumns({"content": F.md5(text), "named": named})
+
+    def found(pattern: str) -> DataFrame:
+        own = marked.filter(F.col("named") == F.lit(pattern == WIDE)).select("content", text.alias("text")).dropDuplicates(["content"])
+        return mentions(own, pattern)
+
+    told = written(found(ANY).unionByName(found(WIDE)))
+    named_sex = F.min(F.nullif(_sex(F.col("value")), F.lit("n")))
+    whole = told.filter("kind is not null").select("kind", "canonical", F.lit(None).cast("string").alias("value")).distinct()
+    given = told.filter("given is not null").select(F.lit("given").alias("kind"), F.col("given").alias("canonical"), "value")
+    entities = whole.unionByName(given).groupBy("kind", "canonical").agg(F.coalesce(named_sex, F.lit("n")).alias("sex"))
     script = F.when(F.col("canonical").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    entities = entities.withColumns({"script": script, "given": F.col("canonical").contains(" ")})
-    table = surrogates(entities, key)
-    shown = mentions.join(table, ["kind", "canonical"], "left").select("_content", F.struct("pos", F.when(F.col("surrogate").isNotNull(), _rendered(F.col("kind"), F.col("value"), F.col("surrogate"))).otherwise(F.col("value")).alias("new")).alias("x"), F.col("surrogate").isNotNull().cast("long").alias("is_new"))
-    each = shown.groupBy("_content").agg(F.sort_array(F.collect_list("x")).alias("_new"), F.sum("is_new").alias("_number"))
-    joined = marked.withColumn("_content", F.md5(text_col)).join(each, "_content", "left")
-    gaps = F.split(F.col(text_col), ANY, -1)
-    filled = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get("_new", i)["new"], F.lit(""))))
-    number = F.coalesce("_number", F.lit(0))
-    rewritten = joined.select(*(F.when(number > 0, F.array_join(filled, "")).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns), number.cast("long").alias("n_entities"))
-    return docs.filter(~has).select(*docs.columns, F.lit(0).cast("long").alias("n_entities")).unionByName(rewritten)
+    table = written(surrogates(entities.withColumn("script", script), key))
+    first = table.filter("kind = 'given'").select(F.col("canonical").alias("given"), F.col("surrogate").alias("given_new"))
+    shown = told.join(table, ["kind", "canonical"], "left").join(first, "given", "left")
+    new = F.when(F.col("surrogate").isNotNull(), _rendered(F.col("kind"), F.col("value"), F.col("surrogate"), F.col("given_new"))).otherwise(F.col("value"))
+    each = shown.select("content", F.struct("pos", new.alias("new")).alias("x"), F.col("surrogate").isNotNull().cast("long").alias("is_new"))
+    each = each.groupBy("content").agg(F.map_from_entries(F.collect_list("x")).alias("new"), F.sum("is_new").alias("number"))
+    joined = marked.join(each, "content", "left")
+
+    def filled(pattern: str) -> Column:
+        """The text with each match's new form, or itself where it has none."""
+        was = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.array_join(F.transform(F.split(text, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(F.try_element_at(F.col("new"), i), F.get(was, i), F.lit("")))), "")
+
+    number = F.coalesce("number", F.lit(0))
+    rewritten = F.when(number == 0, text).when(F.col("named"), filled(WIDE)).otherwise(filled(ANY))
+    kept = [c for c in docs.columns if c != "n_entities"]
+    out = joined.select(*(rewritten.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept), number.cast("long").alias("n_entities"))
+    return rows.filter(~has).select(*(F.col("row")[c].alias(c) for c in kept), F.lit(0).cast("long").alias("n_entities")).unionByName(out)
 
 
 def session_key(spark) -> str:

@@ -270,12 +270,46 @@ def test_pii(spark):
     assert pii.replaced(docs_of(spark, []), "k").count() == 0
 
 
+def test_pii_coreference(spark):
+    rows = [(1, "John Smith came. Later Mr. Smith left; Smith, said Anna Smith, was John Smith. The Smithers stayed."), (2, "Dr. Wei Zhang and Priya Patel met Mr Smith. Name: Kwame Okafor. Okafor!"), (3, "call +44 20 7946 0958 or +442079460958"), (4, "IBAN GB82 WEST 1234 5698 7654 32 not GB83 WEST 1234 5698 7654 32")]
+    frame = docs_of(spark, rows).withColumns({"content": F.lit("c"), "new": F.lit("n"), "n_entities": F.lit("old"), "row": F.lit("r")})
+    out = pii.replaced(frame, "k")
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == [c for c in frame.columns if c != "n_entities"] + ["n_entities"] and got[1].content == "c" and got[1].new == "n" and got[1].row == "r"
+    m = re.fullmatch(r"([\w-]+) (\w+) came\. Later Mr\. (\w+) left; (\w+), said ([\w-]+) (\w+), was ([\w-]+) (\w+)\. The Smithers stayed\.", got[1].text)
+    assert m and len({m[2], m[3], m[4], m[6], m[8]}) == 1 and m[2] != "Smith" and m[1] == m[7] != m[5] and got[1].n_entities == 5
+    assert all(n in pii.GIVEN["m", "latin"] for n in m[1].split("-")) and all(n in pii.GIVEN["f", "latin"] for n in m[5].split("-"))
+    n = re.fullmatch(r"Dr\. [\w-]+ (\w+) and [\w-]+ (\w+) met Mr (\w+)\. Name: [\w-]+ (\w+)\. (\w+)!", got[2].text)
+    assert n and n[3] == m[2] and n[4] == n[5] and len({n[1], n[2], n[3], n[4]}) == 4 and not {"Zhang", "Patel", "Smith", "Okafor"} & {*n.groups()}
+    p = re.fullmatch(r"call \+44 (\d\d) (\d{4}) (\d{4}) or \+44(\d{10})", got[3].text)
+    assert p and p[1] + p[2] + p[3] == p[4] != "2079460958"
+    i = re.fullmatch(r"IBAN (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) not GB83 WEST 1234 5698 7654 32", got[4].text).group(1).replace(" ", "")
+    assert i != "GB82WEST12345698765432" and int("".join(str(int(c, 36)) for c in i[4:] + i[:4])) % 97 == 1
+    assert {r.doc_id: r.text for r in pii.replaced(frame, "other").collect()}[1] != got[1].text
+
+
+def test_pii_corpus(spark, docs, texts):
+    """Whole tables by brute force: what the patterns find goes, the rest of a text stays, entities and surrogates match one to one."""
+    got = {r.doc_id: r for r in pii.replaced(docs, "k").collect()}
+    there = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w.-]*\w\.[^\W\d_]{2,}|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
+    pairs = set()
+    for i, t in texts.items():
+        was, now = there.findall(t), there.findall(got[i].text)
+        assert len(was) == len(now) and (got[i].n_entities >= len(was))
+        pairs |= set(zip(map(str.lower, was), map(str.lower, now)))
+        assert was or got[i].n_entities or got[i].text == t
+    assert pairs and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and not {a for a, _ in pairs} & {b for _, b in pairs}
+
+
 def test_pii_distinct(spark):
-    rows = spark.range(3000).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 4, "0").alias("canonical"), F.lit("n").alias("sex"), F.lit("latin").alias("script"), F.lit(False).alias("given"))
-    names = spark.range(3000).select(F.lit("name").alias("kind"), F.concat(F.lit("name"), F.col("id").cast("string")).alias("canonical"), F.lit("m").alias("sex"), F.lit("latin").alias("script"), F.lit(True).alias("given"))
+    rows = spark.range(3000).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 4, "0").alias("canonical"), F.lit("n").alias("sex"), F.lit("latin").alias("script"))
+    names = spark.range(3000).select(F.explode(F.array(F.lit("given"), F.lit("surname"))).alias("kind"), F.concat(F.lit("name"), F.col("id").cast("string")).alias("canonical"), F.lit("m").alias("sex"), F.lit("latin").alias("script"))
     got = pii.surrogates(names.unionByName(rows.limit(400)), "k")
-    assert got.count() == got.select("kind", F.lower("surrogate")).distinct().count() == 3400
+    assert got.count() == got.select("kind", F.lower("surrogate")).distinct().count() == 6400
     assert got.join(rows.limit(400).select(F.col("canonical").alias("surrogate")), "surrogate", "left_semi").filter("kind = 'ssn'").count() == 0
+    # more entities than half of the space: what draws leave open is exchanged
+    full = pii.surrogates(rows.filter("canonical < '0900'").withColumn("canonical", F.substring("canonical", 2, 3)), "k", 3).collect()
+    assert len(full) == len({r.surrogate for r in full}) == 900 and all(r.surrogate != r.canonical for r in full)
 
 
 def length(n):
