@@ -2,21 +2,21 @@
 
 Vectors of one label are dealt to shards of bounded size, and each shard's graph is built by inserting
 its vectors. Every vector then queries every shard of its label (a pair of shards meets once, links
-being mutual): a beam search, then all neighbours of vectors near the limit. A sample of the queries is
-audited against all vectors of the shard; while one link is missing the beam is doubled and the shard
-queried again, at last with a beam as wide as the shard, which scans it. Links are verified by cosine
+being mutual), in blocks: a beam search, then all neighbours of vectors near the limit. A sample of each
+block is audited against all vectors of the shard; while one link is missing the beam is doubled and the
+block asked again, at last with a beam as wide as the shard, which scans it. Links are verified by cosine
 in double precision, and their components joined.
 
 Defined results: vectors that are null, zero, without label, or hold null or non-finite components link
 with nothing; neither do vectors of different lengths. Equal vectors of a label are one member of the
 graph, and count as often as they occur. Rows that share an id are one vector, the largest in order.
-A row whose id is null has no links and a null component. Extra columns are left out.
+A row whose id is null has no links and a null component. Extra columns, of whatever names, are left out.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 
 import numpy as np
 import pandas as pd
@@ -28,10 +28,12 @@ from .common import written
 from .components import connected
 
 COSINE = 0.93
-#: Vectors in a shard, links of a vector (twice as many on the ground level), beams, queries in an audit.
-SHARD, LINKS, BUILD_BEAM, QUERY_BEAM, AUDIT = 8192, 12, 40, 32, 400
-#: The search goes on from all vectors this near to the limit.
-SLACK = 0.06
+#: Vectors in a shard, links of a vector (twice as many on the ground level), beams.
+SHARD, LINKS, BUILD_BEAM, QUERY_BEAM = 8192, 12, 40, 32
+#: Queries in a block, audited ones of them, tasks that a pair of shards is dealt to.
+BLOCK, AUDIT, PARTS = 512, 64, 2
+#: The search goes on from all vectors this near to the limit; what single precision may be off.
+SLACK, OFF = 0.06, 1e-5
 
 
 class Graph:
@@ -66,18 +68,16 @@ class Graph:
             taken += np.flatnonzero(left)[: most - len(taken)].tolist()
         return ids[taken]
 
-    def beam(self, q: np.ndarray, entry: int, width: int, level: int, limit: float | None = None) -> list[tuple[float, int]]:
-        """(nearness, vector) of the best `width` found and, with `limit`, of all found that are as near."""
+    def beam(self, q: np.ndarray, entry: int, width: int, level: int) -> list[tuple[float, int]]:
+        """(nearness, vector) of the best `width` found."""
         self.turn += 1
         links, count, seen, turn = self.links[level], self.count[level], self.seen, self.turn
         near = float(self.x[entry] @ q)
         seen[entry] = turn
-        todo, best, found = [(-near, entry)], [(near, entry)], []
-        if limit is not None and near >= limit:
-            found.append((near, entry))
+        todo, best = [(-near, entry)], [(near, entry)]
         while todo:
             near, at = heapq.heappop(todo)
-            if len(best) >= width and -near < best[0][0] and (limit is None or -near < limit - SLACK):
+            if len(best) >= width and -near < best[0][0]:
                 break
             beside = links[at, : count[at]]
             beside = beside[seen[beside] != turn]
@@ -85,17 +85,13 @@ class Graph:
                 continue
             seen[beside] = turn
             for s, i in zip((self.x[beside] @ q).tolist(), beside.tolist(), strict=True):
-                if limit is not None and s >= limit:
-                    found.append((s, i))
                 if len(best) < width:
                     heapq.heappush(best, (s, i))
                     heapq.heappush(todo, (-s, i))
                 elif s > best[0][0]:
                     heapq.heapreplace(best, (s, i))
                     heapq.heappush(todo, (-s, i))
-                elif limit is not None and s >= limit - SLACK:
-                    heapq.heappush(todo, (-s, i))
-        return found if limit is not None else best
+        return best
 
     def down(self, q: np.ndarray, to: int) -> int:
         """The vector that greedy steps reach from the top, on the level above `to`."""
@@ -135,69 +131,179 @@ class Graph:
         if own > self.top:
             self.entry, self.top = i, own
 
-    def within(self, q: np.ndarray, width: int, limit: float) -> list[int]:
-        """Vectors of the shard found at least as near as `limit`."""
+    def saved(self) -> dict[str, bytes]:
+        """The graph as arrays, to be stored; `load` makes it again."""
+        return {"x": self.x.tobytes(), "links": b"".join(level.tobytes() for level in self.links), "levels": len(self.links), "entry": self.entry}
+
+    @staticmethod
+    def load(x: bytes, links: bytes, levels: int, entry: int, n: int) -> Graph:
+        """A stored graph, for queries only."""
+        out = Graph.__new__(Graph)
+        out.x = np.frombuffer(x).reshape(n, -1)
+        flat, at, out.links = np.frombuffer(links, np.int32), 0, []
+        for level in range(levels):
+            width = LINKS if level else 2 * LINKS
+            out.links.append(flat[at : at + n * width].reshape(n, width))
+            at += n * width
+        out.entry, out.small = entry, out.x.astype(np.float32)
+        return out
+
+    def _nearness(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """[m, k] inner products of the rows of q with vectors ids [m, k]; below all others where an id is -1."""
+        return np.where(ids >= 0, np.einsum("mkd,md->mk", self.small[ids], q), np.float32(-9))
+
+    def within(self, q: np.ndarray, width: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row of q, vector): pairs found at least as near as `limit`, for all rows of q side by side."""
         if width >= len(self.x):
-            return np.flatnonzero(self.x @ q >= limit).tolist()
-        return [i for _, i in self.beam(q, self.down(q, 0), width, 0, limit)]
+            return np.nonzero(q @ self.x.T >= limit)
+        exact, q = q, q.astype(np.float32)
+        m, n = len(q), len(self.x)
+        every, at = np.arange(m), np.full(m, self.entry)
+        near = self._nearness(at[:, None], q)[:, 0]
+        for links in self.links[:0:-1]:
+            while True:
+                ids = links[at]
+                s = self._nearness(ids, q)
+                j = s.argmax(1)
+                better = s[every, j] > near
+                if not better.any():
+                    break
+                at, near = np.where(better, ids[every, j], at), np.where(better, s[every, j], near)
+
+        ground, seen, opened = self.links[0], np.zeros((m, n), bool), np.zeros((m, n), bool)
+        seen[every, at] = True
+        ids, score, done = np.full((m, width), -1), np.full((m, width), -9, np.float32), np.ones((m, width), bool)
+        ids[:, 0], score[:, 0], done[:, 0] = at, near, False
+        strong = [(every[near >= limit - SLACK], at[near >= limit - SLACK], near[near >= limit - SLACK])]
 
+        def fresh(rows: np.ndarray, beside: np.ndarray) -> np.ndarray:
+            """Neighbours that a row has not seen; the others become -1."""
+            beside = np.where((beside >= 0) & ~seen[rows[:, None], beside], beside, -1)
+            r, k = np.nonzero(beside >= 0)
+            seen[rows[r], beside[r, k]] = True
+            return beside
 
-def links_of(graph: Graph, x: np.ndarray, same: bool, limit: float) -> list[list[int]]:
-    """For each row of x the vectors of the graph within `limit`, with the narrowest beam whose audit passes."""
-    sample = np.random.default_rng(len(x)).permutation(len(x))[:AUDIT]
+        rows = every
+        while len(rows):
+            left = np.where(done[rows], np.float32(-9), score[rows])
+            j = left.argmax(1)
+            live = left[np.arange(len(rows)), j] > -9
+            rows, j = rows[live], j[live]
+            if not len(rows):
+                break
+            node = ids[rows, j]
+            done[rows, j] = True
+            opened[rows, node] = True
+            beside = fresh(rows, ground[node])
+            s = self._nearness(beside, q[rows])
+            r, k = np.nonzero(s >= limit - SLACK)
+            strong.append((rows[r], beside[r, k], s[r, k]))
+            all_ids, all_s = np.concatenate([ids[rows], beside], 1), np.concatenate([score[rows], s], 1)
+            all_done = np.concatenate([done[rows], beside < 0], 1)
+            top = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
+            ids[rows], score[rows], done[rows] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_s, all_done))
+
+        # all neighbours of what is near the limit, wave by wave
+        at = 0
+        while at < len(strong):
+            rows, node, _ = strong[at]
+            at += 1
+            todo = ~opened[rows, node]
+            rows, node = rows[todo], node[todo]
+            opened[rows, node] = True
+            for start in range(0, len(rows), 4096):
+                r, beside = rows[start : start + 4096], ground[node[start : start + 4096]]
+                order = np.unique(np.stack([np.repeat(r, beside.shape[1]), beside.ravel()]), axis=1)
+                order = order[:, order[1] >= 0]
+                order = order[:, ~seen[order[0], order[1]]]
+                seen[order[0], order[1]] = True
+                s = np.einsum("kd,kd->k", self.small[order[1]], q[order[0]])
+                good = s >= limit - SLACK
+                if good.any():
+                    strong.append((order[0][good], order[1][good], s[good]))
+        rows, node, s = (np.concatenate([x[i] for x in strong]) for i in range(3))
+        close = s >= limit - OFF
+        rows, node = rows[close], node[close]
+        close = np.einsum("kd,kd->k", self.x[node], exact[rows]) >= limit
+        return rows[close], node[close]
+
+
+def links_of(graph: Graph, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row of q, vector) within `limit`, with the narrowest beam whose audit passes."""
+    sample = np.random.default_rng(len(q)).permutation(len(q))[:AUDIT]
+    truth = (q[sample] @ graph.x.T >= limit).sum(1)
     width = QUERY_BEAM
-    near = limit - 1e-9  # the exact test follows
-    truth = [np.count_nonzero(graph.x @ x[i] >= near) for i in sample]
     while True:
-        if all(len(graph.within(x[i], width, near)) >= t for i, t in zip(sample, truth, strict=True)):
-            found = [graph.within(q, width, near) for q in x]
-            return [[j for j in f if not (same and j == i)] for i, f in enumerate(found)]
+        rows, found = graph.within(q, width, limit)
+        if width >= len(graph.x) or (np.bincount(rows, minlength=len(q))[sample] >= truth).all():
+            return rows, found
         width = min(2 * width, len(graph.x)) if width < len(graph.x) // 2 else len(graph.x)
 
 
+_BUILT = "label string, shard long, start long, ids binary, n binary, x binary, links binary, levels int, entry int"
+
+
 def _built(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A shard's graph, and its vectors in blocks of queries."""
     pdf = pdf.sort_values("id", ignore_index=True)
     v = np.array(pdf["v"].tolist(), np.float64)
     # scaled by the largest component first: squares of huge or tiny ones stay finite and above zero
     v /= np.abs(v).max(axis=1, keepdims=True)
     graph = Graph(v / np.linalg.norm(v, axis=1, keepdims=True))
-    data = pickle.dumps((graph, pdf["id"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)), protocol=5)
-    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "data": [data]})
+    ids, n = pdf["id"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+    rows = [{"start": -1, "ids": ids.tobytes(), "n": n.tobytes()} | graph.saved()]
+    for start in range(0, len(ids), BLOCK):
+        end = start + BLOCK
+        rows.append({"start": start, "ids": ids[start:end].tobytes(), "n": n[start:end].tobytes(), "x": graph.x[start:end].tobytes(), "links": None, "levels": 0, "entry": 0})
+    return pd.DataFrame(rows).assign(label=pdf["label"].iloc[0], shard=pdf["shard"].iloc[0])[[part.split()[0] for part in _BUILT.split(", ")]]
 
 
 def _linked(limit: float):
-    """Rows (id, n, other) of a pair of shards: the vectors each links with, and links that join its components.
+    """Rows (id, n, other): how many a vector links with in a shard, and links that join its components.
 
-    A vector's links to one connected group of the other shard are told by one of them: the group is
-    joined by links of its own, so nothing that a component needs is left out.
+    A block's links to one connected group of the shard are told by one of them: the group is joined by
+    links of its own, so nothing that a component needs is left out.
     """
+    kinds = ["id", "n", "other"]
 
     def run(batches):
+        at, graph, other_ids, other_n, group = None, None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                graph, ids, n = pickle.loads(left)
-                other, other_ids, other_n = (graph, ids, n) if right is None else pickle.loads(right)
-                found = links_of(other, graph.x, right is None, limit)
-                out: list[tuple[int, int, int | None]] = []
-                group = np.arange(len(other_ids))
-                back = np.zeros(len(other_ids), np.int64)
-                for i, f in enumerate(found):
-                    exact = np.array(f, np.int64)
-                    exact = exact[other.x[exact] @ graph.x[i] >= limit]
-                    if not len(exact):
-                        continue
-                    back[exact] += n[i]
-                    out.append((int(ids[i]), int(other_n[exact].sum()), None))
+            for i in range(len(batch)):
+                row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+                key = (row["label"].as_py(), row["b"].as_py(), row["a"].as_py(), row["part"].as_py())
+                ids, n = (np.frombuffer(row[k].as_buffer(), np.int64) for k in ("ids", "n"))
+                start = row["start"].as_py()
+                if start < 0:
+                    at, other_ids, other_n, group = key, ids.copy(), n.copy(), np.arange(len(ids))
+                    graph = Graph.load(row["x"].as_buffer().to_pybytes(), row["links"].as_buffer().to_pybytes(), row["levels"].as_py(), row["entry"].as_py(), len(ids))
+                    continue
+                if key != at or not len(ids):
+                    continue
+                same = key[1] == key[2]
+                q = np.frombuffer(row["x"].as_buffer()).reshape(len(ids), -1)
+                rows, found = links_of(graph, q, limit)
+                if same:
+                    own = found != rows + start
+                    rows, found = rows[own], found[own]
+                order = np.argsort(rows, kind="stable")
+                rows, found = rows[order], found[order]
+                counts = np.bincount(rows, weights=other_n[found], minlength=len(ids)).astype(np.int64)
+                out = [(int(ids[k]), int(counts[k]), None) for k in np.flatnonzero(counts)]
+                if not same:
+                    back = np.bincount(found, weights=n[rows], minlength=len(other_ids)).astype(np.int64)
+                    out += [(int(other_ids[k]), int(back[k]), None) for k in np.flatnonzero(back)]
+                cuts = np.flatnonzero(np.diff(rows)) + 1
+                for k, near in zip(rows[np.concatenate([[0], cuts])] if len(rows) else [], np.split(found, cuts), strict=False):
                     # one link for each group not yet joined; within a shard the vector's own group is joined too
-                    of, first = np.unique(group[exact], return_index=True)
-                    new = [int(exact[k]) for g, k in zip(of, first, strict=True) if right is not None or g != group[i]]
-                    out += [(int(ids[i]), 0, int(other_ids[j])) for j in new]
-                    if len(of) > 1 or right is None and new:
-                        of = np.append(of, group[i]) if right is None else of
+                    of, first = np.unique(group[near], return_index=True)
+                    mine = group[start + k] if same else -1
+                    new = [int(near[f]) for g, f in zip(of, first, strict=True) if g != mine]
+                    out += [(int(ids[k]), 0, int(other_ids[j])) for j in new]
+                    if same or len(of) > 1:
+                        of = np.append(of, mine) if same else of
                         group[np.isin(group, of)] = of.min()
-                if right is not None:
-                    out += [(int(other_ids[j]), int(back[j]), None) for j in np.flatnonzero(back)]
-                yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["id", "n", "other"])
+                yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], kinds)
 
     return run
 
@@ -205,8 +311,10 @@ def _linked(limit: float):
 def near_duplicates(vectors: DataFrame, limit: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id) of each row of `vectors`.
 
-    A label's shards are one row each with their graph, of bounded size; pairs of shards are dealt out,
-    so a label with a third of all rows is many tasks. Only ids and counts are shuffled after that.
+    A shard's graph is one row of arrays, of bounded size, and its vectors some rows of query blocks. The
+    blocks of one shard meet the graph of another in PARTS tasks, which hold one graph at a time and read
+    block after block; ranges of the groups' names make the tasks alike in size. So a label with a third of
+    all rows is many tasks. Only ids and counts are shuffled after that.
     """
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists(v, lambda x: x != 0)
@@ -218,12 +326,16 @@ def near_duplicates(vectors: DataFrame, limit: float = COSINE, id_col: str = "ve
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size")).select("label", F.ceil(F.col("size") / SHARD).alias("shards"))
     members = part.join(groups.select(F.col("first").alias("id"), "n"), "id").join(sizes, "label")
     members = members.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards"))).select("label", "shard", "id", "n", "v")
-    graphs = written(members.groupBy("label", "shard").applyInPandas(_built, "label string, shard long, data binary"))
-    left, right = graphs.select("label", F.col("shard").alias("a"), F.col("data").alias("x")), graphs.select("label", F.col("shard").alias("b"), F.col("data").alias("y"))
-    across = left.join(right, "label").filter("a < b").select("label", "a", "b", "x", "y")
-    pairs = left.select("label", "a", F.col("a").alias("b"), "x", F.lit(None).cast("binary").alias("y")).unionByName(across)
-    number = pairs.select("label").count()  # a task for each, so that few graphs are in memory together
-    found = written(pairs.repartition(max(1, number), "label", "a", "b").select("x", "y").mapInArrow(_linked(limit), "id long, n long, other long"))
+    built = written(members.groupBy("label", "shard").applyInPandas(_built, _BUILT))
+    shards = sizes.select("label", F.col("shards").cast("long").alias("shards"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))
+    graphs = built.filter("start < 0").withColumnRenamed("shard", "b").withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b")))).withColumn("part", F.explode(every))
+    blocks = built.filter("start >= 0").join(shards, "label").withColumn("b", F.explode(F.sequence("shard", F.col("shards") - 1))).withColumnRenamed("shard", "a").drop("shards")
+    blocks = blocks.withColumn("part", F.pmod(F.col("start") / BLOCK, F.lit(PARTS)).cast("long"))
+    group = ["label", "b", "a", "part"]
+    number = graphs.select(*group).count()
+    met = graphs.unionByName(blocks).repartitionByRange(max(1, number), *group).sortWithinPartitions(*group, "start")
+    found = written(met.mapInArrow(_linked(limit), "id long, n long, other long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("links"))
     joined = connected(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "first")
     known = groups.withColumnRenamed("n", "copies").join(counts.withColumnRenamed("id", "first"), "first", "left").join(joined, "first", "left")
