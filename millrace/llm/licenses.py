@@ -1,14 +1,16 @@
 """Licence scans: sparse TF-IDF cosine to templates, then nearest-ancestor inheritance by path joins.
 
-Sentences that hold a licence word, and whole texts of files that hold one, become sparse vectors over
-the templates' terms, weighted by inverse document frequencies counted over all files; every term that
-no template has weighs their mean. A sentence's best template above `HEADER`, or a whole text's above
+A text's lines lose their comment marks and are joined into paragraphs. Single lines, and windows of up to
+WINDOW sentences of a paragraph, that hold a licence word, and whole texts that hold one, become sparse
+vectors over the templates' terms, weighted by inverse document frequencies counted over all files; every
+term that no template has weighs their mean. A piece's best template above `HEADER`, or a whole text's above
 `FILE`, is the file's licence. A file without one takes that of the nearest directory above it that has
 a licence file (one named LICENSE, COPYING or the like with a licence found, or one that is a licence text).
 
 Defined results: a null text has no words and no licence of its own; a null path has no directory. Ties
 go to the template first in code-point order, a directory's to its best-scored file, then to the same
-order. Repeated rows come back repeated. An empty table gives an empty result.
+order. Repeated rows come back repeated. An empty table gives an empty result. Columns of `carry` pass
+through, whatever their names, but for those of the result (path, licence, cosine, origin).
 """
 
 from __future__ import annotations
@@ -17,38 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import words, written
-
-# Notices and short texts of public licences, as (identifier, text).
-TEMPLATES = [
-    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause Simplified License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain under CC0 1.0 Universal."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
-#: A sentence or text with none of these has no licence; every template has one.
-TRIGGER = r"(?i)licen[sc]|copyright|redistribut|public domain|permission|spdx"
-#: Least cosine of a sentence, and of a whole text.
-HEADER, FILE = 0.7, 0.75
+from .licence_texts import TEMPLATES
+
+#: A piece or text with none of these has no licence; every template has one.
+TRIGGER = r"(?i)licen[sc]|copyright|redistribut|public domain|permission|spdx|free software"
+#: Least cosine of a piece, and of a whole text; sentences of a piece at most.
+HEADER, FILE, WINDOW = 0.7, 0.75, 4
+#: What stands before (and behind) the text of a commented line.
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+!?|#+|--+|;+|%+|<!--|\"\"\"|REM\b)?[ \t]*|[ \t]*(?:\*+/|-->)[ \t]*$"
 FILE_NAME = r"(?i)^(un)?licen[sc]e|^copying|^notice"
 
 
@@ -76,10 +54,10 @@ def vectors(texts: DataFrame, idf: DataFrame) -> DataFrame:
     return weighted.filter("idf is not null").join(norms, "key").select("key", "term", "weight", "norm")
 
 
-def similar(texts: DataFrame, idf: DataFrame) -> DataFrame:
+def similar(texts: DataFrame, idf: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(key, licence, cosine): the best template of each text that shares a term with one."""
     spark = texts.sparkSession
-    forms = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "form int, licence string, text string")
+    forms = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "form int, licence string, text string")
     known = vectors(forms.select(F.col("form").alias("key"), "text"), idf).join(forms.select(F.col("form").alias("key"), "licence"), "key")
     known = known.select(F.col("key").alias("form"), "term", "licence", (F.col("weight") / F.col("norm")).alias("w"))  # a few hundred rows, as many as the templates have terms
     dots = vectors(texts, idf).join(F.broadcast(known), "term").groupBy("key", "form", "licence").agg(F.sum(F.col("weight") / F.col("norm") * F.col("w")).alias("cosine"))
@@ -91,27 +69,41 @@ def _parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def pieces(texts: DataFrame) -> DataFrame:
+    """(content, piece): lines with a licence word, and windows of sentences of a paragraph that hold one."""
+    bare = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), MARKS, "")
+    lines = texts.select("content", F.explode(F.split(bare, r"\n+")).alias("piece"))
+    paragraphs = texts.select("content", F.explode(F.split(bare, r"\n\s*\n")).alias("paragraph")).filter(F.col("paragraph").rlike(TRIGGER))
+    said = F.split(F.regexp_replace("paragraph", r"\s+", " "), r"(?<=[.!?;]) (?=[\p{Lu}\p{N}(])")
+    starts = paragraphs.select("content", F.posexplode(said).alias("at", "first"), said.alias("said"))
+    windows = starts.select("content", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size("said") - F.col("at"))), lambda n: F.array_join(F.slice("said", F.col("at") + 1, n), " "))).alias("piece"))
+    return lines.unionByName(windows).filter(F.col("piece").rlike(TRIGGER))
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(path, *carry, licence, cosine, origin) of each row: origin is header, file, inherited, or null with no licence."""
-    rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), *carry)
+    # own columns travel in a struct, so none of their names can clash
+    rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("own"))
     idf = written(frequencies(rows))
     # only texts with a licence word are looked at more closely; they are named by their content
     marked = written(rows.filter(F.col("text").rlike(TRIGGER)).select(F.sha2("text", 256).alias("content"), "text").dropDuplicates(["content"]))
-    pieces = marked.select("content", F.explode(F.split("text", r"[\r\n]+|(?<=[.!?;])\s+(?=\p{Lu})")).alias("piece")).filter(F.col("piece").rlike(TRIGGER))
-    pieces = pieces.select(F.struct("content", F.sha2("piece", 256).alias("p")).alias("key"), F.col("piece").alias("text")).dropDuplicates(["key"])
-    header = similar(pieces, idf).filter(F.col("cosine") >= HEADER).select(F.col("key.content").alias("content"), "licence", "cosine")
-    whole = similar(marked.select(F.col("content").alias("key"), "text"), idf).filter(F.col("cosine") >= FILE).select(F.col("key").alias("content"), "licence", "cosine")
+    parts = pieces(marked).select(F.struct("content", F.sha2("piece", 256).alias("p")).alias("key"), F.col("piece").alias("text")).dropDuplicates(["key"])
+    header = similar(parts, idf).filter(F.col("cosine") >= HEADER).select(F.col("key.content").alias("content"), "licence", "cosine")
+    # an identifier alone is a header, never a licence file
+    full = [(name, text) for name, text in TEMPLATES if not text.startswith("SPDX")]
+    whole = similar(marked.select(F.col("content").alias("key"), "text"), idf, full).filter(F.col("cosine") >= FILE).select(F.col("key").alias("content"), "licence", "cosine")
     both = header.withColumn("origin", F.lit("header")).unionByName(whole.withColumn("origin", F.lit("file")))
-    own = written(both.groupBy("content").agg(F.min_by(F.struct("licence", "cosine", "origin"), F.struct(F.col("origin"), -F.col("cosine"), F.col("licence"))).alias("own")))
-    listed = rows.select("path", *carry, F.when(F.col("text").rlike(TRIGGER), F.sha2("text", 256)).alias("content"))
-    found = written(listed.join(own, "content", "left").select("path", *carry, "own.licence", "own.cosine", "own.origin"))
+    best = written(both.groupBy("content").agg(F.min_by(F.struct("licence", "cosine", "origin"), F.struct(F.col("origin"), -F.col("cosine"), F.col("licence"))).alias("best")))
+    listed = rows.select("path", "own", F.when(F.col("text").rlike(TRIGGER), F.sha2("text", 256)).alias("content"))
+    found = written(listed.join(best, "content", "left").select("path", "own", "best.licence", "best.cosine", "best.origin"))
 
     is_file = (F.col("origin") == "file") | F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME)
     roots = found.filter(F.col("licence").isNotNull() & is_file).groupBy(_parent(F.col("path")).alias("dir")).agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"))).alias("from"))
     # every directory that asks, with all above it; the deepest that has a licence gives it
     asking = found.filter("licence is null and path is not null").select(_parent(F.col("path")).alias("asks")).distinct()
-    parts = F.split("asks", "/")
-    above = asking.select("asks", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))).alias("a")).select("asks", "a.depth", "a.dir")
+    steps = F.split("asks", "/")
+    above = asking.select("asks", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), "/").alias("dir")))).alias("a")).select("asks", "a.depth", "a.dir")
     given = above.join(roots, "dir").groupBy("asks").agg(F.max_by("from", "depth").alias("from"))
     joined = found.withColumn("asks", F.when(F.col("licence").isNull(), _parent(F.col("path")))).join(given, "asks", "left")
-    return joined.select("path", *carry, F.coalesce("licence", "from.licence").alias("licence"), F.coalesce("cosine", "from.cosine").alias("cosine"), F.coalesce("origin", F.when(F.col("from").isNotNull(), "inherited")).alias("origin"))
+    own = [F.col("own")[c].alias(c) for c in carry]
+    return joined.select("path", *own, F.coalesce("licence", "from.licence").alias("licence"), F.coalesce("cosine", "from.cosine").alias("cosine"), F.coalesce("origin", F.when(F.col("from").isNotNull(), "inherited")).alias("origin"))

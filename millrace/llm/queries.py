@@ -45,8 +45,11 @@ def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document; its source is its directory."""
-    docs = read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    """Licence of every document. Its path is made of its source and numbers: up to two levels of folders, one file in 40 named LICENSE."""
+    number = F.col("doc_id")
+    name = F.when(number % 40 == 3, F.concat(F.lit("LICENSE-"), number.cast("string"))).otherwise(F.concat(number.cast("string"), F.lit(".txt")))
+    folders = [F.coalesce("source", F.lit("")), F.when(number % 4 > 0, F.concat(F.lit("d"), (number % 17).cast("string"))), F.when(number % 4 > 1, F.concat(F.lit("e"), (number % 5).cast("string")))]
+    docs = read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", *folders, name))
     return licenses.scan(docs, carry=("doc_id",)).select("doc_id", "path", "licence", "cosine", "origin")
 
 

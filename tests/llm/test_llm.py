@@ -221,6 +221,56 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_licences_brute(spark, docs, texts):
+    """Every piece's cosines by brute force over all terms; wrapped headers, SPDX lines, whole licence files, clashing columns, repeats."""
+    import math
+
+    from millrace.llm.licence_texts import TEMPLATES
+
+    mit = next(t for n, t in TEMPLATES if n == "MIT" and t.endswith("IN THE SOFTWARE."))
+    apache = next(t for n, t in TEMPLATES if n == "Apache-2.0" and "governing" in t)
+
+    def wrapped(t, mark, width=60):
+        lines, line = [], ""
+        for w in t.split():
+            if len(line) + len(w) > width:
+                lines, line = [*lines, mark + line], ""
+            line += w + " "
+        return "\n".join([*lines, mark + line])
+
+    rows = [("p/LICENSE", "The MIT License\n\nCopyright (c) 2024 Someone\n\n" + wrapped(mit, "")), ("p/a/b/c.py", "x = 1"), ("q/a.c", "/*\n" + wrapped(apache, " * ") + "\n */\nint main;"), ("q/b.py", "# SPDX-License-Identifier: GPL-2.0-or-later\nx"), ("t/c.py", "# copyright of nobody, permission to be asked"), ("s/d.sh", wrapped(next(t for n, t in TEMPLATES if n == "ISC"), "# ")), ("r/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy"), ("r/x", None), ("r/x", None)]
+    rows += [(f"docs/{i}", t) for i, t in texts.items()]
+    frame = spark.createDataFrame([(p, t, i, "a") for i, (p, t) in enumerate(rows)], "path string, text string, content int, own string")
+    got = licenses.scan(frame, carry=("content", "own")).collect()
+    assert len(got) == len(rows) and all(r.own == "a" for r in got)
+    by = {r.path: (r.licence, r.origin) for r in got}
+    assert by["p/LICENSE"] == ("MIT", "file") and by["p/a/b/c.py"] == ("MIT", "inherited") and by["q/a.c"][0] == "Apache-2.0" and by["q/b.py"] == ("GPL-2.0", "header")
+    assert by["t/c.py"] == (None, None) and by["s/d.sh"][0] == "ISC" and by["r/COPYING"][0] == "GPL-3.0" and by["r/x"] == ("GPL-3.0", "inherited")
+
+    def terms(t):
+        return re.sub(r"[^\w]+|_", " ", (t or "").lower()).split()
+
+    vocabulary = {w for _, t in TEMPLATES for w in terms(t)}
+    df = collections.Counter(w for _, t in rows for w in set(terms(t)) & vocabulary)
+    idf = {w: math.log((len(rows) + 1) / (df[w] + 1)) + 1 for w in vocabulary}
+    mean = sum(idf.values()) / len(idf)
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * idf.get(w, mean) for w, n in collections.Counter(terms(t)).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    known = [(n, vector(t)) for n, t in TEMPLATES]
+    marked = frame.filter(F.col("text").rlike(licenses.TRIGGER)).select(F.col("path").alias("content"), "text")
+    every = licenses.pieces(marked).select(F.struct("content", "piece").alias("key"), F.col("piece").alias("text")).distinct()
+    near = {tuple(r.key): (r.licence, r.cosine) for r in licenses.similar(every, licenses.frequencies(frame)).collect()}
+    for (path, piece), (licence, cosine) in near.items():
+        v = vector(piece)
+        best = max(sum(x * k.get(w, 0) for w, x in v.items()) for _, k in known)
+        assert abs(best - cosine) < 1e-9 and licence in {n for n, k in known if abs(sum(x * k.get(w, 0) for w, x in v.items()) - best) < 1e-9}
+    assert len(near) > 30
+
+
 def test_hnsw(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(30, 16))
