@@ -4,7 +4,7 @@ Vectors of one label are dealt to shards of bounded size, and each shard's graph
 its vectors. Every vector then queries every shard of its label (a pair of shards meets once, links
 being mutual), in blocks: a beam search, then all neighbours of vectors near the limit. A sample of each
 block is audited against all vectors of the shard; while one link is missing the beam is doubled and the
-block asked again, at last with a beam as wide as the shard, which scans it. Links are verified by cosine
+block asked again, beyond WIDEST with a beam as wide as the shard, which scans it. Links are verified by cosine
 in double precision, and their components joined.
 
 Defined results: vectors that are null, zero, without label, or hold null or non-finite components link
@@ -28,8 +28,8 @@ from .common import written
 from .components import connected
 
 COSINE = 0.93
-#: Vectors in a shard, links of a vector (twice as many on the ground level), beams.
-SHARD, LINKS, BUILD_BEAM, QUERY_BEAM = 8192, 12, 40, 32
+#: Vectors in a shard, links of a vector (twice as many on the ground level), beams; beyond WIDEST a scan costs less than a beam.
+SHARD, LINKS, BUILD_BEAM, QUERY_BEAM, WIDEST = 8192, 12, 40, 32, 256
 #: Queries in a block, audited ones of them, tasks that a pair of shards is dealt to.
 BLOCK, AUDIT, PARTS = 512, 64, 2
 #: The search goes on from all vectors this near to the limit; what single precision may be off.
@@ -237,7 +237,7 @@ def links_of(graph: Graph, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.
         rows, found = graph.within(q, width, limit)
         if width >= len(graph.x) or (np.bincount(rows, minlength=len(q))[sample] >= truth).all():
             return rows, found
-        width = min(2 * width, len(graph.x)) if width < len(graph.x) // 2 else len(graph.x)
+        width = 2 * width if width < WIDEST else len(graph.x)
 
 
 _BUILT = "label string, shard long, start long, ids binary, n binary, x binary, links binary, levels int, entry int"
