@@ -43,15 +43,27 @@ def _ranges(strict: bool) -> str:
     """.replace(" FROM p ", f""" FROM (SELECT id, CASE id % 5 WHEN 0 THEN (CASE {two} END) WHEN 1 THEN (CASE {rest} END) WHEN 3 THEN (CASE {nine} END) END AS l FROM (SELECT conv_id AS id, count(*) AS total FROM conversations GROUP BY 1)) """)
 
 
-#: Escapes of every form, and some that are none.
+#: Escapes that the queries plant behind each text: some, and every form with some that are none.
+_FEW = "&#x41; U+0041 %u0041"
 _ESCAPES = r"&#x41; U+0041 %u0041 \u0041 \U0001F600 \u{1F600} \\u{41} \\U00000041 U+41 xU+0041 U+00410000 &#65;"
 _B, _U, _E = r"\\", r"\\(u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})", r"\\u\{[0-9a-fA-F]{1,8}\}"
 
 
+def _census(s, d, planted: str):
+    return codec.escape_census(_docs(s, d).withColumn("v", F.concat(F.regexp_replace("text", "qu", r"\\\\u0071\\\\u0075"), F.lit(planted))), "v", "lang")
+
+
 def _n(pattern: str) -> str:
     return f"len(regexp_extract_all(v, '{pattern}'))"
 
 
+def _census_sql(planted: str) -> str:
+    """DuckDB has no look-behind: single forms are all of their form less the double ones."""
+    return f"""SELECT lang, form, count(*) FILTER (WHERE n > 0) AS "values", CAST(sum(n) AS BIGINT) AS n FROM (SELECT lang, unnest(['unicode', 'es6', 'double', 'percent', 'codepoint', 'html']) AS form,
+        unnest([{_n(_U)} - {_n(_B + _U)}, {_n(_E)} - {_n(_B + _E)}, {_n(_B + _U)} + {_n(_B + _E)}, {_n('%u[0-9a-fA-F]{4}')}, {_n(r'\bU\+[0-9a-fA-F]{1,6}\b')}, {_n('&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});')}]) AS n
+        FROM (SELECT lang, concat(replace(text, 'qu', '{_B}u0071{_B}u0075'), '{planted}') AS v FROM documents)) GROUP BY 1, 2"""
+
+
 QUERIES = {
     "t1_lines": (lambda s, d: text.lines(_docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars")), f"SELECT doc_id, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM {_LINES} GROUP BY 1"),
     "t2_process_lines": (
@@ -95,13 +107,8 @@ QUERIES = {
         lambda s, d: _docs(s, d).select("doc_id", F.md5(codec.b64_encode(F.col("text"), urlsafe=True)).alias("md5"), F.length(codec.b64_encode(F.col("text"), wrap=76)).cast("long").alias("wrapped_chars")),
         "SELECT doc_id, md5(translate(to_base64(encode(text)), '+/', '-_')) AS md5, CAST(length(to_base64(encode(text))) + greatest(0, (length(to_base64(encode(text))) - 1) // 76) AS BIGINT) AS wrapped_chars FROM documents",
     ),
-    "t12_escape_census": (
-        lambda s, d: codec.escape_census(_docs(s, d).withColumn("v", F.concat(F.regexp_replace("text", "qu", r"\\\\u0071\\\\u0075"), F.lit(_ESCAPES))), "v", "lang"),
-        # no look-behind here: single forms are all of their form less the double ones
-        f"""SELECT lang, form, count(*) FILTER (WHERE n > 0) AS "values", CAST(sum(n) AS BIGINT) AS n FROM (SELECT lang, unnest(['unicode', 'es6', 'double', 'percent', 'codepoint', 'html']) AS form,
-        unnest([{_n(_U)} - {_n(_B + _U)}, {_n(_E)} - {_n(_B + _E)}, {_n(_B + _U)} + {_n(_B + _E)}, {_n('%u[0-9a-fA-F]{4}')}, {_n(chr(92) + 'bU' + chr(92) + '+[0-9a-fA-F]{1,6}' + chr(92) + 'b')}, {_n('&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});')}]) AS n
-        FROM (SELECT lang, concat(replace(text, 'qu', '{_B[:2]}u0071{_B[:2]}u0075'), '{_ESCAPES}') AS v FROM documents)) GROUP BY 1, 2""",
-    ),
+    "t12_escape_census": (lambda s, d: _census(s, d, _FEW), _census_sql(_FEW)),
+    "t12_escape_forms": (lambda s, d: _census(s, d, _ESCAPES), _census_sql(_ESCAPES)),
     "t13_unescape": (lambda s, d: codec.unescape(_docs(s, d).withColumn("v", F.regexp_replace("text", "qu", r"\\\\u0071\\\\u0075")), "doc_id", "v"), "SELECT doc_id, text, CAST(NULL AS VARCHAR) AS error FROM documents WHERE contains(text, 'qu')"),
     "t14_tidy_spacing": (lambda s, d: _docs(s, d).select("doc_id", F.md5(text.tidy_spacing(F.col("text"))).alias("md5")), "SELECT doc_id, md5(regexp_replace(text, '[ \\t]{2,}', ' ', 'g')) AS md5 FROM documents"),
     "t14_unwrap": (lambda s, d: _docs(s, d).select("doc_id", F.md5(text.unwrap_soft_lines(F.col("text"))).alias("md5")), None),
