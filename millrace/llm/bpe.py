@@ -40,7 +40,7 @@ _CONTRACT = f"""
 WITH RECURSIVE state(w, ts, ks) {{key}} AS (
   SELECT w, list(t ORDER BY p), list(k ORDER BY p) FILTER (WHERE nt IS NOT NULL)
   FROM (SELECT w, p, t, nt, coalesce(k, {NEVER}) AS k
-        FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM positions) LEFT JOIN merges ON pair = t::BIGINT * 131072 + nt)
+        FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM positions) LEFT JOIN merges ON pair = t::BIGINT * 4294967296 + nt)
   GROUP BY w
   {{union}}
   (WITH least AS (SELECT w, ts, ks, list_min(ks) AS k FROM state),
@@ -48,7 +48,7 @@ WITH RECURSIVE state(w, ts, ks) {{key}} AS (
    beside AS (SELECT w, ts, ks, k, i, CASE WHEN i > 1 THEN ts[i - 1] END AS l, ts[i + 2] AS r FROM place)
    SELECT x.w, x.ts[:x.i - 1] || [x.k] || x.ts[x.i + 2:],
           x.ks[:greatest(x.i - 2, 0)] || CASE WHEN x.l IS NULL THEN [] ELSE [coalesce(a.k, {NEVER})] END || CASE WHEN x.r IS NULL THEN [] ELSE [coalesce(b.k, {NEVER})] END || x.ks[x.i + 2:]
-   FROM beside AS x LEFT JOIN merges AS a ON a.pair = x.l::BIGINT * 131072 + x.k LEFT JOIN merges AS b ON b.pair = x.k::BIGINT * 131072 + x.r)
+   FROM beside AS x LEFT JOIN merges AS a ON a.pair = x.l::BIGINT * 4294967296 + x.k LEFT JOIN merges AS b ON b.pair = x.k::BIGINT * 4294967296 + x.r)
 )
 SELECT w, ts FROM state WHERE coalesce(len(ks), 0) = 0 OR list_min(ks) >= {NEVER}
 """
@@ -58,11 +58,11 @@ SELECT w, ts FROM state WHERE coalesce(len(ks), 0) = 0 OR list_min(ks) >= {NEVER
 _ROUND = """
 CREATE OR REPLACE TEMP TABLE turn AS
 WITH pairs AS (SELECT w, p, t, lead(t) OVER o AS nt, lead(t, 2) OVER o AS nnt, lag(t) OVER o AS pt FROM long_rows WINDOW o AS (PARTITION BY w ORDER BY p)),
-ranked AS (SELECT x.*, m.k, min(m.k) OVER (PARTITION BY w) AS least FROM pairs AS x LEFT JOIN merges AS m ON m.pair = x.t::BIGINT * 131072 + x.nt),
+ranked AS (SELECT x.*, m.k, min(m.k) OVER (PARTITION BY w) AS least FROM pairs AS x LEFT JOIN merges AS m ON m.pair = x.t::BIGINT * 4294967296 + x.nt),
 hit AS (SELECT *, p - row_number() OVER (PARTITION BY w ORDER BY p) AS run FROM ranked WHERE k = least),
 chosen AS (SELECT w, p, k, pt, nnt FROM (SELECT *, (p - min(p) OVER (PARTITION BY w, run)) % 2 AS odd FROM hit) WHERE odd = 0),
 sided AS (SELECT w, p, k, CASE WHEN lag(p) OVER (PARTITION BY w ORDER BY p) = p - 2 THEN k ELSE pt END AS l, nnt AS r FROM chosen),
-risky AS (SELECT s.w, min(s.p) AS stop FROM sided AS s LEFT JOIN merges AS a ON a.pair = s.l::BIGINT * 131072 + s.k LEFT JOIN merges AS b ON b.pair = s.k::BIGINT * 131072 + s.r WHERE a.k < s.k OR b.k < s.k GROUP BY s.w)
+risky AS (SELECT s.w, min(s.p) AS stop FROM sided AS s LEFT JOIN merges AS a ON a.pair = s.l::BIGINT * 4294967296 + s.k LEFT JOIN merges AS b ON b.pair = s.k::BIGINT * 4294967296 + s.r WHERE a.k < s.k OR b.k < s.k GROUP BY s.w)
 SELECT s.w, s.p, s.k FROM sided AS s LEFT JOIN risky USING (w) WHERE stop IS NULL OR s.p <= stop
 """
 _APPLY = """
@@ -87,7 +87,7 @@ class Coder:
         left, right, rank = (np.array(x, np.int64) for x in zip(*halves, strict=True)) if halves else (np.empty(0, np.int64),) * 3
         self.first = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        self._load("merges", {"pair": left * 131072 + right, "k": rank.astype(np.int32)})
+        self._load("merges", {"pair": left * 4294967296 + right, "k": rank.astype(np.int32)})
         self._load("vocabulary", {"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "bytes": [t.hex() for t in ranks]})
         self.fast = pattern == STANDARD
         self.pattern = regex.compile(pattern.replace(r"\S", f"[^{_WIDE}]").replace(r"[^\s", f"[^{_WIDE}").replace(r"\s", f"[{_WIDE}]"))

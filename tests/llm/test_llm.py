@@ -51,6 +51,15 @@ def test_bpe(spark, texts):
     assert bpe.digests(docs_of(spark, []), DATA, P.PATTERN).count() == 0
 
 
+def test_bpe_large_ids(spark):
+    """Ids beyond 2^17 keep their pairs apart."""
+    shift = 150_000
+    data = b"\n".join(base64.b64encode(t) + b" " + str(i + shift).encode() for t, i in RANKS.items())
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    got = {r.doc_id: r.ids_sha256 for r in bpe.digests(docs_of(spark, rows), data, P.PATTERN).collect()}
+    assert got == {i: hashlib.sha256(",".join(str(x + shift) for x in ENCODING.encode_ordinary(t or "")).encode()).hexdigest() for i, t in rows}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)]
