@@ -75,8 +75,14 @@ def pieces(texts: DataFrame) -> DataFrame:
     lines = texts.select("content", F.explode(F.split(bare, r"\n+")).alias("piece"))
     paragraphs = texts.select("content", F.explode(F.split(bare, r"\n\s*\n")).alias("paragraph")).filter(F.col("paragraph").rlike(TRIGGER))
     said = F.split(F.regexp_replace("paragraph", r"\s+", " "), r"(?<=[.!?;]) (?=[\p{Lu}\p{N}(])")
-    starts = paragraphs.select("content", F.posexplode(said).alias("at", "first"), said.alias("said"))
-    windows = starts.select("content", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size("said") - F.col("at"))), lambda n: F.array_join(F.slice("said", F.col("at") + 1, n), " "))).alias("piece"))
+    # no licence word runs over the end of a sentence, so each is looked at once; only windows with one are joined
+    marked = paragraphs.select("content", F.transform(said, lambda s: F.struct(s.alias("words"), s.rlike(TRIGGER).alias("hit"))).alias("said"))
+
+    def of(at: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size("said") - at)), lambda n: F.slice("said", at + 1, n))
+        return F.transform(F.filter(parts, lambda part: F.exists(part, lambda s: s["hit"])), lambda part: F.array_join(part["words"], " "))
+
+    windows = marked.select("content", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("said") - 1), of))).alias("piece"))
     return lines.unionByName(windows).filter(F.col("piece").rlike(TRIGGER))
 
 
@@ -86,7 +92,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", carry
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("own"))
     idf = written(frequencies(rows))
     # only texts with a licence word are looked at more closely; they are named by their content
-    marked = written(rows.filter(F.col("text").rlike(TRIGGER)).select(F.sha2("text", 256).alias("content"), "text").dropDuplicates(["content"]))
+    seen = written(rows.withColumn("text", F.when(F.col("text").rlike(TRIGGER), F.col("text"))).withColumn("content", F.sha2("text", 256)))
+    marked = seen.filter("content is not null").select("content", "text").dropDuplicates(["content"])
     parts = pieces(marked).select(F.struct("content", F.sha2("piece", 256).alias("p")).alias("key"), F.col("piece").alias("text")).dropDuplicates(["key"])
     header = similar(parts, idf).filter(F.col("cosine") >= HEADER).select(F.col("key.content").alias("content"), "licence", "cosine")
     # an identifier alone is a header, never a licence file
@@ -94,8 +101,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", carry
     whole = similar(marked.select(F.col("content").alias("key"), "text"), idf, full).filter(F.col("cosine") >= FILE).select(F.col("key").alias("content"), "licence", "cosine")
     both = header.withColumn("origin", F.lit("header")).unionByName(whole.withColumn("origin", F.lit("file")))
     best = written(both.groupBy("content").agg(F.min_by(F.struct("licence", "cosine", "origin"), F.struct(F.col("origin"), -F.col("cosine"), F.col("licence"))).alias("best")))
-    listed = rows.select("path", "own", F.when(F.col("text").rlike(TRIGGER), F.sha2("text", 256)).alias("content"))
-    found = written(listed.join(best, "content", "left").select("path", "own", "best.licence", "best.cosine", "best.origin"))
+    found = written(seen.join(best, "content", "left").select("path", "own", "best.licence", "best.cosine", "best.origin"))
 
     is_file = (F.col("origin") == "file") | F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME)
     roots = found.filter(F.col("licence").isNotNull() & is_file).groupBy(_parent(F.col("path")).alias("dir")).agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"))).alias("from"))
