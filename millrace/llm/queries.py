@@ -75,4 +75,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash_near_dedup, op3_token_packing, op4_language_id, op5_additive_quantisation, op6_license_scan, op7_hnsw_near_dedup, op8_pii_surrogates, op9_secret_scan, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Vectors of one label and length, pair by pair; ids are distinct.
+_OP7 = """WITH RECURSIVE
+fine AS MATERIALIZED (
+  SELECT vec_id, label, len(embedding) AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.n = b.n AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM fine UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.vec_id),
+roots AS (SELECT vec_id, min(root) AS root FROM reached GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, coalesce(r.root, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(r.root, e.vec_id), true) AS kept
+FROM embeddings e LEFT JOIN roots r ON r.vec_id = e.vec_id LEFT JOIN counts c ON c.vec_id = e.vec_id"""
+#: The others rest on models, hashes and seeded choices, or on forms that SQL cannot parse.
+ORACLE_SQL: dict[str, str] = {"op7_hnsw_near_dedup": _OP7}
