@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +19,12 @@ _FIXED = f"SELECT start, client, n FROM (SELECT strftime(make_timestamp(CAST(flo
 
 
 def _shared(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; without that setting a local master takes a temporary one, a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        import tempfile
-
+    if not base and re.fullmatch(r"local(\[[^]]*])?", spark.sparkContext.master):
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

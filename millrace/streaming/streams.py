@@ -2,13 +2,16 @@
 
 Keyed operators use transformWithStateInPandas with the RocksDB state store: `stateful(spark)` sets it.
 Rows of a key are taken in order of time within a micro-batch; a row that comes in a later batch than
-a younger one is taken as it comes. State is small: counters, or the last accepted times, which
-expire after the time a key can no longer depend on them.
+a younger one is taken as it comes. State is small: counters, or the last accepted times. With `expire`
+the rows get a watermark of `late`, rows behind it are dropped, and a key's state goes by a timer in event
+time, once no row that can still come depends on it: an outage, however long, loses none that counts.
+Without it all rows are taken and state stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +26,31 @@ def stateful(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _mode(expire: bool) -> str:
-    """State expires by processing time. A replay of what is there (availableNow) must not: it would wait for time to pass."""
-    return "ProcessingTime" if expire else "None"
+class _Expiring(StatefulProcessor):
+    """State that a timer in event time clears; `ends` tells the time (microseconds) from which no row depends on it."""
+
+    expire = False
+
+    def keep(self, value: tuple) -> None:
+        self.state.update(value)
+        if self.expire:
+            self.handle.registerTimer(self.ends(value) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # a later row has moved the end, and registered a timer of its own
+        if self.state.exists() and self.ends(self.state.get()) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(rows: DataFrame, processor: _Expiring, result: str, late: str) -> DataFrame:
+    """The processor on rows by key, with a watermark on their times where state expires."""
+    if processor.expire:
+        rows = rows.withColumn("at", F.timestamp_micros("t")).withWatermark("at", late)
+    return rows.groupBy("key").transformWithStateInPandas(processor, result, "append", "EventTime" if processor.expire else "None")
 
 
 def _sorted(rows, *by: str) -> pd.DataFrame:
@@ -33,17 +58,20 @@ def _sorted(rows, *by: str) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values(list(by), ignore_index=True)
 
 
-class _Sliding(StatefulProcessor):
+class _Sliding(_Expiring):
     """R2: state is the accepted times within the window, at most `limit`."""
 
     def __init__(self, limit: int, window_s: int, expire: bool):
         self.limit, self.window, self.expire = limit, window_s * 1_000_000, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getValueState("live", "times array<bigint>", ttlDurationMs=2 * self.window // 1000 if self.expire else None)
+        self.handle, self.state = handle, handle.getValueState("live", "times array<bigint>")
+
+    def ends(self, value: tuple) -> int:
+        return max(value[0], default=0) + self.window
 
     def handleInputRows(self, key, rows, timerValues):
-        live = list(self.live.get()[0]) if self.live.exists() else []
+        live = list(self.state.get()[0]) if self.state.exists() else []
         out = []
         for t, i in _sorted(rows, "t", "id")[["t", "id"]].itertuples(index=False):
             live = [x for x in live if x >= t - self.window]
@@ -51,27 +79,27 @@ class _Sliding(StatefulProcessor):
             out.append((key[0], int(i), not full, max(1, (self.window - (t - live[0])) // 1_000_000 + 1) if full else 0, 0 if full else self.limit - len(live) - 1))
             if not full:
                 live.append(int(t))
-        self.live.update((live,))
+        self.keep((live,))
         yield pd.DataFrame(out, columns=["key", "id", "allowed", "retry_after", "remaining"])
 
-    def close(self) -> None:
-        pass
 
-
-def sliding_stream(requests: DataFrame, limit: int, window_s: int, key: str = "client", order: str = "event_id", expire: bool = True) -> DataFrame:
+def sliding_stream(requests: DataFrame, limit: int, window_s: int, key: str = "client", order: str = "event_id", expire: bool = True, late: str = "1 hour") -> DataFrame:
     """R2 on a stream: (key, id, allowed, retry_after, remaining)."""
     rows = requests.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col(order).cast("long").alias("id"))
-    return rows.groupBy("key").transformWithStateInPandas(_Sliding(limit, window_s, expire), "key string, id long, allowed boolean, retry_after long, remaining long", "append", _mode(expire))
+    return _keyed(rows, _Sliding(limit, window_s, expire), "key string, id long, allowed boolean, retry_after long, remaining long", late)
 
 
-class _Lockout(StatefulProcessor):
+class _Lockout(_Expiring):
     """State is the recent failures and the end of a lock."""
 
     def __init__(self, limit: int, window_s: int, lock_s: int, expire: bool):
         self.limit, self.window, self.lock, self.expire = limit, window_s * 1_000_000, lock_s * 1_000_000, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "times array<bigint>, until bigint", ttlDurationMs=2 * (self.window + self.lock) // 1000 if self.expire else None)
+        self.handle, self.state = handle, handle.getValueState("state", "times array<bigint>, until bigint")
+
+    def ends(self, value: tuple) -> int:
+        return max([0, value[1], *(x + self.window for x in value[0])])
 
     def handleInputRows(self, key, rows, timerValues):
         live, until = (list(x[0]), x[1]) if self.state.exists() and (x := self.state.get()) else ([], -(1 << 62))
@@ -87,47 +115,44 @@ class _Lockout(StatefulProcessor):
                 if state == "tripped":
                     live, until = [], int(t) + self.lock
             out.append((key[0], int(i), state))
-        self.state.update((live, until))
+        self.keep((live, until))
         yield pd.DataFrame(out, columns=["key", "id", "state"])
 
-    def close(self) -> None:
-        pass
-
 
-def lockout_stream(attempts: DataFrame, limit: int = 8, window_s: int = 600, lock_s: int = 900, key: str = "client", order: str = "event_id", expire: bool = True) -> DataFrame:
+def lockout_stream(attempts: DataFrame, limit: int = 8, window_s: int = 600, lock_s: int = 900, key: str = "client", order: str = "event_id", expire: bool = True, late: str = "1 hour") -> DataFrame:
     """R4 on a stream of attempts with `ok`: (key, id, state)."""
     rows = attempts.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col(order).cast("long").alias("id"), "ok")
-    return rows.groupBy("key").transformWithStateInPandas(_Lockout(limit, window_s, lock_s, expire), "key string, id long, state string", "append", _mode(expire))
+    return _keyed(rows, _Lockout(limit, window_s, lock_s, expire), "key string, id long, state string", late)
 
 
-class _Throttle(StatefulProcessor):
+class _Throttle(_Expiring):
     """State is the last update that was kept."""
 
     def __init__(self, step: float, seconds: float, expire: bool):
         self.step, self.gap, self.expire = step, seconds * 1_000_000, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "p double, t bigint", ttlDurationMs=86_400_000 if self.expire else None)
+        self.handle, self.state = handle, handle.getValueState("last", "p double, t bigint")
+
+    def ends(self, value: tuple) -> int:
+        return int(value[1] + self.gap)
 
     def handleInputRows(self, key, rows, timerValues):
-        last = self.last.get() if self.last.exists() else None
+        last = self.state.get() if self.state.exists() else None
         out = []
         for t, i, p in _sorted(rows, "t", "id")[["t", "id", "p"]].itertuples(index=False):
             if last is None or not (p - last[0] < self.step and t - last[1] < self.gap):
                 last = (float(p), int(t))
                 out.append((key[0], int(i)))
         if last is not None:
-            self.last.update(tuple(last))
+            self.keep(tuple(last))
         yield pd.DataFrame(out, columns=["key", "id"])
 
-    def close(self) -> None:
-        pass
 
-
-def throttle_stream(updates: DataFrame, step: float = 0.02, seconds: float = 1.0, expire: bool = True) -> DataFrame:
+def throttle_stream(updates: DataFrame, step: float = 0.02, seconds: float = 1.0, expire: bool = True, late: str = "1 hour") -> DataFrame:
     """J3 on a stream: (key, id) of the updates that are kept."""
     rows = updates.filter("progress is not null").select(F.col("job_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("seq").cast("long").alias("id"), F.col("progress").cast("double").alias("p"))
-    return rows.groupBy("key").transformWithStateInPandas(_Throttle(step, seconds, expire), "key string, id long", "append", _mode(expire))
+    return _keyed(rows, _Throttle(step, seconds, expire), "key string, id long", late)
 
 
 class _Settle(StatefulProcessor):
@@ -196,16 +221,23 @@ def rollup_stream(requests: DataFrame, tool: Column, every: str, late: str = "1
     return grouped.agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("status") >= 500).alias("errors"), F.percentile_approx("ms", F.array(F.lit(0.5), F.lit(0.95))).alias("p"), F.max("ms").alias("max_ms")).select(F.col("window.start").alias("start"), "tool", "hits", "errors", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), "max_ms")
 
 
-def retain_batch(path: str, days: int, clock: Callable[[DataFrame], str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends a batch and empties day folders that have run out.
+def retain_batch(path: str, days: int, clock: Callable[[DataFrame], str], every_s: int = 300) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that stores a batch and, at most once in `every_s` seconds, removes day folders that have run out.
 
-    `clock` gives the current time for a batch. Folders older than the day of the cutoff are removed; doing
-    so again does no harm.
+    `clock` gives the current time for a batch. Folders older than the day of the cutoff are removed; the time is
+    noted only when that has worked, so a failed removal is tried again with the next batch. A replayed batch
+    replaces its own folders, so its rows are stored once.
     """
+    last: list[datetime] = []
+
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")).withColumn("_batch", F.lit(number)).write.mode("append").partitionBy("day").parquet(path)
-        cutoff = spark.sql(f"SELECT date_format(timestamp '{clock(batch)}' - INTERVAL {max(1, days)} DAYS, 'yyyy-MM-dd')").first()[0]
+        kept = batch.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")).withColumn("_batch", F.lit(number))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "_batch").parquet(path)
+        now = datetime.fromisoformat(clock(batch))
+        if last and (now - last[0]).total_seconds() < every_s:
+            return
+        cutoff = str((now - timedelta(days=max(1, days))).date())
         jvm = spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(path)
         fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -213,6 +245,7 @@ def retain_batch(path: str, days: int, clock: Callable[[DataFrame], str]) -> Cal
             name = status.getPath().getName()
             if name.startswith("day=") and name[4:] < cutoff:
                 fs.delete(status.getPath(), True)
+        last[:] = [now]
 
     return run
 
