@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hnsw, langid, licenses, minhash, mixing, packing, pii, secrets
+from . import ann, bpe, gnat, hnsw, langid, licenses, minhash, mixing, oracles, packing, pii, prefix_trie, quality, secrets
 from .common import read
 
 
@@ -74,7 +74,39 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash_near_dedup, op3_token_packing, op4_language_id, op5_additive_quantisation, op6_license_scan, op7_hnsw_near_dedup, op8_pii_surrogates, op9_secret_scan, op10_mixing)}
+def op11_gnat_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose vec_id is divisible by 100, for each of its positives."""
+    return gnat.hard_negatives(gnat.usable(read(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of every document."""
+    return quality.assess(read(spark, sf_dir, "documents")).drop("text_left")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.nodes(prefix_trie.rebuilt(prefix_trie.sequences(read(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe,
+        op2_minhash_near_dedup,
+        op3_token_packing,
+        op4_language_id,
+        op5_additive_quantisation,
+        op6_license_scan,
+        op7_hnsw_near_dedup,
+        op8_pii_surrogates,
+        op9_secret_scan,
+        op10_mixing,
+        op11_gnat_hard_negatives,
+        op12_quality_rules,
+        op13_prefix_trie,
+    )
+}
 
 #: Vectors of one label and length, pair by pair; ids are distinct.
 _OP7 = """WITH RECURSIVE
@@ -92,4 +124,4 @@ counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, coalesce(r.root, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(r.root, e.vec_id), true) AS kept
 FROM embeddings e LEFT JOIN roots r ON r.vec_id = e.vec_id LEFT JOIN counts c ON c.vec_id = e.vec_id"""
 #: The others rest on models, hashes and seeded choices, or on forms that SQL cannot parse.
-ORACLE_SQL: dict[str, str] = {"op7_hnsw_near_dedup": _OP7}
+ORACLE_SQL: dict[str, str] = {"op7_hnsw_near_dedup": _OP7, "op11_gnat_hard_negatives": oracles.OP11, "op12_quality_rules": oracles.OP12, "op13_prefix_trie": oracles.OP13}
