@@ -23,9 +23,11 @@ FROM negatives WHERE rank <= 5"""
 OP12 = r"""WITH
 docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS host FROM documents),
 listed AS MATERIALIZED (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM docs),
+words AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM listed),
 windows AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i:i + 4], ' ')) AS n
-  FROM (SELECT r, words, unnest(generate_series(1, len(words) - 4)) AS i FROM listed WHERE len(words) >= 5)),
+  SELECT r, i, count(*) OVER (PARTITION BY r, w, w1, w2, w3, w4) AS n
+  FROM (SELECT r, i, w, lead(w) OVER p AS w1, lead(w, 2) OVER p AS w2, lead(w, 3) OVER p AS w3, lead(w, 4) OVER p AS w4 FROM words WINDOW p AS (PARTITION BY r ORDER BY i))
+  WHERE w4 IS NOT NULL),
 covered AS (
   SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS place FROM windows WHERE n > 1) GROUP BY r),
 base AS (
