@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .ordered import keyed, numbered
+
 
 def recent(records: DataFrame, limit: int = 50) -> DataFrame:
     """A1: the newest rows, from 1 to 200 of them; ties go to the greater id. A row without time is the oldest."""
@@ -141,34 +143,55 @@ def name_collisions(records: DataFrame) -> DataFrame:
     return records.groupBy(sanitize_name(F.col("original_name")).alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def _mixed(batches):
+    """`unique_name` of families (in order) whose names differ. State is one family's distinct names and numbers, not its rows."""
+    own, kept, tried = None, set(), {}
+
+    def taken(low: str) -> bool:
+        dot = low.rfind(".")
+        stem, ext = (low[:dot], low[dot:]) if dot > 0 else (low, "")
+        base, _, number = stem.rpartition("_")
+        return low in kept or number.isascii() and number.isdigit() and number[0] != "0" and int(number) <= tried.get(base + ext, 0)
+
+    for batch in batches:
+        out = []
+        for family, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if family != own:
+                own, kept, tried = family, set(), {}
+            found, low = wanted, wanted.lower()
+            if taken(low):
+                dot = wanted.rfind(".")
+                stem, ext = (wanted[:dot], wanted[dot:]) if dot > 0 else (wanted, "")
+                n = tried.get(low, 0) + 1
+                while taken(f"{stem}_{n}{ext}".lower()):
+                    n += 1
+                tried[low], found = n, f"{stem}_{n}{ext}"
+            else:
+                kept.add(low)
+            out.append(found)
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string())], names=[*batch.schema.names[2:], "unique_name"])
+
+
 def dedupe_names(rows: DataFrame, group: str, name: str, order: str) -> DataFrame:
     """`unique_name`: a name that the group has before, in any case, gets the first free of `_1`, `_2`, ... before its extension.
 
-    A task reads its groups in order and holds the names that one group has taken, and the last number tried for each.
+    Only names of one family can meet: those of a group that are alike without `_<number>` ends and in their
+    extension. A family of one name is numbered by many tasks, whatever its size. One of several names is read in order
+    by one task, which holds its distinct names. A null name stays null.
     """
-    def run(batches):
-        own, taken, tried = None, set(), {}
-        for batch in batches:
-            out = []
-            for key, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key != own:
-                    own, taken, tried = key, set(), {}
-                found, low = wanted, (wanted or "").lower()
-                if wanted is not None and low in taken:
-                    dot = wanted.rfind(".")
-                    stem, ext = (wanted[:dot], wanted[dot:]) if dot > 0 else (wanted, "")
-                    n = tried.get(low, 0)
-                    while found.lower() in taken:
-                        n += 1
-                        found = f"{stem}_{n}{ext}"
-                    tried[low] = n
-                if found is not None:
-                    taken.add(found.lower())
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string())], names=[*batch.schema.names[2:], "unique_name"])
-
-    sorted_rows = rows.select(F.col(group).alias("_group"), F.col(name).alias("_name"), *rows.columns).repartition("_group").sortWithinPartitions("_group", order)
-    return sorted_rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("unique_name", StringType())]))
+    low = F.lower(F.col(name))
+    ext = F.regexp_extract(low, r"(?s)^.+(\.[^.]*)$", 1)
+    root = F.regexp_replace(F.substr(low, F.lit(1), F.length(low) - F.length(ext)), r"(_[0-9]+)+$", "")
+    fields, extended = rows.columns, StructType([*rows.schema.fields, StructField("unique_name", StringType())])
+    own = rows.filter(F.col(name).isNotNull()).withColumn("_family", F.concat_ws("\0", keyed(group), root, ext))
+    several = own.select("_family", low.alias("_low")).distinct().groupBy("_family").agg(F.count(F.lit(1)).alias("_names")).filter("_names > 1").select("_family")
+    stem = F.regexp_extract(F.col(name), r"(?s)^(.+)\.[^.]*$", 1)
+    stem = F.when(stem == "", F.col(name)).otherwise(stem)
+    n = F.col("_n") - 1
+    unique = F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), F.substr(F.col(name), F.length(stem) + 1)))
+    alone = numbered(own.join(several, "_family", "left_anti").select("_family", *fields), "_family", [order], "_n").select(*fields, unique.alias("unique_name"))
+    mixed = own.join(several, "_family", "left_semi").select("_family", F.col(name).alias("_name"), *fields).repartition("_family").sortWithinPartitions("_family", order).mapInArrow(_mixed, extended)
+    return alone.unionByName(mixed).unionByName(rows.filter(F.col(name).isNull()).withColumn("unique_name", F.lit(None).cast("string")))
 
 
 def batch_limits(uploads: DataFrame, max_file: int, max_files: int, max_batch: int) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import Fold, folded, keyed, unkeyed
+
 FIELDS = ("status", "progress_permille", "error")
 # Keys of a result that are public, prefixes of working folders, what an error without text reads.
 PUBLIC_KEYS = ["pages", "tables", "text_blocks", "images", "lines", "warnings", "files", "batch", "engine", "bytes"]
@@ -28,25 +32,40 @@ def reclaimable(jobs: DataFrame, now: str, kept_s: int = 30, stale_s: int = 3600
     return jobs.filter(F.when(F.col("status").isin("done", "error"), fetched | stale).otherwise(stale))
 
 
+class Throttle(Fold):
+    """State is the progress and time of the last update that was kept (or nothing)."""
+
+    def __init__(self, step: float, seconds: float):
+        self.step, self.wait = step, math.ceil(seconds * 1_000_000)
+        self.gap = self.wait - 1
+
+    def start(self) -> list:
+        return []
+
+    def run(self, state: list, t: np.ndarray, progress: np.ndarray) -> tuple[list[np.ndarray], list]:
+        kept, i = np.zeros(len(t), bool), 0
+        if not state and len(t):
+            kept[0], state, i = True, [float(progress[0]), int(t[0])], 1
+        while i < len(t):
+            end = max(i, int(np.searchsorted(t, state[1] + self.wait, "left")))
+            width = 32
+            while i < end:  # the first of a stretch that is far enough in progress
+                far = np.flatnonzero(~(progress[i : min(end, i + width)] - state[0] < self.step))
+                if len(far):
+                    i += int(far[0])
+                    break
+                i, width = min(end, i + width), 2 * width
+            if i < len(t):
+                kept[i], state = True, [float(progress[i]), int(t[i])]
+                i += 1
+        return [kept], state
+
+
 def throttle_progress(updates: DataFrame, step: float = 0.02, seconds: float = 1.0) -> DataFrame:
-    """Updates that are kept: each differs enough from the last kept one, in progress or in time.
-
-    A task reads its jobs' updates in order and holds the last kept one, so a long log costs no memory.
-    """
-    def run(batches):
-        job, last, since = None, 0.0, 0
-        for batch in batches:
-            kept = []
-            for i, (key, t, progress) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
-                if key == job and progress - last < step and t - since < seconds * 1_000_000:
-                    continue
-                job, last, since = key, progress, t
-                kept.append(i)
-            at = pa.array(kept, pa.int64())
-            yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at)], ["job_id", "seq"])
-
-    rows = updates.filter("progress is not null and job_id is not null").select(F.col("job_id").cast("string"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("seq").cast("long"), F.col("progress").cast("double"))
-    return rows.repartition("job_id").sortWithinPartitions("job_id", "t", "seq").mapInArrow(run, "job_id string, seq long")
+    """Updates that are kept: each differs enough from the last kept one, in progress or in time."""
+    rows = updates.filter("progress is not null and job_id is not null")
+    own = rows.select(keyed("job_id").alias("key"), F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)).alias("t"), F.col("seq").cast("long").alias("id"), F.col("progress").cast("double").alias("progress"))
+    return folded(own, Throttle(step, seconds), ["progress"], "kept boolean").filter("kept").select(unkeyed("key").alias("job_id"), F.col("id").alias("seq"))
 
 
 def public_jobs(jobs: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Callable
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import Fold, folded, keyed, unkeyed
+
 # Markers of limited paths, prefixes of noisy ones.
 MARKERS = ["/convert-async", "/convert-batch-async", "/convert-batch", "/convert", "/compress", "/send", "/pickup", "/lookup", "/regex/test", "/regex/replace"]
 NOISY = ["/static/", "/health", "/sw.js", "/manifest.webmanifest", "/favicon"]
@@ -31,44 +32,45 @@ def _micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _folded(rows: DataFrame, state: Callable, step: Callable, schema: str) -> DataFrame:
-    """Rows (key, t, id, ...) run through `step(state, row)` in order of key, time and id; a fresh state for each key.
+def _judged(rows: DataFrame, fold: Fold, order: str, result: str, key: str, *extra: Column) -> DataFrame:
+    """Rows folded by key and time, as (key, `order`, verdicts). A row without time counts as one at the epoch."""
+    own = rows.select(keyed(key).alias("key"), F.coalesce(_micros(), F.lit(0)).alias("t"), F.col(order).cast("long").alias("id"), *extra)
+    out = folded(own, fold, own.columns[3:], result)
+    return out.select(unkeyed("key").alias("key"), F.col("id").alias(order), *out.columns[2:])
 
-    A task reads its keys in sorted order and holds one state, so a key with a great part of all rows
-    costs one task's time, in proportion to its rows, and no memory.
-    """
-    names = [part.split()[0] for part in schema.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 
-    def run(batches):
-        key, own = None, None
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own is None or row[0] != key:
-                    key, own = row[0], state()
-                out.append((row[0], row[2], *step(own, *row[1:2], *row[3:])))
-            yield pa.record_batch([pa.array([r[i] for r in out], kinds[part.split()[1]]) for i, part in enumerate(schema.split(", "))], names)
+class Sliding(Fold):
+    """R2: state is the accepted times within the window, at most `limit`; denied rows are passed over by search."""
+
+    def __init__(self, limit: int, window_s: int):
+        self.limit, self.gap = limit, window_s * 1_000_000
+
+    def start(self) -> list:
+        return []
 
-    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(run, schema)
+    def run(self, state: list, t: np.ndarray) -> tuple[list[np.ndarray], list]:
+        live, i = deque(state), 0
+        allowed, retry, remaining = np.ones(len(t), bool), np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+        while i < len(t):
+            while live and live[0] < t[i] - self.gap:
+                live.popleft()
+            if len(live) < self.limit:
+                live.append(int(t[i]))
+                remaining[i] = self.limit - len(live)
+                i += 1
+            else:
+                j = int(np.searchsorted(t, live[0] + self.gap, "right"))
+                allowed[i:j] = False
+                retry[i:j] = np.maximum(1, (self.gap - (t[i:j] - live[0])) // 1_000_000 + 1)
+                i = j
+        return [allowed, retry, remaining], list(live)
 
 
 def sliding_check(requests: DataFrame, limit: int, window_s: int, key: str = "client", order: str = "event_id") -> DataFrame:
     """R2: verdict of each request; a denied one is not recorded and so doesn't count later."""
-    rows = requests.select(F.col(key).cast("string").alias("key"), _micros().alias("t"), F.col(order).cast("long").alias("id"))
     if limit <= 0:
-        return rows.select("key", F.col("id").alias(order), F.lit(True).alias("allowed"), F.lit(0).cast("long").alias("retry_after"), F.lit(-1).cast("long").alias("remaining"))
-    span = window_s * 1_000_000
-
-    def step(live: deque, t: int) -> tuple[bool, int, int]:
-        while live and live[0] < t - span:
-            live.popleft()
-        if len(live) >= limit:
-            return False, max(1, (span - (t - live[0])) // 1_000_000 + 1), 0
-        live.append(t)
-        return True, 0, limit - len(live)
-
-    return _folded(rows, deque, step, f"key string, {order} long, allowed boolean, retry_after long, remaining long")
+        return requests.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias(order), F.lit(True).alias("allowed"), F.lit(0).cast("long").alias("retry_after"), F.lit(-1).cast("long").alias("remaining"))
+    return _judged(requests, Sliding(limit, window_s), order, "allowed boolean, retry_after long, remaining long", key)
 
 
 def sliding_record(requests: DataFrame, limit: int, window_s: int, key: str = "client") -> DataFrame:
@@ -77,31 +79,44 @@ def sliding_record(requests: DataFrame, limit: int, window_s: int, key: str = "c
     return requests.withColumn("_us", _micros()).withColumn("hits", F.count(F.lit(1)).over(within)).withColumn("exceeded", F.col("hits") >= limit).drop("_us")
 
 
+class Lockout(Fold):
+    """State is the end of a lock (or null) and the recent failures; locked rows are passed over by search."""
+
+    def __init__(self, limit: int, window_s: int, lock_s: int):
+        self.limit, self.window, self.lock = limit, window_s * 1_000_000, lock_s * 1_000_000
+        self.gap = max(self.window, self.lock)
+
+    def start(self) -> list:
+        return [None]
+
+    def run(self, state: list, t: np.ndarray, ok: np.ndarray) -> tuple[list[np.ndarray], list]:
+        until, live, i = state[0], deque(state[1:]), 0
+        out = np.full(len(t), "locked", object)
+        while i < len(t):
+            if until is not None and t[i] < until:
+                i = int(np.searchsorted(t, until, "left"))
+                continue
+            if ok[i]:
+                live.clear()
+                until, out[i] = None, "cleared"
+            else:
+                while live and live[0] < t[i] - self.window:
+                    live.popleft()
+                live.append(int(t[i]))
+                out[i] = "counted" if len(live) < self.limit else "tripped"
+                if len(live) >= self.limit:
+                    live.clear()
+                    until = int(t[i]) + self.lock
+            i += 1
+        return [out], [until, *live]
+
+
 def lockouts(attempts: DataFrame, limit: int = 8, window_s: int = 600, lock_s: int = 900, key: str = "client", order: str = "event_id") -> DataFrame:
     """State of each attempt (ok boolean): locked, tripped (this failure locks), counted, or cleared by a success.
 
     While a key is locked nothing is counted.
     """
-    rows = attempts.select(F.col(key).cast("string").alias("key"), _micros().alias("t"), F.col(order).cast("long").alias("id"), F.col("ok"))
-
-    def step(own: dict, t: int, ok: bool) -> tuple[str]:
-        live = own["live"]
-        if own["until"] is not None and t < own["until"]:
-            return ("locked",)
-        if ok:
-            live.clear()
-            own["until"] = None
-            return ("cleared",)
-        while live and live[0] < t - window_s * 1_000_000:
-            live.popleft()
-        live.append(t)
-        if len(live) < limit:
-            return ("counted",)
-        live.clear()
-        own["until"] = t + lock_s * 1_000_000
-        return ("tripped",)
-
-    return _folded(rows, lambda: {"live": deque(), "until": None}, step, f"key string, {order} long, state string")
+    return _judged(attempts, Lockout(limit, window_s, lock_s), order, "state string", key, F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
 def fixed_window(requests: DataFrame, limit: int, window_s: int, key: str = "client", order: str = "event_id") -> DataFrame:

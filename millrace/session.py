@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,3 +25,20 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; without that setting a local master takes a temporary one, a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base and re.fullmatch(r"local(\[[^]]*])?", spark.sparkContext.master):
+        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: it is computed once, and lost executors lose none of it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
