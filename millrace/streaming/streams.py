@@ -1,4 +1,4 @@
-"""Streaming forms: keyed state with time-outs and watermarked windows.
+"""Streaming forms: keyed state with time-outs and watermarked windows.
 
 Keyed operators use transformWithStateInPandas with the RocksDB state store: `stateful(spark)` sets it.
 Rows of a key are taken in order of time within a micro-batch; a row that comes in a later batch than
@@ -17,8 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import parcels
+from ..operators.jobs import FIELDS
+from ..session import written
+from ..sources import rewrite
 
 
 def stateful(spark: SparkSession) -> None:
@@ -155,51 +159,188 @@ def throttle_stream(updates: DataFrame, step: float = 0.02, seconds: float = 1.0
     return _keyed(rows, _Throttle(step, seconds, expire), "key string, id long", late)
 
 
+def deduplicated(stream: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
+    """Rows of a source that delivers some twice, each once: a repeat that comes within `late` is dropped.
+
+    The watermark on `ts` holds for what follows too; rows behind it are dropped. State is one key for each row
+    that is not yet `late` behind.
+    """
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+class _Current(StatefulProcessor):
+    """State is a map with an entry for each field of a job: its value, and when that was written."""
+
+    def __init__(self, fields: tuple[str, ...]):
+        self.fields = fields
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("fields", "name string", "value string, t bigint, seq bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new: dict[str, tuple] = {}
+        for part in rows:
+            at = list(zip(part["t"], part["seq"], strict=True))
+            for field in ("updated_at", *self.fields):
+                values = at if field == "updated_at" else part[field]
+                own = [(int(t), int(i), str(v)) for (t, i), v in zip(at, values, strict=True) if field == "updated_at" or v is not None]
+                if own:
+                    new[field] = max(own) if field not in new else max(new[field], max(own))
+        row = [key[0]]
+        for field in (*self.fields, "updated_at"):
+            old = self.state.getValue((field,)) if self.state.containsKey((field,)) else None
+            if field in new and (old is None or new[field][:2] >= (old[1], old[2])):
+                t, i, v = new[field]
+                self.state.updateValue((field,), (v, t, i))
+                old = (v, t, i)
+            row.append(None if old is None else int(old[1]) if field == "updated_at" else old[0])
+        yield pd.DataFrame([row], columns=["job_id", *self.fields, "t"])
+
+    def close(self) -> None:
+        pass
+
+
+def current_jobs_stream(updates: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """J1 on a stream: the whole row of each job (fields as strings, t in microseconds) whenever it changes, for `upsert_batch`.
+
+    The last write of a field wins by (ts, seq), in whatever order updates come. Updates without job_id or ts are dropped.
+    """
+    rows = updates.filter("job_id is not null and ts is not null").select("job_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("seq").cast("long").alias("seq"), *(F.col(f).cast("string") for f in fields))
+    shape = ", ".join(["job_id string", *(f"{f} string" for f in fields), "t long"])
+    return rows.groupBy("job_id").transformWithStateInPandas(_Current(fields), shape, "update", "None")
+
+
+def upsert_batch(path: str, key: str, folders: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that replaces a table's rows by those of a batch; only folders (hash slices of keys) with a change are written.
+
+    A replayed batch writes the same rows again.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        kept = written(batch.withColumn("slice", F.concat(F.lit("s"), F.pmod(F.xxhash64(key), F.lit(folders)).cast("string"))))
+        if not kept.isEmpty():
+            rewrite.upsert(batch.sparkSession, path, "slice", kept, key)
+
+    return run
+
+
+class _Idle(StatefulProcessor):
+    """State is a key's last time; a timer in event time gives the key out when it has been idle for so long."""
+
+    def __init__(self, idle_s: int):
+        self.idle = idle_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("last", "t bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = max([*(int(part["t"].max()) for part in rows), *([self.state.get()[0]] if self.state.exists() else [])])
+        self.state.update((last,))
+        self.handle.registerTimer((last + self.idle) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last = self.state.get()[0] if self.state.exists() else None
+        if last is not None and (last + self.idle) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            yield pd.DataFrame([(key[0], last)], columns=["key", "last"])
+
+    def close(self) -> None:
+        pass
+
+
+def idle_sweep_stream(requests: DataFrame, idle_s: int = 3600, key: str = "client", late: str = "1 hour") -> DataFrame:
+    """R7 on a stream: (key, last in microseconds) once a key has been idle for `idle_s` seconds by the watermark; its state goes.
+
+    A key that comes back is given out again after its next pause.
+    """
+    rows = requests.filter("ts is not null").select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col("ts").cast("timestamp").alias("at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return rows.withWatermark("at", late).groupBy("key").transformWithStateInPandas(_Idle(idle_s), "key string, last long", "append", "EventTime")
+
+
 class _Settle(StatefulProcessor):
-    """State is how many downloads of a parcel the stream has used."""
+    """State is how many downloads of a parcel have been used beyond its ledger's count, and whether it is burnt.
+
+    With `expire` a timer clears it when the watermark has passed the parcel's end: later claims find it expired anyway.
+    """
+
+    def __init__(self, expire: bool):
+        self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", "n bigint", ttlDurationMs=None)
+        self.handle, self.used = handle, handle.getValueState("used", "n bigint, burnt boolean", ttlDurationMs=None)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.used.update((int(initialState["used"].sum()), bool(initialState["burnt"].any())))
 
     def handleInputRows(self, key, rows, timerValues):
-        used = int(self.used.get()[0]) if self.used.exists() else 0
-        out = []
+        used, burnt = self.used.get() if self.used.exists() else (0, False)
+        used, out, end = int(used), [], None
         for x in _sorted(rows, "t", "claim_id").itertuples(index=False):
             if not x.found:
                 outcome = "invalid"
             elif x.expired:
                 outcome = "expired"
-            elif x.cap > 0 and x.download_count + used >= x.cap:
+            elif burnt or x.cap > 0 and x.download_count + used >= x.cap:
                 outcome = "exhausted"
             elif not x.has:
                 outcome = "missing"
             else:
-                outcome, used = "ok", used + 1
-            out.append((int(x.claim_id), key[0], outcome))
-        self.used.update((used,))
+                outcome, used, burnt = "ok", used + 1, bool(x.burn)
+            end = None if pd.isna(x.ends) else int(x.ends)
+            out.append((int(x.claim_id), x.raw, outcome))
+        self.used.update((used, burnt))
+        if self.expire and end is not None:
+            self.handle.registerTimer(end // 1000 + 1)
         yield pd.DataFrame(out, columns=["claim_id", "code", "outcome"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.used.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def settle_claims_stream(packages: DataFrame, claims: DataFrame, kind: str = "file") -> DataFrame:
-    """P10 on a stream of claims, joined to the table of parcels; keyed by code."""
+def ledger(outcomes: DataFrame, packages: DataFrame) -> DataFrame:
+    """(code, used, burnt) of settled claims: the state from which a stream of further ones goes on."""
+    burn = packages.select(F.col("code").alias("c"), (F.col("burn_after") == 1).alias("burn"))
+    ok = outcomes.filter("outcome = 'ok'").select(parcels.valid_code(F.col("code")).alias("c")).join(burn, "c", "left")
+    return ok.groupBy(F.col("c").alias("code")).agg(F.count(F.lit(1)).alias("used"), F.coalesce(F.bool_or("burn"), F.lit(False)).alias("burnt"))
+
+
+def settle_claims_stream(packages: DataFrame, claims: DataFrame, kind: str = "file", settled: DataFrame | None = None, expire: bool = False, late: str = "1 hour") -> DataFrame:
+    """P10 on a stream of claims, joined to the table of parcels; keyed by code.
+
+    settled: a `ledger` to go on from. With `expire`, claims behind the watermark are dropped (`dropped_rows` counts
+    them), and a parcel's state goes when the watermark has passed its end. Claims of one code, however written, meet.
+    """
     cap = F.when(F.col("burn_after") == 1, 1).otherwise(F.col("max_downloads")).cast("long")
     has = (F.col("text_payload") != "") if kind == "text" else (F.col("text_payload") == "") & (F.col("stored_rel") != "")
-    known = packages.select(F.col("code").alias("c"), "expires_at", cap.alias("cap"), F.col("download_count").cast("long"), has.alias("has"), F.lit(True).alias("found"))
+    known = packages.select(F.col("code").alias("c"), "expires_at", cap.alias("cap"), F.col("download_count").cast("long"), has.alias("has"), (F.col("burn_after") == 1).alias("burn"), F.lit(True).alias("found"))
+    at = F.col("ts").cast("timestamp")
+    claims = claims.withColumn("at", at).withWatermark("at", late) if expire else claims.withColumn("at", at)
     rows = claims.withColumn("c", parcels.valid_code(F.col("code"))).join(known, "c", "left")
     rows = rows.select(
-        F.coalesce("code", F.lit("")).alias("code"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        F.coalesce("c", "code", F.lit("")).alias("key"),
+        F.coalesce("code", F.lit("")).alias("raw"),
+        "at",
+        F.unix_micros("at").alias("t"),
         F.col("claim_id").cast("long").alias("claim_id"),
         F.coalesce("found", F.lit(False)).alias("found"),
         F.coalesce(F.col("expires_at") <= F.col("ts"), F.lit(True)).alias("expired"),
+        F.unix_micros(F.col("expires_at").cast("timestamp")).alias("ends"),
         F.coalesce("cap", F.lit(0)).cast("long").alias("cap"),
         F.coalesce("download_count", F.lit(0)).cast("long").alias("download_count"),
         F.coalesce("has", F.lit(False)).alias("has"),
+        F.coalesce("burn", F.lit(False)).alias("burn"),
     )
-    return rows.groupBy("code").transformWithStateInPandas(_Settle(), "claim_id long, code string, outcome string", "append", "None")
+    start = None if settled is None else settled.select(F.col("code").alias("key"), F.col("used").cast("long").alias("used"), "burnt").groupBy("key")
+    return rows.groupBy("key").transformWithStateInPandas(_Settle(expire), "claim_id long, code string, outcome string", "append", "EventTime" if expire else "None", initialState=start)
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that a query's keyed operators have dropped behind the watermark, by its recent progress."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
 
 
 def fixed_window_stream(requests: DataFrame, window_s: int, key: str = "client", late: str = "1 hour") -> DataFrame:
@@ -224,28 +365,29 @@ def rollup_stream(requests: DataFrame, tool: Column, every: str, late: str = "1
 def retain_batch(path: str, days: int, clock: Callable[[DataFrame], str], every_s: int = 300) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that stores a batch and, at most once in `every_s` seconds, removes day folders that have run out.
 
-    `clock` gives the current time for a batch. Folders older than the day of the cutoff are removed; the time is
-    noted only when that has worked, so a failed removal is tried again with the next batch. A replayed batch
-    replaces its own folders, so its rows are stored once.
+    `clock` gives the current time for a batch. Folders older than the day of the cutoff are removed, and so is that
+    of rows without time. The time is noted in the folder's `_stamp`, beside the data, only when that has worked: a
+    failed removal is tried again with the next batch, and a restarted query knows when the last one was. A replayed
+    batch replaces its own folders, so its rows are stored once.
     """
-    last: list[datetime] = []
-
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         kept = batch.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")).withColumn("_batch", F.lit(number))
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "_batch").parquet(path)
-        now = datetime.fromisoformat(clock(batch))
-        if last and (now - last[0]).total_seconds() < every_s:
+        kept.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "_batch").parquet(path)
+        now, root = datetime.fromisoformat(clock(batch)), rewrite.Folder(spark, path)
+        stamp = root / "_stamp"
+        last = max((name for name in stamp.names() if name[:1] == "t"), default=None)
+        if last and (now - datetime.strptime(last, "t%Y%m%d-%H%M%S.%f")).total_seconds() < every_s:
             return
         cutoff = str((now - timedelta(days=max(1, days))).date())
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("day=") and name[4:] < cutoff:
-                fs.delete(status.getPath(), True)
-        last[:] = [now]
+        for name in root.names():
+            if name.startswith("day=") and (name[4:] < cutoff or name == "day=__HIVE_DEFAULT_PARTITION__"):
+                (root / name).delete()
+        fresh = stamp / now.strftime("t%Y%m%d-%H%M%S.%f")
+        fresh.fs.mkdirs(fresh.path)
+        for name in stamp.names():
+            if name < fresh.text.rpartition("/")[2]:
+                (stamp / name).delete()
 
     return run
 
@@ -257,6 +399,13 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.table(name)
 
 
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """All that a stream has now, batch by batch through a foreachBatch function."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that a stream has now, written to Parquet exactly once, and read again."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
