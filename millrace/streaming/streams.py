@@ -304,7 +304,7 @@ class _Settle(StatefulProcessor):
 def ledger(outcomes: DataFrame, packages: DataFrame) -> DataFrame:
     """(code, used, burnt) of settled claims: the state from which a stream of further ones goes on."""
     burn = packages.select(F.col("code").alias("c"), (F.col("burn_after") == 1).alias("burn"))
-    ok = outcomes.filter("outcome = 'ok'").select(parcels.valid_code(F.col("code")).alias("c")).join(burn, "c", "left")
+    ok = outcomes.filter("outcome = 'ok'").select(parcels.valid_code(F.col("code")).alias("c")).filter("c is not null").join(burn, "c", "left")
     return ok.groupBy(F.col("c").alias("code")).agg(F.count(F.lit(1)).alias("used"), F.coalesce(F.bool_or("burn"), F.lit(False)).alias("burnt"))
 
 
