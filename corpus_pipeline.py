@@ -12,8 +12,17 @@ from millrace.llm import bpe, langid, minhash, mixing, pii
 from millrace.llm.common import read, written
 
 
+#: Rows of a batch that goes to Python: texts, their word lists and what is made of them stay in a worker's memory at once.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without letters, or without one n-gram of any language, go."""
+    _small_batches(spark)
     model = langid.fit(docs.filter(~langid.held_out()))
     return langid.predict(docs, model).filter("lang_pred <> 'und' and score > 0").select(*docs.columns)
 
@@ -24,6 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share an id are one document: the one that is least by a hash of its columns stays. An empty
     table stays empty.
     """
+    _small_batches(spark)
     found = written(minhash.classes(docs).filter("id = class_id").select(F.col("id").alias("_kept")).distinct())
     least = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), F.hash(*docs.columns)))
     kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn("_least", least).filter("_least = 1")
@@ -52,6 +62,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests; a null text counts as an empty one."""
+    _small_batches(spark)
     data = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
     return bpe.digests(docs, data, public_tokenizers.PATTERN)
 
