@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pieces in one recursive query, pieces that a worker keeps, and the bytes from which a piece is long.
-TOGETHER, KEPT, LONG = 40_000, 250_000, 300
+TOGETHER, KEPT, LONG = 20_000, 120_000, 300
 #: Stands for "these two don't merge".
 NEVER = 1 << 30
 
@@ -86,7 +86,7 @@ class Coder:
         halves = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (np.array(x, np.int64) for x in zip(*halves, strict=True)) if halves else (np.empty(0, np.int64),) * 3
         self.first = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
         self._load("merges", {"pair": left * 4294967296 + right, "k": rank.astype(np.int32)})
         self._load("vocabulary", {"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "bytes": [t.hex() for t in ranks]})
         self.fast = pattern == STANDARD
@@ -99,6 +99,12 @@ class Coder:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM loaded")
         self.db.unregister("loaded")
 
+    def rest(self) -> None:
+        """Lets go of what the last pieces needed: a worker lives on, and may do other work next."""
+        for name in ("done", "positions", "number", "long_rows", "turn"):
+            self.db.execute(f"DROP TABLE IF EXISTS {name}")
+        pa.default_memory_pool().release_unused()
+
     def split(self, text: str) -> list[str]:
         return _FAST.findall(text) if self.fast and not _BEYOND.search(text) else self.pattern.findall(text)
 
@@ -208,6 +214,7 @@ def digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc
                 ids.append(hashlib.sha256(text.encode()).hexdigest())
                 back.append(hashlib.sha256(data).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.rest()
 
     return docs.select(docs[id_col].cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
