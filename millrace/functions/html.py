@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+from collections.abc import Callable
 import re
 from bisect import bisect_left
 from html.parser import HTMLParser
@@ -300,19 +302,72 @@ def host_degrees(pages: DataFrame) -> DataFrame:
     return ends.filter("e.host <> ''").groupBy(F.col("e.host").alias("host")).agg(F.sum("e.out").alias("out_links"), F.sum("e.in").alias("in_links"))
 
 
-# Literal IPv4 blocks that aren't global, as patterns of their first parts.
-_PRIVATE = r"^(0|10|127)\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^198\.(1[89]|51\.100)\.|^203\.0\.113\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(22[4-9]|23\d|24\d|25[0-5])\."
+# Blocks of addresses that aren't globally reachable, the parts of these that are, and what else is refused.
+PRIVATE4 = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32"]
+GLOBAL4, SHARED4, MULTICAST4 = ["192.0.0.9/32", "192.0.0.10/32"], ["100.64.0.0/10"], ["224.0.0.0/4"]
+PRIVATE6 = ["::1/128", "::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10"]
+GLOBAL6, MULTICAST6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"], ["ff00::/8"]
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _within(address: Column, blocks: list[str]) -> Column:
+    """Whether an address, in hexadecimal digits of full length, lies in one of the blocks."""
+    found = F.lit(False)
+    for net in map(ipaddress.ip_network, blocks):
+        width = 8 if net.version == 4 else 32
+        found |= address.between(f"{int(net.network_address):0{width}x}", f"{int(net.broadcast_address):0{width}x}")
+    return found
+
+
+def ipv4_hex(host: Column) -> Column:
+    """The eight hexadecimal digits of a dotted address without leading zeros; null for anything else."""
+    part = r"(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
+    digits = [F.lpad(F.lower(F.hex(F.regexp_extract(host, rf"^{r'\.'.join([part] * 4)}$", i).cast("long"))), 2, "0") for i in range(1, 5)]
+    return F.when(host.rlike(rf"^{r'\.'.join([part] * 4)}$"), F.concat(*digits))
+
+
+def ipv6_hex(host: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address (`::`, a dotted end and a zone allowed); null for anything else."""
+    plain = F.regexp_replace(F.lower(host), "%.*$", "")
+    tail = ipv4_hex(F.regexp_extract(plain, r":([\d.]+)$", 1))
+    dotted = _once(tail, lambda t: F.concat(F.regexp_extract(plain, r"^(.*:)[\d.]+$", 1), F.left(t, F.lit(4)), F.lit(":"), F.right(t, F.lit(4))))
+    groups = lambda x: F.transform(F.filter(F.split(F.coalesce(x, F.lit("")), ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+
+    def digits(x: Column, halves: Column, left: Column, right: Column) -> Column:
+        zeros = 8 - F.size(left) - F.size(right)
+        fine = x.rlike("^[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,8}$") & ~x.rlike(":::|^:[^:]|[^:]:$") & (F.size(halves) <= 2) & F.when(F.size(halves) == 2, zeros >= 1).otherwise(zeros == 0)
+        return F.when(fine, F.concat(F.array_join(left, ""), F.repeat(F.lit("0000"), F.greatest(zeros, F.lit(0))), F.array_join(right, "")))
+
+    parts = lambda x: _once(F.split(x, "::"), lambda h: _once(groups(F.get(h, F.lit(0))), lambda a: _once(groups(F.get(h, F.lit(1))), lambda b: digits(x, h, a, b))))
+    return F.when(host.contains(":"), _once(F.when(plain.contains("."), dotted).otherwise(plain), parts))
+
+
+def refused_address(host: Column) -> Column:
+    """Whether a literal address isn't global, or is multicast or unspecified; false for names."""
+    private = lambda x: _within(x, PRIVATE4) & ~_within(x, GLOBAL4) | _within(x, MULTICAST4)
+    four = _once(ipv4_hex(host), lambda x: F.when(x.isNotNull(), private(x) | _within(x, SHARED4)))
+    mapped = "0" * 20 + "ffff"
+    six = _once(ipv6_hex(host), lambda x: F.when(x.startswith(mapped), _once(F.right(x, F.lit(8)), private)).otherwise(_within(x, PRIVATE6) & ~_within(x, GLOBAL6) | _within(x, MULTICAST6)))
+    return F.coalesce(four, six, F.lit(False))
 
 
 def url_verdict(url: Column) -> Column:
-    """Ok, or why a URL is refused: scheme, host, localhost or address. Names are not resolved."""
+    """Ok, or why a URL is refused: scheme, host (missing, or no address in its brackets), localhost or address. Names are not resolved."""
     scheme = F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_replace(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"^[^@]*@", "")
-    host = F.lower(F.when(authority.startswith("["), F.regexp_extract(authority, r"^\[([^\]]*)", 1)).otherwise(F.regexp_replace(authority, r":\d*$", "")))
-    host = F.regexp_replace(host, r"\.$", "")
-    local = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
-    six = host.contains(":") & (host.rlike(r"^(::1?|f[cd].*|fe[89ab].*|ff.*|2001:db8:.*|::ffff:.*)$"))
-    return F.when(F.coalesce(~scheme.isin("http", "https"), F.lit(True)), "scheme").when(host == "", "host").when(local, "localhost").when((host.rlike(r"^\d+\.\d+\.\d+\.\d+$") & host.rlike(_PRIVATE)) | six, "address").otherwise("ok")
+    bracketed = authority.startswith("[")
+    named = F.lower(F.when(bracketed, F.regexp_extract(authority, r"^\[([^\]]*)", 1)).otherwise(F.regexp_replace(authority, r":\d*$", "")))
+
+    def verdict(host: Column) -> Column:
+        local = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
+        no_host = (host == "") | bracketed & ipv6_hex(host).isNull()
+        return F.when(F.coalesce(~scheme.isin("http", "https"), F.lit(True)), "scheme").when(no_host, "host").when(local, "localhost").when(refused_address(host), "address").otherwise("ok")
+
+    return _once(F.regexp_replace(named, r"\.$", ""), verdict)
 
 
 def url_audit(pages: DataFrame) -> DataFrame:

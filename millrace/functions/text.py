@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_CJK = r"\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 #: Line breaks as Python's splitlines sees them.
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-_CJK = r"\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 FLAGS = {"i": re.I, "m": re.M, "s": re.S, "x": re.X, "u": re.U, "a": re.A}
 
 
@@ -156,32 +156,71 @@ def shape_profile(rows: DataFrame, column: str, k: int = 50) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).groupBy(shape(F.col(column)).alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("example")).orderBy(F.desc("n"), "shape").limit(k)
 
 
+# CJK letters and forms, punctuation without spaces around it, odd spaces, ends of sentences, list markers.
+CJK = r"\u3000-\u303f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef"
+PUNCT = "，。！？；：、…—·「」『』【】《》（）'［］｛｝～‘’“”"
+ODD_SPACE = r"[\u00a0\u2000-\u200b\u202f\u205f\u3000]+"
+SENTENCE_END = "。！？；：.!?;…"
+CLOSERS, OPENERS, CLOSED = ".,;:!?)]}", "([{<", ")]}>.,;:!?"
+MARKER = r"^(?:\d{1,3}[、.．)）]|[（(]\d{1,3}[)）]|[一二三四五六七八九十百]+[、.．]|[•·▪◦●○◆◇■□])"
+#: White space as Python's strip sees it, with zero-width spaces.
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]"
+
+
 def tidy_spacing(text: Column) -> Column:
-    """No spaces within CJK, around its punctuation, or between CJK and digits or Latin words of up to four characters; runs of spaces are one."""
-    cjk, punct, short = f"[{_CJK}]", "[，。！？；：、（）《》“”‘’]", "[A-Za-z0-9]{1,4}"
-    out = F.regexp_replace(text, r"[\u00a0\u3000]", " ")
-    for _ in range(3):
-        for left, right in ((cjk, cjk), (cjk, r"\d"), (r"\d", cjk), (cjk, rf"{short}(?![A-Za-z0-9])"), (rf"(?<![A-Za-z0-9]){short}", cjk)):
-            out = F.regexp_replace(out, rf"({left}) +(?={right})", "$1")
-        out = F.regexp_replace(out, rf" *({punct}) *", "$1")
-    return F.regexp_replace(out, r"[ \t]{2,}", " ")
+    """Odd spaces are plain ones; none within CJK, around its punctuation, or between CJK and digits or Latin words of up to four letters; runs of spaces are one."""
+    cjk, punct = f"[{CJK}]", f"[{PUNCT}]"
+    # each begins with a space, so that only spaces are looked at
+    gaps = [
+        rf" (?<={cjk} ) *(?={cjk})",
+        rf" +(?={punct})| (?<={punct} ) *",
+        rf" (?<={cjk} ) *(?=\p{{Nd}})| (?<=\p{{Nd}} ) *(?={cjk})",
+        rf" (?<={cjk} ) *(?=[A-Za-z]{{1,4}}(?![A-Za-z]))| (?<=(?<![A-Za-z])[A-Za-z]{{1,4}} ) *(?={cjk})",
+    ]
+    plain = F.regexp_replace(text, ODD_SPACE, " ")
+    out = plain
+    for gap in gaps * 3:
+        out = F.regexp_replace(out, gap, "")
+    out = F.when(plain.rlike(f" {punct}|{punct} |{cjk} | {cjk}"), out).otherwise(plain)
+    return F.regexp_replace(out, " {2,}", " ")
 
 
 def unwrap_soft_lines(text: Column) -> Column:
-    """Hard-wrapped lines joined, a fold over the lines: a break stays after a sentence's end, before a list marker and around empty lines.
+    """Hard-wrapped lines joined, with tidy spacing: a break stays after a sentence's end and before a list marker; blank lines go.
 
-    A hyphen before a letter goes with its break; CJK is joined tightly, other text by a space.
+    Each break is judged by the lines on its two sides alone, so a text takes time in proportion to its length. A
+    hyphen before a letter goes with its break; CJK, brackets and closing punctuation are joined tightly, other text
+    by a space. A blank first or last line leaves one break there.
     """
-    own = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda x: F.trim(x))
-    ended, marker = r"[。！？；：.!?;:…]$", r"^(?:[-*•·]\s|\d+[.)、]|[（(]?[一二三四五六七八九十]+[)）、.]|第.{1,6}[章节条])"
-
-    def join(acc: Column, x: Column) -> Column:
-        broken = (acc == "") | (x == "") | acc.rlike(r"\n$") | acc.rlike(ended) | x.rlike(marker)
-        tight = acc.rlike(f"[{_CJK}]$") | x.rlike(f"^[{_CJK}]")
-        glued = acc.rlike("[A-Za-z]-$") & x.rlike("^[A-Za-z]")
-        return F.when(broken, F.concat(acc, F.lit("\n"), x)).when(glued, F.concat(F.regexp_replace(acc, "-$", ""), x)).when(tight, F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x))
-
-    return F.when(text.isNotNull(), F.aggregate(F.slice(own, 2, F.greatest(F.lit(0), F.size(own) - 1)), F.element_at(own, 1), join))
+    among = lambda chars, c: F.instr(F.lit(chars), c) > 0
+    tight_char = lambda c: c.rlike(f"[{CJK}{PUNCT}]") | (c != "") & among(CLOSERS, c)
+
+    def separated(left: Column, right: Column) -> Column:
+        """`left` (trimmed at its end) and what stands between it and `right` (trimmed at its start)."""
+        last, first = F.right(left, F.lit(1)), F.left(right, F.lit(1))
+        keeps = among(SENTENCE_END, last) | right.rlike(MARKER)
+        glued = (last == "-") & first.rlike(r"\p{L}") & ~first.rlike(f"[{CJK}]")
+        tight = tight_char(first) | tight_char(last) & first.rlike(r"[\p{L}\p{N}]") | among(OPENERS, first) | among(CLOSED, last)
+        return F.when(keeps, F.concat(left, F.lit("\n"))).when(glued, F.left(left, F.length(left) - 1)).when(tight, left).otherwise(F.concat(left, F.lit(" ")))
+
+    def joined(lines: Column) -> Column:
+        start = end = F.regexp_replace
+        own = F.transform(F.filter(lines, lambda x: ~x.rlike(f"^{BLANK}*$")), lambda x: F.struct(start(x, f"^{BLANK}+", "").alias("l"), end(x, f"{BLANK}+$", "").alias("r")))
+        first, last = F.element_at(lines, 1), F.element_at(lines, -1)
+
+        def pieces(rows: Column) -> Column:
+            # `r` keeps what stands before the first line, `l` what stands behind the last
+            body = lambda e, i: F.when(i == 0, e["r"]).otherwise(end(e["l"], f"{BLANK}+$", ""))
+            each = lambda e, i: F.when(i == F.size(rows) - 1, F.when(last.rlike(f"^{BLANK}*$"), body(e, i)).when(i == 0, F.element_at(lines, -1)).otherwise(e["l"])).otherwise(separated(body(e, i), F.get(rows, i + 1)["l"]))
+            head = F.when(first.rlike(f"^{BLANK}*$"), F.lit("\n")).otherwise("")
+            tail = F.when(last.rlike(f"^{BLANK}*$"), F.lit("\n")).otherwise("")
+            whole = F.array_join(F.transform(rows, each), "")
+            return F.when(F.size(rows) == 0, F.lit("\n")).otherwise(F.concat(head, F.when(head == "", whole).otherwise(F.regexp_replace(whole, f"^{BLANK}+", "")), tail))
+
+        return F.when(F.size(lines) == 1, first).otherwise(F.get(F.transform(F.array(own), pieces), F.lit(0)))
+
+    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
+    return tidy_spacing(F.get(F.transform(F.array(lines), joined), F.lit(0)))
 
 
 # Time formats in order of trial.
