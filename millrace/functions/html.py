@@ -347,9 +347,9 @@ def ipv6_hex(host: Column) -> Column:
 
 
 def refused_address(host: Column) -> Column:
-    """Whether a literal address isn't global, or is multicast or unspecified; false for names."""
-    private = lambda x: _within(x, PRIVATE4) & ~_within(x, GLOBAL4) | _within(x, MULTICAST4)
-    four = _once(ipv4_hex(host), lambda x: F.when(x.isNotNull(), private(x) | _within(x, SHARED4)))
+    """Whether a literal address isn't global, or is multicast or unspecified; false for names. IPv4 in IPv6 counts by its block alone."""
+    private = lambda x: _within(x, PRIVATE4) & ~_within(x, GLOBAL4)
+    four = _once(ipv4_hex(host), lambda x: F.when(x.isNotNull(), private(x) | _within(x, SHARED4 + MULTICAST4)))
     mapped = "0" * 20 + "ffff"
     six = _once(ipv6_hex(host), lambda x: F.when(x.startswith(mapped), _once(F.right(x, F.lit(8)), private)).otherwise(_within(x, PRIVATE6) & ~_within(x, GLOBAL6) | _within(x, MULTICAST6)))
     return F.coalesce(four, six, F.lit(False))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..fixtures import oracle, table
 from ..functions import codec, html, text
+from ..session import scratch
 from ..sources import files
 
 
@@ -68,8 +72,8 @@ def _census_sql(planted: str) -> str:
 
 #: Literal addresses with a page's number in them, and whether they are refused.
 _ADDRESSES = [
-    ("[2001:db8::%]", "address"), ("[2606:4700::%]", "ok"), ("[::ffff:10.0.0.%]", "address"), ("[::ffff:8.8.4.%]", "ok"), ("[100::%]", "address"), ("[64:ff9b:1::%]", "address"), ("[64:ff9b::%]", "ok"),
-    ("[2001:2::%]", "address"), ("[2001:20:%::7]", "ok"), ("[fe80::%%25eth0]", "address"), ("[ff02::%]", "address"), ("[0:0:0:0:0:0:0:1]", "address"), ("100.64.9.%", "address"), ("8.8.4.%", "ok"), ("198.19.0.%", "address"), ("[1:2:3:4:5:6:7:8:9]", "host"),
+    ("[2001:db8::#]", "address"), ("[2606:4700::#]", "ok"), ("[::ffff:10.0.0.#]", "address"), ("[::ffff:8.8.4.#]", "ok"), ("[100::#]", "address"), ("[64:ff9b:1::#]", "address"), ("[64:ff9b::#]", "ok"),
+    ("[2001:2::#]", "address"), ("[2001:20:#::7]", "ok"), ("[fe80::#%25eth0]", "address"), ("[ff02::#]", "address"), ("[0:0:0:0:0:0:0:1]", "address"), ("100.64.9.#", "address"), ("8.8.4.#", "ok"), ("198.19.0.#", "address"), ("[1:2:3:4:5:6:7:8:9]", "host"),
 ]
 _ADDRESS_VERDICT = "CASE page_id % 16 " + " ".join(f"WHEN {i} THEN '{v}'" for i, (_, v) in enumerate(_ADDRESSES)) + " END"
 
@@ -77,7 +81,7 @@ _ADDRESS_VERDICT = "CASE page_id % 16 " + " ".join(f"WHEN {i} THEN '{v}'" for i,
 def _addresses(s, d):
     number = (F.col("page_id") % 199 + 2).cast("string")
     host = F.element_at(F.array(*(F.lit(a) for a, _ in _ADDRESSES)), (F.col("page_id") % 16 + 1).cast("int"))
-    return _pages(s, d).withColumn("url", F.concat(F.lit("https://user@"), F.replace(F.replace(host, F.lit("%%25"), F.concat(number, F.lit("%25"))), F.lit("%]"), F.concat(number, F.lit("]"))), F.lit(":8443/a?b")))
+    return _pages(s, d).withColumn("url", F.concat(F.lit("https://user@"), F.replace(host, F.lit("#"), number), F.lit(":8443/a?b")))
 
 
 #: Documents with breaks, hyphens, markers, CJK and odd spaces planted.
@@ -118,6 +122,45 @@ def _unwrapped() -> str:
     SELECT doc_id, md5(regexp_replace({out}, ' {{2,}}', ' ', 'g')) AS md5, length(regexp_replace({out}, ' {{2,}}', ' ', 'g')) AS n FROM whole"""
 
 
+def _zips(s, d):
+    """Archives of 20 documents each; some members have unsafe names, some archives are cut short."""
+
+    def run(key, rows):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for i, content in sorted(zip(rows["doc_id"], rows["text"], strict=True)):
+                archive.writestr(f"{'../x' if i % 7 == 0 else '/a' if i % 11 == 0 else 'd'}{i}.txt", content)
+        whole = out.getvalue()
+        return pd.DataFrame([(f"zip{key[0]}", whole[:-40] if key[0] % 10 == 3 else whole)], columns=["path", "content"])
+
+    docs = _docs(s, d).filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.groupBy(F.floor(F.col("doc_id") / 20).alias("k")).applyInPandas(run, "path string, content binary")
+
+
+def _listed(s, d):
+    files.register_functions(s)
+    return s.sql("SELECT path, pos, name, size, total, flag, error FROM archive_members(TABLE({zips}) PARTITION BY path)", zips=_zips(s, d))
+
+
+def _ranges_by_udtf(s, d, name):
+    files.register_functions(s)
+    return s.sql(f"SELECT id, ord, n, error FROM {name}(TABLE({{specs}}) PARTITION BY id)", specs=_specs(s, d))
+
+
+SITEMAP_ROWS = 40
+
+
+def _sitemap(s, d):
+    """The files of the sitemap as they were written, by shard, and whether the index has each."""
+    path = scratch(s)
+    files.sitemap_sink(_pages(s, d).select("url", F.lit("2024-01-31").alias("lastmod")), path, "https://example.org/s", SITEMAP_ROWS)
+    lines = s.read.text(f"{path}/urls").select(F.col("shard").cast("long").alias("shard"), "value", F.col("_metadata.file_path").alias("file"))
+    count = lambda like: F.count_if(F.col("value").like(like)).alias
+    found = lines.groupBy("shard").agg(count("<url>%</url>")("urls"), count("<?xml%<urlset%")("heads"), count("</urlset>")("feet"), F.count_distinct("file").alias("files"))
+    index = s.read.text(f"{path}/index").select(F.regexp_extract("value", r"/urls/shard=(\d+)</loc>", 1).try_cast("long").alias("shard")).filter("shard is not null")
+    return found.join(index.groupBy("shard").agg(F.count(F.lit(1)).alias("listed")), "shard", "left")
+
+
 QUERIES = {
     "t1_lines": (lambda s, d: text.lines(_docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars")), f"SELECT doc_id, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM {_LINES} GROUP BY 1"),
     "t2_process_lines": (
@@ -205,6 +248,14 @@ QUERIES = {
     "t25_oversize": (lambda s, d: _docs(s, d).groupBy(text.size_verdict(F.col("text"), 5000).alias("status")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN text IS NULL OR text = '' THEN 400 WHEN length(text) > 5000 THEN 413 ELSE 200 END AS status, count(*) AS n FROM documents GROUP BY 1"),
     "t26_ranges_strict": (lambda s, d: text.expand_ranges(_specs(s, d)), _ranges(True)),
     "t26_ranges_lenient": (lambda s, d: text.expand_ranges(_specs(s, d), strict=False), _ranges(False)),
+    "t26_ranges_udtf": (lambda s, d: _ranges_by_udtf(s, d, "ranges_strict"), _ranges(True)),
+    "t26_ranges_udtf_lenient": (lambda s, d: _ranges_by_udtf(s, d, "ranges_lenient"), _ranges(False)),
+    "io6_archive_members": (
+        _listed,
+        """SELECT path, CASE WHEN NOT broken THEN k END AS pos, CASE WHEN NOT broken THEN name END AS name, CASE WHEN NOT broken THEN size END AS size, CASE WHEN broken THEN 0 ELSE total END AS total, CASE WHEN broken THEN 'broken' WHEN name LIKE '/%' OR name LIKE '..%' THEN 'path' ELSE 'ok' END AS flag, CASE WHEN broken THEN 'BadZipFile' END AS error FROM (
+        SELECT concat('zip', doc_id // 20) AS path, (doc_id // 20) % 10 = 3 AS broken, concat(CASE WHEN doc_id % 7 = 0 THEN '../x' WHEN doc_id % 11 = 0 THEN '/a' ELSE 'd' END, doc_id, '.txt') AS name, strlen(coalesce(text, '')) AS size, row_number() OVER w - 1 AS k, CAST(sum(strlen(coalesce(text, ''))) OVER w AS BIGINT) AS total
+        FROM documents WINDOW w AS (PARTITION BY doc_id // 20 ORDER BY doc_id)) WHERE NOT broken OR k = 0""",
+    ),
     "t26_compact_ranges": (
         lambda s, d: text.compact_ranges(table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"))),
         "SELECT id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE concat(a, '-', b) END, ',' ORDER BY a) AS spec FROM (SELECT id, min(n) AS a, max(n) AS b FROM (SELECT id, n, n - row_number() OVER (PARTITION BY id ORDER BY n) AS g FROM (SELECT DISTINCT l_orderkey AS id, l_linenumber AS n FROM lineitem)) GROUP BY id, g) GROUP BY 1",
@@ -214,6 +265,7 @@ QUERIES = {
         lambda s, d: files.file_inventory(table(s, d, "part").select(F.concat(F.lit("f"), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, ".PNG").when(F.col("p_partkey") % 3 == 1, ".txt").otherwise(".svg")).alias("path"), F.when(F.col("p_size") % 2 == 0, F.concat(F.unhex(F.lit("FFD8FFE0")), F.encode("p_name", "UTF-8"))).otherwise(F.encode("p_name", "UTF-8")).alias("content"))),
         "SELECT CASE WHEN p_size % 2 = 0 THEN 'jpeg' WHEN p_partkey % 3 = 0 THEN 'png' WHEN p_partkey % 3 = 1 THEN 'unsupported' ELSE 'svg' END AS kind, count(*) AS files, CAST(sum(strlen(p_name) + CASE WHEN p_size % 2 = 0 THEN 4 ELSE 0 END) AS BIGINT) AS bytes FROM part GROUP BY 1",
     ),
+    "io7_sitemap_files": (_sitemap, f"SELECT (k - 1) // {SITEMAP_ROWS} AS shard, count(*) AS urls, 1 AS heads, 1 AS feet, 1 AS files, 1 AS listed FROM (SELECT row_number() OVER () AS k FROM pages WHERE url IS NOT NULL) GROUP BY 1"),
     "io7_sitemap_entries": (
         lambda s, d: files.sitemap_entries(_pages(s, d).select("url", F.lit("2024-01-31").alias("lastmod"))).select("url", "entry"),
         "SELECT url, concat('<url><loc>', replace(url, '&', '&amp;'), '</loc><lastmod>2024-01-31</lastmod><changefreq>weekly</changefreq><priority>0.8</priority></url>') AS entry FROM pages",

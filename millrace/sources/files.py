@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
+from ..session import written
+
 # Leading bytes (in hex) of image types, and types by extension.
 MAGIC = [("jpeg", "^FFD8FF"), ("png", "^89504E470D0A1A0A"), ("gif", "^474946383[79]61"), ("webp", "^52494646.{8}57454250"), ("bmp", "^424D"), ("tiff", "^(49492A00|4D4D002A)"), ("ico", "^0000(01|02)00")]
 EXTENSIONS = {"jpg": "jpeg", "jpeg": "jpeg", "jpe": "jpeg", "jfif": "jpeg", "png": "png", "gif": "gif", "webp": "webp", "bmp": "bmp", "tif": "tiff", "tiff": "tiff", "ico": "ico", "cur": "ico"}
@@ -74,18 +78,21 @@ def file_inventory(files: DataFrame) -> DataFrame:
     return files.select(classify(F.col("content"), F.col("path")).alias("kind"), F.length("content").alias("bytes")).groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
+def _listing(content: bytes | None) -> list[tuple]:
+    """(pos, name, is_dir, size, compressed, error) of a ZIP archive's members; a broken one has a single row with an error."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
+            return [(i, m.filename, m.is_dir(), m.file_size, m.compress_size, None) for i, m in enumerate(archive.infolist())]
+    except (zipfile.BadZipFile, ValueError, NotImplementedError, OSError) as e:
+        return [(None, None, None, None, None, type(e).__name__)]
+
+
 def _members(batches):
-    """Members of each ZIP archive of (path, content); a broken one has a single row with an error."""
+    """Members of each ZIP archive of (path, content)."""
     kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
     names = ["path", "pos", "name", "is_dir", "size", "compressed", "error"]
     for batch in batches:
-        rows = []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
-                    rows += [(path, i, m.filename, m.is_dir(), m.file_size, m.compress_size, None) for i, m in enumerate(archive.infolist())]
-            except (zipfile.BadZipFile, ValueError, NotImplementedError, OSError) as e:
-                rows.append((path, None, None, None, None, None, type(e).__name__))
+        rows = [(path, *row) for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in _listing(content)]
         yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
@@ -106,15 +113,99 @@ def xml_escape(text: Column) -> Column:
 
 
 def sitemap_entries(urls: DataFrame, shard_rows: int = 50_000) -> DataFrame:
-    """IO7: one <url> entry for each row (url, lastmod), the home page first in rank; with the file it belongs to.
+    """IO7: one <url> entry for each row (url, lastmod), home pages first; with `shard`, the file it belongs to, and its number.
 
-    Files are hash slices of `shard_rows` rows or fewer on average, so no task orders all URLs.
+    Files hold exactly `shard_rows` rows, the last one the rest: numbers are exact, and made without one task that sees all rows.
     """
-    home = F.parse_url("url", F.lit("PATH")).isin("", "/")
+    home = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/x")).isin("", "/")
     lastmod = F.when(F.col("lastmod").isNotNull(), F.concat(F.lit("<lastmod>"), F.col("lastmod"), F.lit("</lastmod>"))).otherwise("")
     entry = F.concat(F.lit("<url><loc>"), xml_escape(F.col("url")), F.lit("</loc>"), lastmod, F.lit("<changefreq>"), F.when(home, "daily").otherwise("weekly"), F.lit("</changefreq><priority>"), F.format_string("%.1f", F.when(home, 1.0).otherwise(0.8)), F.lit("</priority></url>"))
-    shards = F.greatest(F.lit(1), F.ceil(F.lit(urls.count() / (0.9 * shard_rows))))
-    return urls.select("url", entry.alias("entry"), F.pmod(F.xxhash64("url"), shards).alias("shard"))
+    rows = urls.filter("url is not null").select(F.lit("sitemap").alias("file"), (~home).alias("rank"), "url", entry.alias("entry"))
+    shard = F.floor((F.col("number") - 1) / shard_rows).cast("long")
+    return numbered(rows, "file", ["rank", "url", "entry"], "number").select("url", "entry", shard.alias("shard"), "number")
+
+
+def sitemap_sink(urls: DataFrame, path: str, base: str, shard_rows: int = 50_000) -> None:
+    """IO7: text files `shard=<n>/...` under path/urls, each with its head and foot, and path/index that lists them.
+
+    A file is one task's work, `shard_rows` lines.
+    """
+    found = written(sitemap_entries(urls, shard_rows))
+    shards = found.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    edge = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("number"), F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">').alias("value")), F.struct(F.lit(1 << 62).alias("number"), F.lit("</urlset>").alias("value"))))
+    lines = found.select("shard", "number", F.col("entry").alias("value")).unionByName(shards.select("shard", edge.alias("e")).select("shard", "e.number", "e.value"))
+    lines.repartition("shard").sortWithinPartitions("shard", "number").select("shard", "value").write.partitionBy("shard").text(f"{path}/urls")
+    listed = shards.select(F.col("shard").alias("n"), F.concat(F.lit("<sitemap><loc>"), xml_escape(F.lit(base.rstrip("/"))), F.lit("/urls/shard="), F.col("shard").cast("string"), F.lit("</loc></sitemap>")).alias("value"))
+    head, foot = ('<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', -1), ("</sitemapindex>", 1 << 62)
+    ends = found.sparkSession.createDataFrame([head, foot], "value string, n long").select("n", "value")
+    listed.unionByName(ends).repartition(1).sortWithinPartitions("n").select("value").write.text(f"{path}/index")
+
+
+class _Members:
+    """IO6 as a table function: the members of ZIP archives (path, content), a partition a path, each with its flag."""
+
+    def __init__(self):
+        self.total = 0
+
+    def eval(self, row):
+        for pos, name, is_dir, size, compressed, error in _listing(row["content"]):
+            self.total += size or 0
+            plain = (name or "").replace("\\", "/")
+            if error:
+                flag = "broken"
+            elif plain.startswith("/") or ".." in plain.split("/"):
+                flag = "path"
+            elif size > MEMBER_BYTES:
+                flag = "member_size"
+            elif self.total > ALL_BYTES:
+                flag = "total_size"
+            elif size > RATIO_BYTES and size > RATIO * max(1, compressed):
+                flag = "ratio"
+            else:
+                flag = "members" if pos >= MEMBERS else "ok"
+            yield row["path"], pos, name, is_dir, size, compressed, error, self.total, flag
+
+
+class _Ranges:
+    """T26 as a table function: the numbers of specs (id, total, spec), a partition an id, in order and each once; or one row with an error."""
+
+    def __init__(self, strict: bool):
+        self.strict = strict
+
+    def eval(self, row):
+        seen: dict[int, None] = {}
+        for part in re.sub(r"\s+", "", row["spec"] or "").split(","):
+            found = re.fullmatch(r"([0-9]+)(?:-([0-9]+))?", part)
+            low, high = (int(found[1]), int(found[2] or found[1])) if found else (1, 0)
+            if low > high or max(low, high) >= 1 << 31 or self.strict and (low < 1 or high > row["total"]):
+                yield row["id"], None, None, "bad_range"
+                return
+            seen |= dict.fromkeys(range(max(low, 1), min(high, row["total"]) + 1))
+        if not seen:
+            yield row["id"], None, None, "bad_range"
+        for i, n in enumerate(seen, 1):
+            yield row["id"], i, n, None
+
+
+class _StrictRanges(_Ranges):
+    def __init__(self):
+        super().__init__(True)
+
+
+class _LenientRanges(_Ranges):
+    def __init__(self):
+        super().__init__(False)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Table functions for SQL: archive_members, ranges_strict and ranges_lenient, each over TABLE(...) PARTITION BY its key.
+
+    `SELECT * FROM archive_members(TABLE(files) PARTITION BY path)`.
+    """
+    members = "path string, pos long, name string, is_dir boolean, size long, compressed long, error string, total long, flag string"
+    ranges = "id long, ord int, n int, error string"
+    for name, function, shape in (("archive_members", _Members, members), ("ranges_strict", _StrictRanges, ranges), ("ranges_lenient", _LenientRanges, ranges)):
+        spark.udtf.register(name, F.udtf(function, returnType=shape))
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_a_batch: int | None = None) -> DataFrame:
