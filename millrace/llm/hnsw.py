@@ -2,10 +2,10 @@
 
 Vectors of one label are dealt to shards of bounded size, and each shard's graph is built by inserting
 its vectors. Every vector then queries every shard of its label (a pair of shards meets once, links
-being mutual), in blocks: a beam search, then all neighbours of vectors near the limit. A sample of each
-block is audited against all vectors of the shard; while one link is missing the beam is doubled and the
-block asked again, beyond WIDEST with a beam as wide as the shard, which scans it. Links are verified by cosine
-in double precision, and their components joined.
+being mutual), in blocks: a beam search, then all neighbours of vectors near the limit. Every query is audited: the
+number of its links is told exactly by a product of the block with the shard, and while one is missing the query is
+asked again with a beam twice as wide, in the end as wide as the shard. Links are verified by cosine in double
+precision, and their components joined.
 
 Defined results: vectors that are null, zero, without label, or hold null or non-finite components link
 with nothing; neither do vectors of different lengths. Equal vectors of a label are one member of the
@@ -28,10 +28,10 @@ from .common import written
 from .components import connected
 
 COSINE = 0.93
-#: Vectors in a shard, links of a vector (twice as many on the ground level), beams; beyond WIDEST a scan costs less than a beam.
-SHARD, LINKS, BUILD_BEAM, QUERY_BEAM, WIDEST = 8192, 12, 40, 32, 256
-#: Queries in a block, audited ones of them, tasks that a pair of shards is dealt to.
-BLOCK, AUDIT, PARTS = 512, 64, 2
+#: Vectors in a shard, links of a vector (twice as many on the ground level), beams.
+SHARD, LINKS, BUILD_BEAM, QUERY_BEAM = 8192, 12, 40, 32
+#: Queries in a block, tasks that a pair of shards is dealt to.
+BLOCK, PARTS = 512, 2
 #: The search goes on from all vectors this near to the limit; what single precision may be off.
 SLACK, OFF = 0.06, 1e-5
 
@@ -213,10 +213,11 @@ class Graph:
             opened[rows, node] = True
             for start in range(0, len(rows), 4096):
                 r, beside = rows[start : start + 4096], ground[node[start : start + 4096]]
-                order = np.unique(np.stack([np.repeat(r, beside.shape[1]), beside.ravel()]), axis=1)
-                order = order[:, order[1] >= 0]
-                order = order[:, ~seen[order[0], order[1]]]
-                seen[order[0], order[1]] = True
+                flat = np.where(beside >= 0, r[:, None] * n + beside, -1).ravel()
+                flat = flat[flat >= 0]
+                flat = np.unique(flat[~seen.reshape(-1)[flat]])
+                seen.reshape(-1)[flat] = True
+                order = np.divmod(flat, n)
                 s = np.einsum("kd,kd->k", self.small[order[1]], q[order[0]])
                 good = s >= limit - SLACK
                 if good.any():
@@ -229,15 +230,19 @@ class Graph:
 
 
 def links_of(graph: Graph, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (row of q, vector) within `limit`, with the narrowest beam whose audit passes."""
-    sample = np.random.default_rng(len(q)).permutation(len(q))[:AUDIT]
-    truth = (q[sample] @ graph.x.T >= limit).sum(1)
-    width = QUERY_BEAM
-    while True:
-        rows, found = graph.within(q, width, limit)
-        if width >= len(graph.x) or (np.bincount(rows, minlength=len(q))[sample] >= truth).all():
-            return rows, found
-        width = 2 * width if width < WIDEST else len(graph.x)
+    """The pairs (row of q, vector) within `limit`: each row with the narrowest beam that finds all of its links."""
+    truth = (q @ graph.x.T >= limit).sum(1)
+    width, lacking = QUERY_BEAM, np.arange(len(q))
+    rows, found = np.empty(0, np.int64), np.empty(0, np.int64)
+    while len(lacking):
+        r, f = graph.within(q[lacking], width, limit)
+        stay = ~np.isin(rows, lacking)
+        rows, found = np.concatenate([rows[stay], lacking[r]]), np.concatenate([found[stay], f])
+        if width >= len(graph.x):
+            break
+        lacking = lacking[np.bincount(rows, minlength=len(q))[lacking] < truth[lacking]]
+        width *= 2
+    return rows, found
 
 
 _BUILT = "label string, shard long, start long, ids binary, n binary, x binary, links binary, levels int, entry int"
