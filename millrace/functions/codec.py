@@ -21,9 +21,13 @@ FORMS = {
 }
 
 
-def b64_sweep(docs: DataFrame, least: int = B64_LEAST) -> DataFrame:
-    """Tokens of either Base64 alphabet with their bytes; `text_ok` if they are UTF-8."""
-    token = F.explode(F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{least},}}={{0,2}}(?![A-Za-z0-9+/_=-])"), F.lit(0)))
+def b64_sweep(docs: DataFrame, least: int = B64_LEAST, wrapped: bool = False) -> DataFrame:
+    """Tokens of either Base64 alphabet with their bytes; `text_ok` if they are UTF-8.
+
+    wrapped: white space inside tokens that are broken over lines (64 or 76 characters each but the last) is taken out first.
+    """
+    text = F.regexp_replace("text", r"(?<=(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_-]{64}|[A-Za-z0-9+/_-]{76}))[ \t]*\r?\n[ \t]*(?=[A-Za-z0-9+/_=-]+(?![A-Za-z0-9+/_=-]))", "") if wrapped else F.col("text")
+    token = F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{least},}}={{0,2}}(?![A-Za-z0-9+/_=-])"), F.lit(0)))
     bare = F.regexp_replace(F.translate("token", "-_", "+/"), "=+$", "")
     rows = docs.select("doc_id", token.alias("token")).withColumn("bare", bare).filter(F.length("bare") % 4 != 1)
     padded = F.concat("bare", F.repeat(F.lit("="), ((4 - F.length("bare") % 4) % 4).cast("int")))
@@ -88,16 +92,33 @@ def unescape(rows: DataFrame, key: str, column: str, mode: str = "auto", passes:
     return some.mapInArrow(run, f"{key} long, text string, error string")
 
 
-def escaped(text: str, style: str = "unicode") -> str:
-    """A value with every non-ASCII character escaped: unicode, es6, percent or html."""
-    if style not in ("unicode", "es6", "percent", "html"):
-        raise ValueError(f"unknown style {style}")
-    if style == "html":
-        return "".join(c if ord(c) < 128 else f"&#{ord(c)};" for c in text)
-    if style == "es6":
-        return "".join(c if ord(c) < 128 else f"\\u{{{ord(c):x}}}" for c in text)
-    units = text.encode("utf-16-be", "surrogatepass")
-    mark = "\\u" if style == "unicode" else "%u"
-    return "".join(chr(u) if (u := int.from_bytes(units[i : i + 2], "big")) < 128 else f"{mark}{u:04x}" for i in range(0, len(units), 2))
+STYLES = ("backslash_u", "u_plus", "html_entity", "percent_u")
 
 
+def escaped(column: Column, style: str = "backslash_u", uppercase: bool = False) -> Column:
+    """A column with every character beyond ASCII escaped in one of STYLES; above U+FFFF `percent_u` falls back to `\\U` and eight digits."""
+    if style not in STYLES:
+        raise ValueError(f"unknown style {style}")
+
+    def one(c: Column) -> Column:
+        # of a character's UTF-32 form
+        digits = F.hex(F.encode(c, "UTF-32"))
+        digits = digits if uppercase else F.lower(digits)
+        short = F.regexp_replace(digits, "^0{0,4}", "") if style == "u_plus" else F.regexp_replace(digits, "^0+", "")
+        wide = F.length(F.regexp_replace(digits, "^0{4}", "")) > 4
+        marked = {
+            "backslash_u": F.when(wide, F.concat(F.lit("\\U"), digits)).otherwise(F.concat(F.lit("\\u"), F.right(digits, F.lit(4)))),
+            "u_plus": F.concat(F.lit("U+"), F.when(wide, F.regexp_replace(short, "^0+", "")).otherwise(short)),
+            "html_entity": F.concat(F.lit("&#x"), short, F.lit(";")),
+            "percent_u": F.when(wide, F.concat(F.lit("\\U"), digits)).otherwise(F.concat(F.lit("%u"), F.right(digits, F.lit(4)))),
+        }[style]
+        return F.when(c.rlike(r"^[\x00-\x7f]*$"), c).otherwise(marked)
+
+    # runs of ASCII stay whole, everything else is a piece of one character
+    return F.array_join(F.transform(F.regexp_extract_all(column, F.lit(r"(?s)[\x00-\x7f]+|[^\x00-\x7f]"), F.lit(0)), one), "")
+
+
+def escape_job(rows: DataFrame, key: str, column: str, style: str = "backslash_u", uppercase: bool = False) -> DataFrame:
+    """(key, text, escaped_chars, input_chars, output_chars) of a column, escaped. Null stays null."""
+    out = rows.select(key, F.col(column).alias("_own"), escaped(F.col(column), style, uppercase).alias("text"))
+    return out.select(key, "text", F.regexp_count("_own", F.lit(r"[^\x00-\x7f]")).alias("escaped_chars"), F.length("_own").alias("input_chars"), F.length("text").alias("output_chars"))

@@ -38,15 +38,22 @@ def process_lines(docs: DataFrame, strip_empty: bool = False, dedupe: bool = Fal
 def corpus_line_dedupe(docs: DataFrame) -> DataFrame:
     """Texts without lines that occur before, in order of (doc_id, pos), anywhere in the corpus; lines dropped by document.
 
-    A line's first place is a minimum, which is pre-aggregated; no line's occurrences meet in one task.
-    A null or empty text has no lines: it stays, empty.
+    A line's first place is a minimum, which is pre-aggregated; no line's occurrences meet in one task. Only hashes
+    and places are joined; lines are taken out of the text at its document's row. A null or empty text has no lines:
+    it stays, empty. A null doc_id comes first in order, and rows that share an id (null too) are one document,
+    their texts one after the other in an order by hash.
     """
-    each = docs.select("doc_id", F.posexplode_outer(split_lines(F.col("text"))).alias("pos", "line")).withColumn("h", F.sha2("line", 256))
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    text = F.array_join(F.transform(F.sort_array(F.transform("texts", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda x: x["x"]), "\n")
+    one = whole.select("doc_id", F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(text).alias("text"))
+    each = one.select("doc_id", F.posexplode(F.transform(split_lines(F.col("text")), lambda x: F.unhex(F.sha2(x, 256)))).alias("pos", "h"))
     first = each.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
-    first = first.filter("h is not null")
-    marked = each.join(first, "h", "left").withColumn("keep", (F.col("doc_id") == F.col("f.doc_id")) & (F.col("pos") == F.col("f.pos")))
-    kept = F.transform(F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("pos", "line")))), lambda x: x["line"])
-    return marked.groupBy("doc_id").agg(F.array_join(kept, "\n").alias("text"), F.count_if(~F.col("keep")).alias("dropped"))
+    again = each.join(first, "h").filter(~F.col("doc_id").eqNullSafe(F.col("f.doc_id")) | (F.col("pos") != F.col("f.pos")))
+    gone = again.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("pos").alias("gone"))
+    joined = one.join(gone, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    rest = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n")
+    kept = F.when(F.col("gone").isNull(), F.array_join(split_lines(F.col("text")), "\n")).otherwise(F.get(F.transform(F.array(split_lines(F.col("text"))), rest), F.lit(0)))
+    return joined.select("doc_id", kept.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("dropped"))
 
 
 def line_frequency(docs: DataFrame, k: int = 50) -> DataFrame:

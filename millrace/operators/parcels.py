@@ -91,6 +91,7 @@ def normalise_package(raw: DataFrame, max_size: int) -> DataFrame:
             "ttl_hours": F.least(F.lit(168), F.greatest(F.lit(1), F.coalesce("ttl_hours", F.lit(24)))),
             "max_downloads": F.when(burn, 1).otherwise(F.least(F.lit(1000), F.greatest(F.lit(0), F.coalesce("max_downloads", F.lit(0))))),
             "note": F.substring(F.trim(F.coalesce("note", F.lit(""))), 1, 200),
+            "content_type": F.substring(F.coalesce("content_type", F.lit("")) if "content_type" in raw.columns else F.lit(""), 1, 120),
             "file_count": F.least(F.lit(100), F.greatest(F.lit(1), F.coalesce("file_count", F.lit(1)))),
             "text_payload": text,
             "size_bytes": F.when(F.col("is_text"), F.octet_length(text)).otherwise(F.col("size_bytes")),

@@ -40,13 +40,20 @@ def _settled(kind: str) -> str:
 
 
 def _raw(s, d):
-    return _p(s, d).select("id", "created_at", ((F.col("size_bytes") % 400) - 40).cast("int").alias("ttl_hours"), (F.col("max_downloads") * 700 - 500).alias("max_downloads"), F.concat(F.lit("  "), F.repeat("note", 30)).alias("note"), (F.col("size_bytes") % 140).cast("int").alias("file_count"), F.concat(F.lit(" "), F.when(F.col("size_bytes") % 3 == 0, F.repeat("text_payload", 500)).otherwise(F.col("text_payload"))).alias("text_payload"), (F.col("size_bytes") % 4 == 0).alias("is_text"), "burn_after", (F.col("size_bytes") - 5000).alias("size_bytes"))
+    return _p(s, d).select("id", "created_at", ((F.col("size_bytes") % 400) - 40).cast("int").alias("ttl_hours"), (F.col("max_downloads") * 700 - 500).alias("max_downloads"), F.concat(F.lit("  "), F.repeat("note", 30)).alias("note"), (F.col("size_bytes") % 140).cast("int").alias("file_count"), F.concat(F.lit(" "), F.when(F.col("size_bytes") % 3 == 0, F.repeat("text_payload", 500)).otherwise(F.col("text_payload"))).alias("text_payload"), (F.col("size_bytes") % 4 == 0).alias("is_text"), F.when(F.col("size_bytes") % 6 > 0, F.repeat(F.concat(F.lit("text/x-"), "id", F.lit("; ")), F.col("size_bytes").cast("int") % 30)).alias("content_type"), "burn_after", (F.col("size_bytes") - 5000).alias("size_bytes"))
 
 
 def _evolve(s, d):
     return p.evolve(_p(s, d).select("id", F.when(F.col("size_bytes") % 2 == 0, F.col("note")).alias("note"))).select("id", "note", "max_downloads", "file_count", "content_type")
 
 
+def _codes(s, d):
+    """P9's draw: every row has one code, no code twice, none that was used."""
+    drawn = p.assign_codes(_p(s, d).filter("size_bytes % 3 = 0").select("id"), _p(s, d).select("code"))
+    used = _p(s, d).select("code", F.lit(True).alias("used")).distinct()
+    return drawn.join(used, "code", "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("distinct_codes"), F.count_distinct("id").alias("distinct_ids"), F.count("used").alias("used"), F.count_if(F.col("code").rlike("^[0-9]{6}$")).alias("well_formed"))
+
+
 QUERIES = {
     "p1_package_view": (lambda s, d: p.package_view(_p(s, d), THEN).select(*_SHOWN), f"SELECT {', '.join(_SHOWN)} FROM ({_VIEW})"),
     **{f"p2_status_{k}": (lambda s, d, k=k: p.status_filter(p.package_view(_p(s, d), THEN), k).select("id"), f"SELECT id FROM ({_VIEW}) WHERE {v}") for k, v in _STATUS.items()},
@@ -66,15 +73,16 @@ QUERIES = {
         "SELECT claim_id, CASE WHEN regexp_matches(code, '^[0-9]{6}$') THEN code END AS code FROM $claims",
     ),
     "p8_normalise_package": (
-        lambda s, d: p.normalise_package(_raw(s, d), 300_000).select("id", "ttl_hours", "max_downloads", "note", "file_count", "size_bytes", "reject", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires")),
+        lambda s, d: p.normalise_package(_raw(s, d), 300_000).select("id", "ttl_hours", "max_downloads", "note", "content_type", "file_count", "size_bytes", "reject", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires")),
         """SELECT id, ttl AS ttl_hours, CASE WHEN burn_after > 0 THEN 1 ELSE least(1000, greatest(0, max_downloads * 700 - 500)) END AS max_downloads,
-        substr(trim(concat('  ', repeat(note, 30))), 1, 200) AS note, least(100, greatest(1, size_bytes % 140)) AS file_count, size AS size_bytes,
+        substr(trim(concat('  ', repeat(note, 30))), 1, 200) AS note, CASE WHEN size_bytes % 6 > 0 THEN substr(repeat(concat('text/x-', id, '; '), size_bytes % 30), 1, 120) ELSE '' END AS content_type, least(100, greatest(1, size_bytes % 140)) AS file_count, size AS size_bytes,
         CASE WHEN is_text AND t = '' THEN 'empty_text' WHEN is_text AND length(t) > 5000 THEN 'text_too_long' WHEN size <= 0 THEN 'empty_file' WHEN size > 300000 THEN 'file_too_large' END AS reject,
         strftime(created_at + ttl * INTERVAL '1' HOUR, '%Y-%m-%d %H:%M:%S') AS expires FROM (
         SELECT *, least(168, greatest(1, size_bytes % 400 - 40)) AS ttl, size_bytes % 4 = 0 AS is_text,
         trim(CASE WHEN size_bytes % 3 = 0 THEN repeat(text_payload, 500) ELSE text_payload END) AS t, CASE WHEN size_bytes % 4 = 0 THEN strlen(t) ELSE size_bytes - 5000 END AS size FROM $packages)""",
     ),
     "p9_assign_codes": (lambda s, d: p.assign_codes(_p(s, d).filter("size_bytes % 3 = 0").select("id"), _p(s, d).select("code")), None),
+    "p9_code_audit": (_codes, "SELECT count(*) AS n, count(*) AS distinct_codes, count(*) AS distinct_ids, 0 AS used, count(*) AS well_formed FROM $packages WHERE size_bytes % 3 = 0"),
     "p10_settle_claims": (lambda s, d: p.settle_claims(_p(s, d), table(s, d, "claims")).select("claim_id", "code", "outcome"), f"SELECT claim_id, code, outcome FROM ({_settled('file')})"),
     "p10_settle_text_claims": (lambda s, d: p.settle_claims(_p(s, d), table(s, d, "claims"), "text").select("claim_id", "code", "outcome"), f"SELECT claim_id, code, outcome FROM ({_settled('text')})"),
     "p11_lookup": (

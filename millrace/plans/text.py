@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -161,7 +162,66 @@ def _sitemap(s, d):
     return found.join(index.groupBy("shard").agg(F.count(F.lit(1)).alias("listed")), "shard", "left")
 
 
+def _legacy(s, d):
+    """IO2: orders in JSON arrays, some hundreds a file, with items that are no objects, imported into an empty table."""
+    path = scratch(s)
+    rows = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("tool"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"))
+    item = F.concat(F.to_json(F.struct("id", "tool", "cust", "status")), F.when(F.col("cust") % 50 == 0, F.lit(', "junk", 7, null, [1]')).otherwise(""))
+    arrays = rows.groupBy(F.floor(F.col("id").cast("long") / 400).alias("k")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(item), ",\n"), F.lit("]")).alias("value"))
+    arrays.repartition(8, "k").select("value").write.option("lineSep", "\u001e").text(path)
+    parts = s.read.text(path, lineSep="\u001e").filter("trim(value) <> ''")
+    found = files.imported(parts, table(s, d, "records").limit(0), ["id", "tool"])
+    return found.select("id", "tool", F.get_json_object("extra_json", "$.cust").cast("long").alias("cust"), F.get_json_object("extra_json", "$.status").alias("status"))
+
+
+def _archived(s, d):
+    """IO3: records appended in two batches to one folder a day (here the first of each month), read again by day."""
+    path = scratch(s)
+    rows = table(s, d, "records").withColumn("created_at", F.date_trunc("month", "created_at"))
+    for batch in (rows.filter("input_bytes % 2 = 0"), rows.filter("input_bytes % 2 <> 0")):
+        files.archive_sink(batch.repartition("created_at"), path)
+    return s.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.sum("input_bytes").alias("input_bytes"))
+
+
+_ESCAPE_SQL = {
+    "backslash_u": "CASE WHEN u > 65535 THEN concat('\\U', lpad(lower(to_hex(u)), 8, '0')) ELSE concat('\\u', lpad(lower(to_hex(u)), 4, '0')) END",
+    "u_plus": "concat('U+', lpad(lower(to_hex(u)), greatest(4, length(to_hex(u))), '0'))",
+    "html_entity": "concat('&#x', lower(to_hex(u)), ';')",
+    "percent_u": "CASE WHEN u > 65535 THEN concat('\\U', lpad(lower(to_hex(u)), 8, '0')) ELSE concat('%u', lpad(lower(to_hex(u)), 4, '0')) END",
+}
+
+
+def _escapes(s, d):
+    """Every document, with characters of all widths behind it, escaped in each style."""
+    own = _docs(s, d).withColumn("v", F.concat("text", F.lit(" é 你 😀 ~")))
+    jobs = [codec.escape_job(own, "doc_id", "v", style).withColumn("style", F.lit(style)) for style in codec.STYLES]
+    return reduce(lambda a, b: a.unionByName(b), jobs).select("doc_id", "style", F.md5("text").alias("md5"), "escaped_chars", "input_chars", "output_chars")
+
+
+_ESCAPES = " UNION ALL ".join(
+    f"SELECT doc_id, '{style}' AS style, md5(t) AS md5, n AS escaped_chars, length(v) AS input_chars, length(t) AS output_chars FROM (SELECT doc_id, v, array_to_string(list_transform(string_split(v, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE {sql.replace('u >', 'unicode(c) >').replace('to_hex(u)', 'to_hex(unicode(c))')} END), '') AS t, len(list_filter(string_split(v, ''), lambda c: unicode(c) > 127)) AS n FROM (SELECT doc_id, concat(text, ' é 你 😀 ~') AS v FROM documents))"
+    for style, sql in _ESCAPE_SQL.items()
+)
+
+
+def _wrapped_tokens(s, d):
+    """Each document in Base64, in lines of 76 characters, is one token again."""
+    own = _docs(s, d).filter("text is not null").withColumn("text", F.concat(F.lit("key:\r\n"), F.regexp_replace(codec.b64_encode(F.col("text"), wrap=76), "\n", "\r\n  "), F.lit("\n.")))
+    return codec.b64_sweep(own, wrapped=True).select("doc_id", F.md5("token").alias("md5"), F.col("bytes").cast("long").alias("bytes"), "text_ok")
+
+
+def _grep(s, d):
+    found = text.grep(_docs(s, d), r"(?P<user>[a-z0-9._]+)@(mail\d)", "i")
+    return found.select("doc_id", "pos", "match", (F.col("end") - F.col("start")).alias("chars"), F.col("groups")[0]["text"].alias("user"), F.col("groups")[1]["text"].alias("host"))
+
+
 QUERIES = {
+    "io2_import_legacy": (_legacy, "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS tool, o_custkey AS cust, o_orderstatus AS status FROM orders"),
+    "io3_archive_days": (_archived, "SELECT strftime(date_trunc('month', created_at), '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT id) AS ids, CAST(sum(input_bytes) AS BIGINT) AS input_bytes FROM $records GROUP BY 1"),
+    "t6_grep_groups": (_grep, "SELECT doc_id, CAST(generate_subscripts(m, 1) - 1 AS INT) AS pos, unnest(m) AS match, CAST(length(unnest(m)) AS INT) AS chars, unnest(u) AS user, unnest(h) AS host FROM (SELECT doc_id, regexp_extract_all(text, '(?i)([a-z0-9._]+)@(mail[0-9])') AS m, regexp_extract_all(text, '(?i)([a-z0-9._]+)@(mail[0-9])', 1) AS u, regexp_extract_all(text, '(?i)([a-z0-9._]+)@(mail[0-9])', 2) AS h FROM documents)"),
+    "t7_replace_first": (lambda s, d: text.replace_some(_docs(s, d), r"(?P<first>[A-Za-z])([A-Za-z]+)", "$2${first}", 1).select("doc_id", F.md5("text").alias("md5")), "SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '([A-Za-z])([A-Za-z]+)', '\\2\\1')) AS md5 FROM documents"),
+    "t10_b64_wrapped": (_wrapped_tokens, "SELECT doc_id, md5(to_base64(encode(text))) AS md5, strlen(text) AS bytes, true AS text_ok FROM documents WHERE length(rtrim(to_base64(encode(text)), '=')) >= 24"),
+    "t13_escape": (_escapes, _ESCAPES),
     "t1_lines": (lambda s, d: text.lines(_docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars")), f"SELECT doc_id, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM {_LINES} GROUP BY 1"),
     "t2_process_lines": (
         lambda s, d: text.process_lines(_docs(s, d), strip_empty=True, dedupe=True, reverse=True).select("doc_id", F.md5("text").alias("md5"), "lines", "input_lines"),
@@ -239,7 +299,12 @@ QUERIES = {
         lambda s, d: html.links(_pages(s, d)).filter("target like 'http%'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets")),
         "SELECT page_id, count(*) AS n, count(DISTINCT CASE WHEN starts_with(l, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || l ELSE l END) AS targets FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '\\s(?:href|src)=\"([^\"]*)\"', 1)) AS l FROM pages) WHERE starts_with(l, '/') OR starts_with(l, 'http') GROUP BY 1",
     ),
-    "t23_host_degrees": (lambda s, d: html.host_degrees(_pages(s, d)), None),
+    "t23_host_degrees": (
+        lambda s, d: html.host_degrees(_pages(s, d)),
+        """WITH l AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS own, unnest(regexp_extract_all(html, '\\s(?:href|src)="([^"]*)"', 1)) AS t FROM pages),
+        e AS (SELECT own, CASE WHEN starts_with(t, '/') THEN own ELSE regexp_extract(t, '^[a-z]+://([^/?#:]+)', 1) END AS target FROM l WHERE starts_with(t, '/') OR starts_with(t, 'http'))
+        SELECT host, CAST(sum(o) AS BIGINT) AS out_links, CAST(sum(i) AS BIGINT) AS in_links FROM (SELECT own AS host, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) WHERE host <> '' GROUP BY 1""",
+    ),
     "t24_url_audit": (
         lambda s, d: html.url_audit(_pages(s, d).withColumn("url", F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("ftp://x/"), "page_id")).when(F.col("page_id") % 7 == 1, F.concat(F.lit("http://10.0.0."), (F.col("page_id") % 9).cast("string"), F.lit(":80/"))).when(F.col("page_id") % 7 == 2, "https://user@LOCALHOST/a").when(F.col("page_id") % 7 == 3, "https:///a").otherwise(F.col("url")))),
         "SELECT CASE page_id % 7 WHEN 0 THEN 'scheme' WHEN 1 THEN 'address' WHEN 2 THEN 'localhost' WHEN 3 THEN 'host' ELSE 'ok' END AS verdict, count(*) AS n FROM pages GROUP BY 1",

@@ -25,16 +25,15 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def import_legacy_json(spark: SparkSession, path: str, target: DataFrame, fields: list[str]) -> DataFrame:
-    """IO2: rows of a JSON array file that the target lacks; unknown keys go to extra_json. Items that are no objects are skipped.
+def imported(texts: DataFrame, target: DataFrame, fields: list[str]) -> DataFrame:
+    """IO2: rows of JSON arrays (a text `value` each) that the target lacks; unknown keys go to extra_json. Items that are no objects are skipped.
 
     Nothing is imported into a target that has rows. Of rows with one id the least in order stays.
     """
     if not target.isEmpty():
         return target.limit(0)
-    text = spark.read.text(path, wholetext=True)
     item = F.explode(F.from_json("value", "array<string>")).alias("item")
-    row = text.select(item).select("item", F.from_json("item", "map<string,string>").alias("m")).filter("m is not null and trim(item) like '{%'")
+    row = texts.select(item).select("item", F.from_json("item", "map<string,string>").alias("m")).filter("m is not null and trim(item) like '{%'")
     known = {f: F.coalesce(F.element_at("m", f), F.lit("")) for f in fields}
     extra = F.to_json(F.map_filter("m", lambda k, v: ~k.isin(fields)))
     rows = row.select(*(c.alias(f) for f, c in known.items()), extra.alias("extra_json")).filter("id <> ''")
@@ -42,6 +41,11 @@ def import_legacy_json(spark: SparkSession, path: str, target: DataFrame, fields
     return rows.withColumn("_n", nth).filter("_n = 1").drop("_n")
 
 
+def import_legacy_json(spark: SparkSession, path: str, target: DataFrame, fields: list[str]) -> DataFrame:
+    """IO2: `imported` from files that hold one JSON array each, read whole."""
+    return imported(spark.read.text(path, wholetext=True), target, fields)
+
+
 def archive_sink(df: DataFrame, path: str, ts: str = "created_at") -> None:
     """IO3: append rows under one folder for each UTC day."""
     df.withColumn("day", F.date_format(F.col(ts), "yyyy-MM-dd")).write.mode("append").partitionBy("day").parquet(path)
