@@ -114,6 +114,13 @@ def main_content(pages: DataFrame) -> DataFrame:
     return whole.select("page_id", content.alias("content"), F.col("best").isNotNull().alias("extracted"))
 
 
+def extraction_rates(pages: DataFrame) -> DataFrame:
+    """T21 as a job: pages by host, those whose main content was found, and its characters."""
+    host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)), F.lit("")), F.lit("unknown"))
+    found = main_content(pages).join(pages.select("page_id", host.alias("host")), "page_id")
+    return found.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if("extracted").alias("extracted"), F.coalesce(F.sum(F.when(F.col("extracted"), F.length("content"))), F.lit(0)).cast("long").alias("chars"))
+
+
 def _safe(url: str, base: str) -> str:
     """A link's target against a base, empty if its scheme isn't allowed."""
     from urllib.parse import urljoin, urlsplit

@@ -185,7 +185,7 @@ def _archived(s, d):
 
 _ESCAPE_SQL = {
     "backslash_u": "CASE WHEN u > 65535 THEN concat('\\U', lpad(lower(to_hex(u)), 8, '0')) ELSE concat('\\u', lpad(lower(to_hex(u)), 4, '0')) END",
-    "u_plus": "concat('U+', lpad(lower(to_hex(u)), greatest(4, length(to_hex(u))), '0'))",
+    "u_plus": "concat('U+', lpad(lower(to_hex(u)), CAST(greatest(4, length(to_hex(u))) AS INT), '0'))",
     "html_entity": "concat('&#x', lower(to_hex(u)), ';')",
     "percent_u": "CASE WHEN u > 65535 THEN concat('\\U', lpad(lower(to_hex(u)), 8, '0')) ELSE concat('%u', lpad(lower(to_hex(u)), 4, '0')) END",
 }
@@ -295,6 +295,10 @@ QUERIES = {
     ),
     "t21_main_content": (lambda s, d: html.main_content(_pages(s, d)).select("page_id", F.length("content").alias("chars"), "extracted"), None),
     "t22_html_to_markdown": (lambda s, d: html.html_to_markdown(_pages(s, d)).select("page_id", F.md5("markdown").alias("md5"), "input_chars", "output_chars", F.col("blocks.headings").alias("headings"), F.col("blocks.links").alias("links")), None),
+    "t21_extraction_rates": (
+        lambda s, d: html.extraction_rates(_pages(s, d).withColumn("html", F.concat(F.lit("<body><!--"), F.replace("html", F.lit("--"), F.lit("")), F.lit("--><nav>menu</nav><article><p>"), F.repeat(F.lit("x"), (F.col("page_id") % 240).cast("int")), F.lit("</p></article></body>")))),
+        "SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, count(*) AS pages, count(*) FILTER (WHERE page_id % 240 >= 95) AS extracted, CAST(coalesce(sum(page_id % 240 + 26) FILTER (WHERE page_id % 240 >= 95), 0) AS BIGINT) AS chars FROM pages GROUP BY 1",
+    ),
     "t23_links": (
         lambda s, d: html.links(_pages(s, d)).filter("target like 'http%'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets")),
         "SELECT page_id, count(*) AS n, count(DISTINCT CASE WHEN starts_with(l, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || l ELSE l END) AS targets FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '\\s(?:href|src)=\"([^\"]*)\"', 1)) AS l FROM pages) WHERE starts_with(l, '/') OR starts_with(l, 'http') GROUP BY 1",
