@@ -125,7 +125,9 @@ def _candidate(key: str) -> Column:
     n = F.length(canonical)
     code = F.when(kind == "phone", F.regexp_extract(canonical, COUNTRY, 0)).otherwise("")
     code = F.when(code == "", F.substring(canonical, 1, 1)).otherwise(code)
-    plain = F.concat(code, stream.substr(F.lit(1), n - F.length(code)))
+    # where all values of a length are taken, numbers grow by a digit every few draws
+    more = F.greatest(F.lit(0), F.floor((attempt - 2) / 2)).cast("int")
+    plain = F.concat(code, stream.substr(F.lit(1), n - F.length(code) + more))
     body = F.concat(F.substring(canonical, 1, 1), stream.substr(F.lit(1), n - 2))
     card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     ip = F.concat_ws(".", *((_number(hexes, i) % 254 + 1).cast("string") for i in (1, 5, 9, 13)))
@@ -174,18 +176,13 @@ def _iban_fits(canonical: Column) -> Column:
     return _mod97(F.concat(F.substring(canonical, 5, 64), F.substring(canonical, 1, 4))) == 1
 
 
-#: Draws before what is left open is settled among itself.
-DRAWS = 40
-
-
-def surrogates(entities: DataFrame, key: str, draws: int = DRAWS) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, surrogate) for distinct entities (kind, canonical, sex, script); no two of a kind share a surrogate.
 
     Each round draws for the entities that are still open. A draw is refused if a smaller open entity
-    has it too, if it was given before, or if it is an entity itself (other than a given name). Name surrogates
-    grow by a syllable a round, so a crowded space always opens up; the others have millions of values at
-    least. What `draws` rounds leave open takes, kind and length by kind and length, the next open one's own
-    value: those were given to none.
+    has it too, if it was given before, or if it is an entity itself (other than a given name), its own value
+    too. Names grow by a syllable a round, numbers by a digit every two rounds from the fourth on, so a crowded
+    space always opens up: nothing keeps a real value.
     """
     entities = written(entities)
     real = entities.filter("kind <> 'given'").select("kind", F.lower("canonical").alias("key")).distinct()
@@ -201,21 +198,17 @@ def surrogates(entities: DataFrame, key: str, draws: int = DRAWS) -> DataFrame:
         attempt += 1
         if open_rows.isEmpty():
             return given
-        if attempt >= draws:
-            turn = Window.partitionBy("kind", F.length("canonical")).orderBy(F.xxhash64("canonical", F.lit(key)), "canonical")
-            everyone = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            other = F.coalesce(F.lead("canonical").over(turn), F.first("canonical").over(everyone))
-            return given.unionByName(open_rows.select("kind", "canonical", other.alias("surrogate")))
 
 
 def _rendered(kind: Column, value: Column, surrogate: Column, given: Column) -> Column:
-    """The surrogate in the way `value` is written: its digits in the same places, title and letter case kept."""
+    """The surrogate in the way `value` is written: its digits in the same places (more at the end, if it is longer), title and letter case kept."""
     signs = F.when(kind == "phone", _digits(surrogate)).otherwise(surrogate)
     spread = F.aggregate(
         F.split(value, ""),
         F.struct(F.lit("").alias("s"), F.lit(1).alias("i")),
         lambda acc, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct(F.concat(acc["s"], F.substr(signs, acc["i"], F.lit(1))).alias("s"), (acc["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["i"].alias("i"))),
-    )["s"]
+        lambda acc: F.concat(acc["s"], F.substr(signs, acc["i"])),
+    )
     title = F.regexp_extract(value, rf"^(?:{_TITLES})\.? ", 0)
     cased = F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind.isin("phone", "card", "ssn", "iban"), spread).when(kind == "surname", F.concat(title, F.coalesce(F.concat(given, F.lit(" ")), F.lit("")), surrogate)).otherwise(cased)
