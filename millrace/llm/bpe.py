@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import freed
+
 #: Pieces in one recursive query, pieces that a worker keeps, and the bytes from which a piece is long.
 TOGETHER, KEPT, LONG = 20_000, 120_000, 300
 #: Stands for "these two don't merge".
@@ -216,7 +218,7 @@ def digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
         own.rest()
 
-    return docs.select(docs[id_col].cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].cast("long").alias("id"), text_col).mapInArrow(freed(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +232,7 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))], ["id", "ids"])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), text_col).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].cast("long").alias("id"), text_col).mapInArrow(freed(run), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(coded_docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -244,4 +246,4 @@ def decode(coded_docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
                 part = batch.slice(start, 200)
                 yield pa.record_batch([part.column(0), pa.array(own.bytes_of([x or [] for x in part.column(1).to_pylist()]), pa.binary())], ["id", "data"])
 
-    return coded_docs.select(coded_docs[id_col].cast("long").alias("id"), ids_col).mapInArrow(run, "id long, data binary").withColumnRenamed("id", id_col)
+    return coded_docs.select(coded_docs[id_col].cast("long").alias("id"), ids_col).mapInArrow(freed(run), "id long, data binary").withColumnRenamed("id", id_col)

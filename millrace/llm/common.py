@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,19 @@ from pyspark.sql import functions as F
 PREFIX = "millrace-"
 
 
+def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives its task's memory back at the end: workers live on, and an executor's add up."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

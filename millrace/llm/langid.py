@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed
+
 #: Lengths of the character n-grams, in code points; words carry one space on each side.
 GRAMS = (3, 4)
 #: Positions in the bit-sliced table and hashes for each n-gram; the model is `SLOTS` masks, 8 MB.
@@ -115,12 +117,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", by: str = "
     info = spark.createDataFrame([(name, i, min(1.0, train_docs / sizes[name])) for i, name in enumerate(names)], "l string, number int, share double")
     chance = (F.xxhash64("k") % 1_000_000_007 + 1_000_000_007) % 1_000_000_007 / F.lit(1_000_000_007.0)
     sample = rows.join(F.broadcast(info), "l").filter(chance < F.col("share")).filter("t is not null").select("t", "l")
-    counted = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    counted = sample.mapInArrow(freed(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
     totals = counted.groupBy("lang").agg(F.sum("n").alias("all"))
     rates = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("each"))
     owned = best.select("gram", F.explode("each").alias("x"), "top").filter(F.col("x.rate") >= SHARE * F.col("top")).select("gram", F.col("x.lang").alias("l")).join(F.broadcast(info), "l")
-    found = owned.select("gram", "number").mapInArrow(_placed, "slot int, number int").groupBy("slot", F.expr("number div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, number % 64))").alias("mask")).toPandas()
+    found = owned.select("gram", "number").mapInArrow(freed(_placed), "slot int, number int").groupBy("slot", F.expr("number div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, number % 64))").alias("mask")).toPandas()
     table = np.zeros(((len(names) + 63) // 64, SLOTS), np.uint64)
     table[found["word"].to_numpy(np.int64), found["slot"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
     fill = np.array([np.count_nonzero(table[i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(names))]) / SLOTS
@@ -201,7 +203,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield pa.record_batch([*(batch.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
 
     names = [x for x in docs.columns if x not in ("lang_pred", "score")]
-    return docs.mapInArrow(run, schema.__class__([*(schema[x] for x in names), schema["lang_pred"], schema["score"]]))
+    return docs.mapInArrow(freed(run), schema.__class__([*(schema[x] for x in names), schema["lang_pred"], schema["score"]]))
 
 
 def held_out(by: str = "doc_id") -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, scrambled, words, written
+from .common import discard, freed, scrambled, words, written
 from .components import connected
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -173,7 +173,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     near = pairs.join(sizes.toDF("a", "low_a", "high_a"), "a").join(sizes.toDF("b", "low_b", "high_b"), "b")
     near = near.filter((F.col("high_a") >= threshold * F.col("low_b")) & (F.col("high_b") >= threshold * F.col("low_a"))).select("a", "b")
     x, y = texts.select(F.col("id").alias("a"), F.col("shingles").alias("x")), texts.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return written(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long").distinct())
+    return written(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(freed(_verified(threshold)), "a long, b long").distinct())
 
 
 def across(open_rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -185,7 +185,7 @@ def across(open_rows: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     many they are, never meet.
     """
     rows = texts.join(open_rows, "id").select("id", "c", "size", "shingles")
-    each = written(rows.mapInArrow(_listed, "id long, c long, size long, s long"))
+    each = written(rows.mapInArrow(freed(_listed), "id long, c long, size long, s long"))
     # shingles of one text only stand first, and need not move: their number is enough
     number = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = Window.partitionBy("id", "size")
@@ -217,7 +217,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     fetch their words by one join on the id.
     """
     rows = _prepared(docs, id_col, text_col)
-    signed = written(_hashed(rows).mapInArrow(_signed, "id long, content binary, bands array<long>"))
+    signed = written(_hashed(rows).mapInArrow(freed(_signed), "id long, content binary, bands array<long>"))
     usable = signed.filter("id is not null and content is not null")
     # rows that share an id count as one document, linked if any of their texts is
     copies = written(usable.groupBy("content").agg(F.min(F.struct("id", "bands")).alias("x")).select("content", "x.id", "x.bands"))
@@ -225,7 +225,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(bands.join(sizes, "band"))
     needed = rows.filter("content is not null").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "content"])
-    texts = written(_hashed(needed).mapInArrow(_shingled, "id long, size long, shingles binary"))
+    texts = written(_hashed(needed).mapInArrow(freed(_shingled), "id long, size long, shingles binary"))
 
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
     hubs = written(shared.join(weight, "id").groupBy("band").agg(F.max_by("id", F.struct(F.col("weight"), -F.col("id"))).alias("hub")))
