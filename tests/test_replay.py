@@ -40,7 +40,7 @@ def test_windows(spark, folder):
     want = r.groupBy(day.alias("w"), "client").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("start"), F.col("w.end").alias("end"), "client", "n")
     assert _rows(plans.QUERIES["r5_fixed_window_stream"][0](spark, folder), "start", "client", "n") == _closed(want, last, "start", "client", "n")
     session = F.session_window("ts", f"{6 * 3600 + 1} seconds")
-    want = r.groupBy(session.alias("w"), "client").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "client", "n")
+    want = r.groupBy(session.alias("w"), "client").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.col("w.end").alias("end"), "client", "n")
     assert _rows(plans.QUERIES["r6_idle_session_stream"][0](spark, folder), "start", "client", "n") == _closed(want, last, "start", "client", "n")
     want = r.groupBy(day.alias("w"), tool_from_path(F.col("path")).alias("tool")).agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("status") >= 500).alias("errors"), F.max("ms").alias("max_ms")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "tool", "hits", "errors", "max_ms")
     assert _rows(plans.QUERIES["r9_rollup_stream"][0](spark, folder), "start", "tool", "hits", "errors", "max_ms") == _closed(want, last, "start", "tool", "hits", "errors", "max_ms")

@@ -50,8 +50,27 @@ def test_escapes():
     with pytest.raises(ValueError):
         codec.unescaped("\\u{110000}", "es6")
     assert codec.unescaped("\\U0001F600 U+41 xU+41 \\\\u{41} \\u{00000041}") == "😀 A xU+41 A A"
-    for style in ("unicode", "es6", "percent", "html"):
-        assert codec.unescaped(codec.escaped("né 你😀", style)) == "né 你😀"
+
+
+def test_escape_styles(spark):
+    rows = spark.createDataFrame([("né 你😀",), ("plain\nASCII",), ("",), (None,)], "v string")
+    told = {style: [r[0] for r in rows.select(codec.escaped(F.col("v"), style)).collect()] for style in codec.STYLES}
+    assert told["backslash_u"] == ["n\\u00e9 \\u4f60\\U0001f600", "plain\nASCII", "", None]
+    assert told["u_plus"][0] == "nU+00e9 U+4f60U+1f600" and told["html_entity"][0] == "n&#xe9; &#x4f60;&#x1f600;"
+    assert told["percent_u"][0] == "n%u00e9 %u4f60\\U0001f600"
+    assert rows.select(codec.escaped(F.col("v"), "html_entity", True)).first()[0] == "n&#xE9; &#x4F60;&#x1F600;"
+    for style in ("backslash_u", "html_entity", "percent_u"):
+        assert codec.unescaped(told[style][0]) == "né 你😀"
+    job = codec.escape_job(rows.withColumn("k", F.length("v")), "k", "v").filter("k = 5").first()
+    assert (job.escaped_chars, job.input_chars, job.output_chars) == (3, 5, 24)
+    with pytest.raises(ValueError):
+        codec.escaped(F.col("v"), "es6")
+
+
+def test_line_dedupe_without_ids(spark):
+    docs = spark.createDataFrame([(None, "x\ny"), (1, "y\r\nz\ny"), (2, None), (3, "x\ny\nz"), (4, "b\n"), (4, "b\na")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.dropped) for r in text.corpus_line_dedupe(docs).collect()}
+    assert got[None] == ("x\ny", 0) and got[1] == ("z", 2) and got[2] == ("", 0) and got[3] == ("", 3) and len(got) == 5
 
 
 def test_regex(spark):
