@@ -152,15 +152,16 @@ class Graph:
         """[m, k] inner products of the rows of q with vectors ids [m, k]; below all others where an id is -1."""
         return np.where(ids >= 0, np.einsum("mkd,md->mk", self.small[ids], q), np.float32(-9))
 
-    def within(self, q: np.ndarray, width: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row of q, vector): pairs found at least as near as `limit`, for all rows of q side by side."""
+    def within(self, q: np.ndarray, width: int, limit: float, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row of q, vector): pairs found at least as near as `limit`, for all rows of q side by side, from the vectors `at` or from the top."""
         if width >= len(self.x):
             return np.nonzero(q @ self.x.T >= limit)
         exact, q = q, q.astype(np.float32)
         m, n = len(q), len(self.x)
-        every, at = np.arange(m), np.full(m, self.entry)
+        every, known = np.arange(m), at is not None
+        at = at if known else np.full(m, self.entry)
         near = self._nearness(at[:, None], q)[:, 0]
-        for links in self.links[:0:-1]:
+        for links in [] if known else self.links[:0:-1]:
             while True:
                 ids = links[at]
                 s = self._nearness(ids, q)
@@ -229,13 +230,16 @@ class Graph:
         return rows[close], node[close]
 
 
-def links_of(graph: Graph, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (row of q, vector) within `limit`: each row with the narrowest beam that finds all of its links."""
+def links_of(graph: Graph, q: np.ndarray, limit: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row of q, vector) within `limit`: each row with the narrowest beam that finds all of its links.
+
+    own: where the rows of q stand in the graph themselves; their searches begin there.
+    """
     truth = (q @ graph.x.T >= limit).sum(1)
     width, lacking = QUERY_BEAM, np.arange(len(q))
     rows, found = np.empty(0, np.int64), np.empty(0, np.int64)
     while len(lacking):
-        r, f = graph.within(q[lacking], width, limit)
+        r, f = graph.within(q[lacking], width, limit, None if own is None else own[lacking])
         stay = ~np.isin(rows, lacking)
         rows, found = np.concatenate([rows[stay], lacking[r]]), np.concatenate([found[stay], f])
         if width >= len(graph.x):
@@ -287,10 +291,10 @@ def _linked(limit: float):
                     continue
                 same = key[1] == key[2]
                 q = np.frombuffer(row["x"].as_buffer()).reshape(len(ids), -1)
-                rows, found = links_of(graph, q, limit)
+                rows, found = links_of(graph, q, limit, start + np.arange(len(ids)) if same else None)
                 if same:
-                    own = found != rows + start
-                    rows, found = rows[own], found[own]
+                    other = found != rows + start
+                    rows, found = rows[other], found[other]
                 order = np.argsort(rows, kind="stable")
                 rows, found = rows[order], found[order]
                 counts = np.bincount(rows, weights=other_n[found], minlength=len(ids)).astype(np.int64)

@@ -39,6 +39,19 @@ def test_beams_stay_narrow():
     stored = graph.saved()
     graph = hnsw.Graph.load(stored["x"], stored["links"], stored["levels"], stored["entry"], len(x))
     within, widths = graph.within, []
-    graph.within = lambda q, width, limit: (widths.extend([width] * len(q)), within(q, width, limit))[1]
+    graph.within = lambda q, width, limit, at=None: (widths.extend([width] * len(q)), within(q, width, limit, at))[1]
     found = sum(len(hnsw.links_of(graph, x[i : i + 512], 0.93)[0]) for i in range(0, len(x), 512))
     assert found == (x @ x.T >= 0.93).sum() and max(widths) <= 256 and sum(w > 32 for w in widths) < 30
+
+
+def test_vectors_apart():
+    """Where nothing is near, a vector's search begins at itself and ends there: no beam is widened."""
+    x = np.random.default_rng(3).normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    stored = graph.saved()
+    graph = hnsw.Graph.load(stored["x"], stored["links"], stored["levels"], stored["entry"], len(x))
+    within, widths = graph.within, []
+    graph.within = lambda q, width, limit, at=None: (widths.extend([width] * len(q)), within(q, width, limit, at))[1]
+    rows, found = hnsw.links_of(graph, x[512:1024], 0.93, np.arange(512, 1024))
+    assert (rows + 512 == found).all() and len(rows) == 512 and set(widths) == {32}
