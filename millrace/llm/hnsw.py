@@ -4,7 +4,8 @@ Vectors of one label are dealt to shards of bounded size, and each shard's graph
 its vectors. Every vector then queries every shard of its label (a pair of shards meets once, links
 being mutual), in blocks: a beam search, then all neighbours of vectors near the limit. Every query is audited: the
 number of its links is told exactly by a product of the block with the shard, and while one is missing the query is
-asked again with a beam twice as wide, in the end as wide as the shard. Links are verified by cosine in double
+asked again with a beam twice as wide, which opens in waves over the graph's links in both directions, in the end as
+wide as the shard. Links are verified by cosine in double
 precision, and their components joined.
 
 Defined results: vectors that are null, zero, without label, or hold null or non-finite components link
@@ -30,8 +31,8 @@ from .components import connected
 COSINE = 0.93
 #: Vectors in a shard, links of a vector (twice as many on the ground level), beams.
 SHARD, LINKS, BUILD_BEAM, QUERY_BEAM = 8192, 12, 40, 32
-#: Queries in a block, tasks that a pair of shards is dealt to.
-BLOCK, PARTS = 512, 2
+#: Queries in a block, tasks that a pair of shards is dealt to, shards whose blocks meet a graph in one task.
+BLOCK, PARTS, GATHER = 512, 2, 8
 #: The search goes on from all vectors this near to the limit; what single precision may be off.
 SLACK, OFF = 0.06, 1e-5
 
@@ -146,8 +147,21 @@ class Graph:
             out.links.append(flat[at : at + n * width].reshape(n, width))
             at += n * width
         out.entry, out.small = entry, out.x.astype(np.float32)
+        near, far = np.nonzero(out.links[0] >= 0)
+        ends = out.links[0][near, far]
+        out.into, out.into_ends = near[np.argsort(ends, kind="stable")], np.cumsum(np.bincount(ends, minlength=n))
         return out
 
+    def _beside(self, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """row * n + neighbour, distinct, for each (row, node); links lead both ways."""
+        n = len(self.x)
+        out = self.links[0][node]
+        there = np.where(out >= 0, rows[:, None] * n + out, -1).ravel()
+        many = self.into_ends[node] - np.where(node > 0, self.into_ends[node - 1], 0)
+        skip = np.repeat(self.into_ends[node] - np.cumsum(many), many)
+        back = np.repeat(rows, many) * n + self.into[skip + np.arange(len(skip))]
+        return np.unique(np.concatenate([there[there >= 0], back]))
+
     def _nearness(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         """[m, k] inner products of the rows of q with vectors ids [m, k]; below all others where an id is -1."""
         return np.where(ids >= 0, np.einsum("mkd,md->mk", self.small[ids], q), np.float32(-9))
@@ -213,10 +227,8 @@ class Graph:
             rows, node = rows[todo], node[todo]
             opened[rows, node] = True
             for start in range(0, len(rows), 4096):
-                r, beside = rows[start : start + 4096], ground[node[start : start + 4096]]
-                flat = np.where(beside >= 0, r[:, None] * n + beside, -1).ravel()
-                flat = flat[flat >= 0]
-                flat = np.unique(flat[~seen.reshape(-1)[flat]])
+                flat = self._beside(rows[start : start + 4096], node[start : start + 4096])
+                flat = flat[~seen.reshape(-1)[flat]]
                 seen.reshape(-1)[flat] = True
                 order = np.divmod(flat, n)
                 s = np.einsum("kd,kd->k", self.small[order[1]], q[order[0]])
@@ -229,6 +241,30 @@ class Graph:
         close = np.einsum("kd,kd->k", self.x[node], exact[rows]) >= limit
         return rows[close], node[close]
 
+    def wider(self, q: np.ndarray, width: int, limit: float, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As `within`, for a wide beam: a wave opens all of a row's best `width` and all that is near the limit."""
+        if width >= len(self.x):
+            return np.nonzero(q @ self.x.T >= limit)
+        single, m, n = q.astype(np.float32), len(q), len(self.x)
+        at = np.full(m, self.entry) if at is None else at
+        score, opened = np.full((m, n), -9, np.float32), np.zeros((m, n), bool)  # -9: not seen
+        score[np.arange(m), at] = self._nearness(at[:, None], single)[:, 0]
+        flat = score.reshape(-1)
+        while True:
+            least = np.minimum(np.partition(score, n - width, axis=1)[:, n - width], limit - SLACK)
+            rows, node = np.nonzero((score >= np.maximum(least, -8)[:, None]) & ~opened)
+            if not len(rows):
+                break
+            opened[rows, node] = True
+            for start in range(0, len(rows), 4096):
+                new = self._beside(rows[start : start + 4096], node[start : start + 4096])
+                new = new[flat[new] == -9]
+                r, i = np.divmod(new, n)
+                flat[new] = np.einsum("kd,kd->k", self.small[i], single[r])
+        rows, node = np.nonzero(score >= limit - OFF)
+        close = np.einsum("kd,kd->k", self.x[node], q[rows]) >= limit
+        return rows[close], node[close]
+
 
 def links_of(graph: Graph, q: np.ndarray, limit: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (row of q, vector) within `limit`: each row with the narrowest beam that finds all of its links.
@@ -239,7 +275,8 @@ def links_of(graph: Graph, q: np.ndarray, limit: float, own: np.ndarray | None =
     width, lacking = QUERY_BEAM, np.arange(len(q))
     rows, found = np.empty(0, np.int64), np.empty(0, np.int64)
     while len(lacking):
-        r, f = graph.within(q[lacking], width, limit, None if own is None else own[lacking])
+        search = graph.within if width == QUERY_BEAM else graph.wider
+        r, f = search(q[lacking], width, limit, None if own is None else own[lacking])
         stay = ~np.isin(rows, lacking)
         rows, found = np.concatenate([rows[stay], lacking[r]]), np.concatenate([found[stay], f])
         if width >= len(graph.x):
@@ -280,7 +317,7 @@ def _linked(limit: float):
         for batch in batches:
             for i in range(len(batch)):
                 row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
-                key = (row["label"].as_py(), row["b"].as_py(), row["a"].as_py(), row["part"].as_py())
+                key = (row["label"].as_py(), row["b"].as_py(), row["part"].as_py())
                 ids, n = (np.frombuffer(row[k].as_buffer(), np.int64) for k in ("ids", "n"))
                 start = row["start"].as_py()
                 if start < 0:
@@ -289,7 +326,7 @@ def _linked(limit: float):
                     continue
                 if key != at or not len(ids):
                     continue
-                same = key[1] == key[2]
+                same = key[1] == row["a"].as_py()
                 q = np.frombuffer(row["x"].as_buffer()).reshape(len(ids), -1)
                 rows, found = links_of(graph, q, limit, start + np.arange(len(ids)) if same else None)
                 if same:
@@ -321,7 +358,7 @@ def near_duplicates(vectors: DataFrame, limit: float = COSINE, id_col: str = "ve
     """(id, n_links, component_id) of each row of `vectors`.
 
     A shard's graph is one row of arrays, of bounded size, and its vectors some rows of query blocks. The
-    blocks of one shard meet the graph of another in PARTS tasks, which hold one graph at a time and read
+    blocks of GATHER shards meet the graph of another in PARTS tasks, which hold one graph at a time and read
     block after block; ranges of the groups' names make the tasks alike in size. So a label with a third of
     all rows is many tasks. Only ids and counts are shuffled after that.
     """
@@ -337,13 +374,16 @@ def near_duplicates(vectors: DataFrame, limit: float = COSINE, id_col: str = "ve
     members = members.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards"))).select("label", "shard", "id", "n", "v")
     built = written(members.groupBy("label", "shard").applyInPandas(_built, _BUILT))
     shards = sizes.select("label", F.col("shards").cast("long").alias("shards"))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))
-    graphs = built.filter("start < 0").withColumnRenamed("shard", "b").withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b")))).withColumn("part", F.explode(every))
-    blocks = built.filter("start >= 0").join(shards, "label").withColumn("b", F.explode(F.sequence("shard", F.col("shards") - 1))).withColumnRenamed("shard", "a").drop("shards")
-    blocks = blocks.withColumn("part", F.pmod(F.col("start") / BLOCK, F.lit(PARTS)).cast("long"))
-    group = ["label", "b", "a", "part"]
+    last = F.floor(F.col("b") / GATHER) * PARTS + (PARTS - 1)
+    graphs = built.filter("start < 0").withColumnRenamed("shard", "b").withColumn("a", F.lit(-1).cast("long"))
+    graphs = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    blocks = built.filter("start >= 0").join(shards, "label").withColumn("b", F.explode(F.sequence("shard", F.col("shards") - 1)))
+    blocks = blocks.withColumnRenamed("shard", "a").drop("shards")
+    turn = F.pmod((F.col("start") / BLOCK).cast("long"), F.lit(PARTS))
+    blocks = blocks.withColumn("part", (F.floor(F.col("a") / GATHER) * PARTS + turn).cast("long"))
+    group = ["label", "b", "part"]
     number = graphs.select(*group).count()
-    met = graphs.unionByName(blocks).repartitionByRange(max(1, number), *group).sortWithinPartitions(*group, "start")
+    met = graphs.unionByName(blocks).repartitionByRange(max(1, number), *group).sortWithinPartitions(*group, "a", "start")
     found = written(met.mapInArrow(_linked(limit), "id long, n long, other long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("links"))
     joined = connected(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "first")
