@@ -7,7 +7,8 @@ the two weighted sets. A document's processes end as soon as no arrival can come
 first arrival of its slots. Documents that share a band of slots are candidates; a candidate is a
 link if the Jaccard similarity of their shingle sets, computed exactly from all shingles, is at least
 the threshold. Weights are damped, 1 + ln n for n occurrences, so the similarity that a signature
-estimates stays near the one that is tested.
+estimates stays near the one that is tested; a text that repeats a shingle is signed once more with weights of 1,
+which estimates exactly that one.
 
 Defined results: a null or wordless text links with nothing. A text of one to four words has one
 shingle, of all its words. Letter case, punctuation and white space don't count. Copies of one
@@ -112,18 +113,36 @@ def _distinct(batch: pa.RecordBatch):
         yield batch.slice(start, end - start), made[at], np.diff(at, append=len(made)), owner[at], np.searchsorted(owner[at], np.arange(len(ends)), "right")
 
 
+def _banded(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """[n, BANDS] hashes of the bands of n texts' signatures."""
+    keys = signatures(elements, weights, owner, n, BANDS * ROWS)
+    slots = (keys & np.uint64((1 << NAME_BITS) - 1)).reshape(n, BANDS, ROWS)
+    band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS))
+    for i in range(ROWS):
+        band = scrambled(band * np.uint64(31) + slots[:, :, i])
+    return band
+
+
 def _signed(batches):
-    """Bands of each batch's texts; none for those without words."""
+    """Bands of each batch's texts; none for those without words.
+
+    A text that repeats a shingle has bands of its set too, all weights 1. At equal weights both kinds agree,
+    so it meets a text that has the passage once as often as their sets are alike, however often it repeats it.
+    """
     for batch in batches:
         for rows, elements, counts, owner, ends in _distinct(batch):
-            keys = signatures(elements, 1 + np.log(counts), owner, len(ends), BANDS * ROWS)
-            slots = (keys & np.uint64((1 << NAME_BITS) - 1)).reshape(len(ends), BANDS, ROWS)
-            band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(ends), BANDS))
-            for i in range(ROWS):
-                band = scrambled(band * np.uint64(31) + slots[:, :, i])
-            some = np.diff(ends, prepend=0) > 0
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(band[some].reshape(-1).view(np.int64)))
-            yield pa.record_batch([rows.column(0), rows.column(1), bands], ["id", "content", "bands"])
+            n = len(ends)
+            bands, keep = np.zeros((n, 2, BANDS), np.uint64), np.zeros((n, 2, BANDS), bool)
+            bands[:, 0] = _banded(elements, 1 + np.log(counts), owner, n)
+            keep[:, 0] = (np.diff(ends, prepend=0) > 0)[:, None]
+            again = np.zeros(n, bool)
+            again[owner[counts > 1]] = True
+            mine = again[owner]
+            bands[again, 1] = _banded(elements[mine], np.ones(int(mine.sum())), (np.cumsum(again) - 1)[owner[mine]], int(again.sum()))
+            keep[:, 1] = again[:, None] & (bands[:, 0] != bands[:, 1])
+            offsets = np.concatenate([[0], np.cumsum(keep.sum((1, 2)))]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[keep].view(np.int64)))
+            yield pa.record_batch([rows.column(0), rows.column(1), listed], ["id", "content", "bands"])
 
 
 def _shingled(batches):

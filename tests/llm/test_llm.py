@@ -114,6 +114,18 @@ def test_minhash(spark, texts):
     assert minhash.classes(docs_of(spark, [(None, "a b c d e f"), (3, "a b c d e f")])).filter("id is null").first().class_id is None
 
 
+def test_minhash_repeated_passages(spark):
+    """Each pair's first text says its passage 50 times, the second once; as sets they are 0.817 alike, by weight 0.7."""
+    some = {}
+    for i in range(200):
+        passage, rest = ([f"{kind}{i}x{k}" for k in range(size)] for kind, size in (("p", 120), ("r", 100)))
+        other = ["z" if k % 25 == 12 else w for k, w in enumerate(rest)]
+        some |= {2 * i: " ".join(passage * 50 + rest), 2 * i + 1: " ".join(passage + other)}
+    got = {r.id: r.class_id for r in minhash.classes(docs_of(spark, [*some.items()])).collect()}
+    assert got == {i: i - i % 2 for i in some}
+    assert {i: got[i] for i in range(20)} == brute_classes({i: some[i] for i in range(20)})
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = np.arange(0, 300, dtype=np.uint64), np.arange(60, 340, dtype=np.uint64)
