@@ -102,22 +102,38 @@ def normalise_package(raw: DataFrame, max_size: int) -> DataFrame:
     return out.withColumn("reject", reject)
 
 
-def assign_codes(new: DataFrame, used: DataFrame, seed: int = 7, space: int = 1_000_000) -> DataFrame:
-    """An unused six-digit code for each new row, in seeded order; an error if too few are left.
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with `n` from 1 on, by counts of hash slices of a key, so that no task orders all of them."""
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(64)))
+    before = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+    numbered = sliced.withColumn("_k", F.row_number().over(Window.partitionBy("_slice").orderBy(key))).join(F.broadcast(before), "_slice")
+    return numbered.withColumn("n", F.col("_k") + F.col("_before")).drop("_k", "_before", "_slice")
+
 
-    The code space is bounded, so numbering it in one partition is; the rows are numbered by counts of
-    hash slices, so that no task orders all of them.
+def assign_codes(new: DataFrame, used: DataFrame, seed: int = 7, space: int | None = None) -> DataFrame:
+    """An unused code for each new row, in seeded order: six digits, and where these run out seven, then more.
+
+    A `space` is a hard limit: an error if too few are left in it. The six-digit space is bounded, so numbering it
+    in one partition is; rows and longer codes are numbered by counts of hash slices. Of longer codes only as many
+    are tried as are needed and could be in use.
     """
-    spark = new.sparkSession
-    free = spark.range(space).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("code")).join(used.select("code").distinct(), "code", "left_anti")
-    free = free.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("code", F.lit(seed)), "code")))
-    need = new.count()
-    if need > free.count():
-        raise ValueError("the code space is used up")
-    sliced = new.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(64)))
-    before = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
-    numbered = sliced.withColumn("_k", F.row_number().over(Window.partitionBy("_slice").orderBy("id"))).join(F.broadcast(before), "_slice")
-    return numbered.withColumn("n", F.col("_k") + F.col("_before")).join(free, "n").drop("_k", "_before", "_slice", "n")
+    spark, taken = new.sparkSession, used.select("code").distinct()
+    free = spark.range(space or 1_000_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("code")).join(taken, "code", "left_anti")
+    codes = free.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("code", F.lit(seed)), "code")).cast("long"))
+    need, have, digits = new.count(), free.count(), 6
+    while need > have:
+        digits += 1
+        if space or digits > 9:
+            raise ValueError("the code space is used up")
+        size = 10**digits
+        own = taken.filter(F.length("code") == digits)
+        # id -> id * step + seed runs through the whole space: step and size have no common factor
+        step = next(i for i in range(size * 618 // 1000, size) if i % 2 and i % 5)
+        tried = spark.range(min(size, need - have + own.count())).select(F.lpad(((F.col("id") * step + seed) % size).cast("string"), digits, "0").alias("code"))
+        longer = tried.join(own, "code", "left_anti")
+        codes = codes.unionByName(_numbered(longer, "code").withColumn("n", F.col("n") + have))
+        have += longer.count()
+    return _numbered(new, "id").join(codes, "n").drop("n")
 
 
 def settle_claims(packages: DataFrame, claims: DataFrame, kind: str = "file") -> DataFrame:

@@ -113,6 +113,15 @@ def test_codes(spark):
         parcels.assign_codes(spark.range(11).select(F.col("id").cast("string")), spark.createDataFrame([], "code string"), space=10)
 
 
+def test_codes_grow_where_six_digits_run_out(spark):
+    six = spark.range(999_990).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("code"))
+    used = six.union(spark.createDataFrame([("0000007",), ("6180008",)], "code string"))
+    out = parcels.assign_codes(spark.range(50).select(F.col("id").cast("string")), used).collect()
+    codes = {r.code for r in out}
+    assert len(out) == len({r.id for r in out}) == len(codes) == 50 and not codes & {"0000007", "6180008"}
+    assert sorted(map(len, codes)) == [6] * 10 + [7] * 40
+
+
 def test_sliding(spark):
     rows = spark.createDataFrame([("a", i, t) for i, t in enumerate([0, 1, 2, 61, 62])], "client string, event_id long, t long").withColumn("ts", F.timestamp_seconds("t"))
     got = {r.event_id: (r.allowed, r.remaining) for r in requests.sliding_check(rows, 2, 60).collect()}
