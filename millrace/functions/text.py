@@ -265,14 +265,22 @@ def normalise_timestamps(rows: DataFrame, column: str, tz_min: int = 480) -> Dat
     ).drop("_us")
 
 
-def relative_age(seconds: Column) -> Column:
-    """Age in words of now minus time, in seconds; below zero it lies ahead."""
+# Units of an age and their seconds, ascending.
+UNITS = {"分钟": 60, "小时": 3600, "天": 86_400, "个月": 2_592_000, "年": 31_536_000}
+
+
+def relative_age(seconds: Column, units: tuple[str, ...] = tuple(UNITS), moment: bool = True) -> Column:
+    """Age in words of now minus time, in seconds; below zero it lies ahead.
+
+    `units` are those of UNITS to tell it in. An age below the least has words of its own (`moment`), or none: null.
+    """
     size, past = F.abs(seconds), seconds >= 0
     word = F.lit(None)
-    for unit, name in ((60, "分钟"), (3600, "小时"), (86_400, "天"), (2_592_000, "个月"), (31_536_000, "年")):
-        made = F.concat(F.floor(size / unit).cast("string"), F.lit(name), F.when(past, "前").otherwise("后"))
-        word = F.when(size >= unit, made).otherwise(word)
-    return F.coalesce(word, F.when(past, "刚刚").otherwise("即将"))
+    for name, unit in UNITS.items():
+        if name in units:
+            made = F.concat(F.floor(size / unit).cast("string"), F.lit(name), F.when(past, "前").otherwise("后"))
+            word = F.when(size >= unit, made).otherwise(word)
+    return F.coalesce(word, F.when(past, "刚刚").otherwise("即将")) if moment else word
 
 
 MONEY_LIMIT = "9999999999999999.99"

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from millrace.fixtures import table
 from millrace.functions import codec, html, text
 from millrace.operators import activity, jobs, parcels, requests
@@ -42,6 +43,16 @@ def test_timestamps(spark):
     assert rows[2].error == "unparseable" and rows[3].error == "empty"
 
 
+def test_relative_age(spark, tmp_path):
+    ages = spark.createDataFrame([(0,), (59,), (-59,), (60,), (-7200,), (40_000_000,), (None,)], "s long").select(text.relative_age(F.col("s")), text.relative_age(F.col("s"), ("分钟", "小时", "天", "个月"), moment=False)).collect()
+    assert [r[0] for r in ages[:6]] == ["刚刚", "刚刚", "即将", "1分钟前", "2小时后", "1年前"]
+    assert [r[1] for r in ages] == [None, None, None, "1分钟前", "2小时后", "15个月前", None]
+    # the query's SQL has no word for less than a minute
+    seconds = spark.createDataFrame([(1706659200 - s,) for s in (35, -20, 61, 40_000_000)], "s long")
+    seconds.select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in entry.queries()["t16_relative_age"](spark, str(tmp_path)).collect()} == {(None, 2), ("1分钟前", 1), ("15个月前", 1)}
+
+
 def test_escapes():
     assert codec.unescaped("\\u4f60\\u597d") == "你好"
     assert codec.unescaped("\\\\u4f60") == "你"
