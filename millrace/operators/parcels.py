@@ -140,25 +140,30 @@ def settle_claims(packages: DataFrame, claims: DataFrame, kind: str = "file") ->
     """P10: the outcome of every claim: invalid, expired, exhausted, missing or ok, tested in this order.
 
     Only a claim that is otherwise good uses a download up. Where k downloads are left, all claims after the
-    k-th good one of their code find it spent; that one is sought among the first k of each of 64 slices of
+    k-th good one of their code find it spent; the first good ones are sought among those of each of 64 slices of
     the code's good claims, so a code with a great part of all claims is dealt to many tasks.
     A burnt parcel keeps no payload, yet later claims read `exhausted` first. A null code is invalid.
+    Parcels that share a code share its claims: there is a row for each parcel, and good ones of all count,
+    in order of ts, claim_id and the parcel's row.
     """
     cap = F.when(F.col("burn_after") == 1, 1).otherwise(F.col("max_downloads"))
     has = (F.col("text_payload") != "") if kind == "text" else (F.col("text_payload") == "") & (F.col("stored_rel") != "")
-    known = packages.select(F.col("code").alias("c"), "expires_at", cap.alias("cap"), "download_count", has.alias("has"))
+    known = packages.select(F.col("code").alias("c"), "expires_at", cap.alias("cap"), "download_count", has.alias("has"), (F.col("id") if "id" in packages.columns else F.lit("")).alias("parcel"))
+    # the most downloads that a parcel of the code has left; where none is capped no claim is ever counted
+    left = F.when((F.col("cap") > 0) & (F.col("download_count") < F.col("cap")), F.col("cap") - F.col("download_count"))
+    most = known.withColumn("k", left).groupBy(F.col("c").alias("m")).agg(F.max("k").alias("most")).filter("most is not null")
+    known = known.join(most, F.col("c") == F.col("m"), "left").drop("m")
     each = claims.withColumn("c", valid_code(F.col("code"))).join(known.withColumn("found", F.lit(True)), "c", "left")
     expired = F.coalesce(F.col("expires_at") <= F.col("ts"), F.lit(True))
     full = (F.col("cap") > 0) & (F.col("download_count") >= F.col("cap"))
     good = F.col("found").isNotNull() & ~expired & ~full & F.col("has")
-    each = each.withColumn("good", F.coalesce(good, F.lit(False)))
-    capped = each.filter("good and cap > 0").select("c", "ts", "claim_id", (F.col("cap") - F.col("download_count")).alias("k"), F.pmod(F.xxhash64("claim_id"), F.lit(64)).alias("slice"))
-    sliced = F.row_number().over(Window.partitionBy("c", "slice").orderBy("ts", "claim_id"))
-    nth = F.row_number().over(Window.partitionBy("c").orderBy("ts", "claim_id"))
-    some = capped.withColumn("n", sliced).filter("n <= k")
-    last = some.withColumn("n", nth).filter("n = k").select(F.col("c").alias("of"), F.struct("ts", "claim_id").alias("last"))
-    each = each.join(last, F.col("c") == F.col("of"), "left")
-    spent = (F.col("cap") > 0) & (full | F.coalesce(F.struct("ts", "claim_id") > F.col("last"), F.lit(False)))
+    each = each.withColumn("at", F.struct("ts", "claim_id", "parcel"))
+    counted = each.filter(good & F.col("most").isNotNull()).select("c", "at", "most", F.pmod(F.xxhash64("claim_id"), F.lit(64)).alias("slice"))
+    sliced = F.row_number().over(Window.partitionBy("c", "slice").orderBy("at"))
+    some = counted.withColumn("n", sliced).filter("n <= most")
+    firsts = some.groupBy(F.col("c").alias("of")).agg(F.sort_array(F.collect_list("at")).alias("firsts"))
+    each = each.join(firsts, F.col("c") == F.col("of"), "left")
+    spent = (F.col("cap") > 0) & (full | F.coalesce(F.col("at") > F.get("firsts", (F.col("cap") - F.col("download_count") - 1).cast("int")), F.lit(False)))
     outcome = F.when(F.col("found").isNull(), "invalid").when(expired, "expired").when(spent, "exhausted").when(~F.col("has"), "missing").otherwise("ok")
     return each.withColumn("outcome", outcome).select("claim_id", "code", "ts", "outcome")
 

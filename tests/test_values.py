@@ -1,8 +1,10 @@
 """Small tables of expected values, invariants, and plans."""
 
 import io
+import random
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ import __spark_entry__ as entry
 from millrace.fixtures import table
 from millrace.functions import codec, html, text
 from millrace.operators import activity, jobs, parcels, requests
+from millrace.plans import parcels as plans
 from millrace.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -116,6 +119,23 @@ def test_claims(spark):
     assert {r.claim_id: r.outcome for r in parcels.settle_claims(packages, claims, "text").collect()}[6] == "ok"
 
 
+@pytest.mark.parametrize("kind", ["file", "text"])
+def test_parcels_that_share_a_code(spark, kind):
+    """As the SQL of P10, where an order of each claim's parcels by id decides its ties."""
+    rng = random.Random(5)
+    ends = ["2024-01-05", "2030-01-01", None]
+    made = [(f"{i:03}", f"{rng.randrange(12):06}", rng.choice(["", "f"]), rng.choice(ends), rng.randrange(4), rng.choice([0, 0, 1]), int(rng.random() < 0.2), rng.choice(["", "", "t"])) for i in range(40)]
+    packages = spark.createDataFrame(made, "id string, code string, stored_rel string, e string, max_downloads int, download_count int, burn_after int, text_payload string").select("*", F.col("e").cast("timestamp_ntz").alias("expires_at")).drop("e")
+    claims = spark.createDataFrame([(i, f"{rng.randrange(14):06}", f"2024-01-{rng.randrange(1, 9):02}") for i in range(300)], "claim_id long, code string, d string").select("claim_id", "code", F.col("d").cast("timestamp_ntz").alias("ts"))
+    con = duckdb.connect()
+    con.register("packages", packages.toPandas())
+    con.register("claims", claims.toPandas())
+    sql = plans._settled(kind).replace("$", "").replace("k.has,\n", "k.has, k.id,\n").replace("SELECT code, expires_at,", "SELECT id, code, expires_at,").replace("ORDER BY ts, claim_id", "ORDER BY ts, claim_id, id")
+    want = con.execute(f"SELECT claim_id, code, outcome FROM ({sql})").fetchall()
+    got = [tuple(r) for r in parcels.settle_claims(packages, claims, kind).select("claim_id", "code", "outcome").collect()]
+    assert sorted(got) == sorted(want) and len({x[2] for x in got}) == 5
+
+
 def test_codes(spark):
     out = parcels.assign_codes(spark.range(30).select(F.col("id").cast("string")), spark.createDataFrame([("000000",)], "code string"))
     codes = [r.code for r in out.collect()]
