@@ -257,44 +257,64 @@ def idle_sweep_stream(requests: DataFrame, idle_s: int = 3600, key: str = "clien
     return rows.withWatermark("at", late).groupBy("key").transformWithStateInPandas(_Idle(idle_s), "key string, last long", "append", "EventTime")
 
 
+#: Digits of a code that name its bucket: 10,000 of them, of a hundred six-digit codes each.
+BUCKET = 4
+
+
 class _Settle(StatefulProcessor):
-    """State is how many downloads of a parcel have been used beyond its ledger's count, and whether it is burnt.
+    """R10 by buckets of codes: state is how many good claims each capped code has had beyond its ledger's count, and its parcels' end.
 
-    With `expire` a timer clears it when the watermark has passed the parcel's end: later claims find it expired anyway.
+    A bucket is read and written once for a micro-batch, not once for each code. With `expire` timers take codes out
+    whose end the watermark has passed: later claims find them expired anyway. Claims without a parcel need no state;
+    their keys begin with `~`.
     """
 
     def __init__(self, expire: bool):
         self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.used = handle, handle.getValueState("used", "n bigint, burnt boolean", ttlDurationMs=None)
+        self.handle, self.state = handle, handle.getValueState("used", "codes array<string>, used array<bigint>, ends array<bigint>")
+
+    def load(self) -> dict[str, tuple[int, int]]:
+        return {c: (int(n), int(end)) for c, n, end in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+
+    def save(self, own: dict[str, tuple[int, int]]) -> None:
+        if own:
+            self.state.update((list(own), [n for n, _ in own.values()], [end for _, end in own.values()]))
+            if self.expire:
+                self.handle.registerTimer(min(end for _, end in own.values()) // 1000 + 1)
+        else:
+            self.state.clear()
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.used.update((int(initialState["used"].sum()), bool(initialState["burnt"].any())))
+        own = self.load()
+        for x in initialState.itertuples(index=False):
+            own[x.code] = own.get(x.code, (0, 0))[0] + max(int(x.used), int(x.burnt)), int(x.ends)
+        self.save(own)
 
     def handleInputRows(self, key, rows, timerValues):
-        used, burnt = self.used.get() if self.used.exists() else (0, False)
-        used, out, end = int(used), [], None
-        for x in _sorted(rows, "t", "claim_id").itertuples(index=False):
-            if not x.found:
-                outcome = "invalid"
-            elif x.expired:
-                outcome = "expired"
-            elif burnt or x.cap > 0 and x.download_count + used >= x.cap:
-                outcome = "exhausted"
-            elif not x.has:
-                outcome = "missing"
-            else:
-                outcome, used, burnt = "ok", used + 1, bool(x.burn)
-            end = None if pd.isna(x.ends) else int(x.ends)
-            out.append((int(x.claim_id), x.raw, outcome))
-        self.used.update((used, burnt))
-        if self.expire and end is not None:
-            self.handle.registerTimer(end // 1000 + 1)
-        yield pd.DataFrame(out, columns=["claim_id", "code", "outcome"])
+        if key[0].startswith("~"):
+            for part in rows:
+                yield part[["claim_id", "raw"]].set_axis(["claim_id", "code"], axis=1).assign(outcome="invalid")
+            return
+        own, out, changed = self.load(), [], False
+        claims = _sorted(rows, "t", "claim_id", "parcel")
+        columns = (claims[c].tolist() for c in ("c", "expired", "cap", "download_count", "has", "ends"))
+        for code, expired, cap, count, has, end in zip(*columns, strict=True):
+            used = own[code][0] if code in own else 0
+            spent = cap > 0 and count + used >= cap
+            out.append("expired" if expired else "exhausted" if spent else "missing" if not has else "ok")
+            if not expired and has and not 0 < cap <= count:
+                own[code] = used + 1, max(int(end), own[code][1] if code in own else 0)
+                changed = True
+        if changed:
+            capped = set(claims["c"][claims["cap"] > 0]) | (own.keys() - set(claims["c"]))
+            self.save({c: x for c, x in own.items() if c in capped})
+        yield pd.DataFrame({"claim_id": claims["claim_id"], "code": claims["raw"], "outcome": out})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.used.clear()
+        if self.state.exists():
+            self.save({c: x for c, x in self.load().items() if x[1] // 1000 >= expiredTimerInfo.getExpiryTimeInMs()})
         return iter(())
 
     def close(self) -> None:
@@ -303,38 +323,44 @@ class _Settle(StatefulProcessor):
 
 def ledger(outcomes: DataFrame, packages: DataFrame) -> DataFrame:
     """(code, used, burnt) of settled claims: the state from which a stream of further ones goes on."""
-    burn = packages.select(F.col("code").alias("c"), (F.col("burn_after") == 1).alias("burn"))
+    burn = packages.select(F.col("code").alias("c"), (F.col("burn_after") == 1).alias("burn")).groupBy("c").agg(F.bool_or("burn").alias("burn"))
     ok = outcomes.filter("outcome = 'ok'").select(parcels.valid_code(F.col("code")).alias("c")).filter("c is not null").join(burn, "c", "left")
     return ok.groupBy(F.col("c").alias("code")).agg(F.count(F.lit(1)).alias("used"), F.coalesce(F.bool_or("burn"), F.lit(False)).alias("burnt"))
 
 
 def settle_claims_stream(packages: DataFrame, claims: DataFrame, kind: str = "file", settled: DataFrame | None = None, expire: bool = False, late: str = "1 hour") -> DataFrame:
-    """P10 on a stream of claims, joined to the table of parcels; keyed by code.
+    """P10 on a stream of claims, joined to the table of parcels; keyed by buckets of codes.
 
     settled: a `ledger` to go on from. With `expire`, claims behind the watermark are dropped (`dropped_rows` counts
-    them), and a parcel's state goes when the watermark has passed its end. Claims of one code, however written, meet.
+    them), and a code's state goes when the watermark has passed its end. Claims of one code, however written, meet.
     """
     cap = F.when(F.col("burn_after") == 1, 1).otherwise(F.col("max_downloads")).cast("long")
     has = (F.col("text_payload") != "") if kind == "text" else (F.col("text_payload") == "") & (F.col("stored_rel") != "")
-    known = packages.select(F.col("code").alias("c"), "expires_at", cap.alias("cap"), F.col("download_count").cast("long"), has.alias("has"), (F.col("burn_after") == 1).alias("burn"), F.lit(True).alias("found"))
+    parcel = F.col("id") if "id" in packages.columns else F.lit("")
+    known = packages.select(F.col("code").alias("c"), "expires_at", cap.alias("cap"), F.col("download_count").cast("long"), has.alias("has"), F.coalesce(parcel, F.lit("")).alias("parcel"), F.lit(True).alias("found"))
     at = F.col("ts").cast("timestamp")
     claims = claims.withColumn("at", at).withWatermark("at", late) if expire else claims.withColumn("at", at)
     rows = claims.withColumn("c", parcels.valid_code(F.col("code"))).join(known, "c", "left")
+    bucket = lambda code: F.left(code, F.lit(BUCKET))
+    apart = F.concat(F.lit("~"), F.pmod(F.xxhash64("claim_id"), F.lit(256)).cast("string"))
     rows = rows.select(
-        F.coalesce("c", "code", F.lit("")).alias("key"),
+        F.when(F.col("found"), bucket(F.col("c"))).otherwise(apart).alias("key"),
+        F.coalesce("c", F.lit("")).alias("c"),
         F.coalesce("code", F.lit("")).alias("raw"),
         "at",
         F.unix_micros("at").alias("t"),
         F.col("claim_id").cast("long").alias("claim_id"),
-        F.coalesce("found", F.lit(False)).alias("found"),
+        F.coalesce("parcel", F.lit("")).alias("parcel"),
         F.coalesce(F.col("expires_at") <= F.col("ts"), F.lit(True)).alias("expired"),
-        F.unix_micros(F.col("expires_at").cast("timestamp")).alias("ends"),
+        F.coalesce(F.unix_micros(F.col("expires_at").cast("timestamp")), F.lit(0)).alias("ends"),
         F.coalesce("cap", F.lit(0)).cast("long").alias("cap"),
         F.coalesce("download_count", F.lit(0)).cast("long").alias("download_count"),
         F.coalesce("has", F.lit(False)).alias("has"),
-        F.coalesce("burn", F.lit(False)).alias("burn"),
     )
-    start = None if settled is None else settled.select(F.col("code").alias("key"), F.col("used").cast("long").alias("used"), "burnt").groupBy("key")
+    start = None
+    if settled is not None:
+        ends = known.groupBy(F.col("c").alias("code")).agg(F.max(F.unix_micros(F.col("expires_at").cast("timestamp"))).alias("ends"))
+        start = settled.join(ends, "code").select(bucket(F.col("code")).alias("key"), "code", F.col("used").cast("long").alias("used"), "burnt", F.coalesce("ends", F.lit(0)).alias("ends")).groupBy("key")
     return rows.groupBy("key").transformWithStateInPandas(_Settle(expire), "claim_id long, code string, outcome string", "append", "EventTime" if expire else "None", initialState=start)
 
 

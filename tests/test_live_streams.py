@@ -82,6 +82,19 @@ def test_claims_go_on_from_a_ledger(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == [(1, "111111", "ok"), (2, "11 1111", "exhausted"), (3, "333333", "ok"), (4, "222222", "exhausted")]
 
 
+def test_codes_share_buckets_and_parcels_share_codes(spark, tmp_path):
+    rng = random.Random(3)
+    made = [(f"p{i:03}", f"1234{rng.randrange(60):02}", rng.randrange(4), int(rng.random() < 0.2), rng.choice(["", "rel", "rel"])) for i in range(90)]
+    packages = spark.createDataFrame(made, "id string, code string, max_downloads int, burn_after int, stored_rel string").selectExpr("*", "0 AS download_count", "'' AS text_payload", "timestamp'2030-01-01' AS expires_at")
+    claims = [(f"1234{rng.randrange(64):02}", i, i) for i in range(400)]
+    stream = _replay(spark, tmp_path, [claims[:200], claims[200:]], "code string, claim_id long, s long")
+    out, query = _run(streams.settle_claims_stream(packages, stream), tmp_path)
+    whole = spark.createDataFrame(claims, "code string, claim_id long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + START))
+    want = parcels.settle_claims(packages, whole).select("claim_id", "code", "outcome").collect()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want)) and len(want) > 500
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1  # a bucket, not a row for each code
+
+
 def test_late_claims_are_dropped_and_counted_and_state_goes(spark, tmp_path):
     claims = [[("111111", 1, 100), ("333333", 2, 100)], [("333333", 3, 9000)], [("111111", 5, 9001)], [("333333", 4, 200), ("333333", 6, 9100)]]
     stream = _replay(spark, tmp_path, claims, "code string, claim_id long, s long")
