@@ -24,11 +24,12 @@ FORMS = {
 def b64_sweep(docs: DataFrame, least: int = B64_LEAST, wrapped: bool = False) -> DataFrame:
     """Tokens of either Base64 alphabet with their bytes; `text_ok` if they are UTF-8.
 
-    wrapped: white space inside tokens that are broken over lines (64 or 76 characters each but the last) is taken out first.
+    wrapped: white space inside tokens that are broken over lines (64 or 76 characters each but the last) is taken out
+    first. Only at white space the pattern looks back.
     """
-    text = F.regexp_replace("text", r"(?<=(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_-]{64}|[A-Za-z0-9+/_-]{76}))[ \t]*\r?\n[ \t]*(?=[A-Za-z0-9+/_=-]+(?![A-Za-z0-9+/_=-]))", "") if wrapped else F.col("text")
+    text = F.regexp_replace("text", r"(?=[ \t\r\n])(?<=(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_-]{64}|[A-Za-z0-9+/_-]{76}))[ \t]*\r?\n[ \t]*(?=[A-Za-z0-9+/_=-])", "") if wrapped else F.col("text")
     token = F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{least},}}={{0,2}}(?![A-Za-z0-9+/_=-])"), F.lit(0)))
-    bare = F.regexp_replace(F.translate("token", "-_", "+/"), "=+$", "")
+    bare = F.rtrim(F.translate("token", "-_", "+/"), F.lit("="))
     rows = docs.select("doc_id", token.alias("token")).withColumn("bare", bare).filter(F.length("bare") % 4 != 1)
     padded = F.concat("bare", F.repeat(F.lit("="), ((4 - F.length("bare") % 4) % 4).cast("int")))
     data = rows.withColumn("data", F.try_to_binary(padded, F.lit("base64"))).filter("data is not null")

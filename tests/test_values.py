@@ -34,6 +34,35 @@ def test_spacing(spark, raw, out):
     assert one(spark, text.tidy_spacing(F.col("t")), t=raw) == out
 
 
+def test_spacing_takes_one_pass(spark):
+    """The passes that were made before, again and again, on texts of all kinds of neighbours."""
+    cjk, punct, rng = f"[{text.CJK}]", f"[{text.PUNCT}]", random.Random(9)
+    gaps = [
+        rf" (?<={cjk} ) *(?={cjk})",
+        rf" +(?={punct})| (?<={punct} ) *",
+        rf" (?<={cjk} ) *(?=\p{{Nd}})| (?<=\p{{Nd}} ) *(?={cjk})",
+        rf" (?<={cjk} ) *(?=[A-Za-z]{{1,4}}(?![A-Za-z]))| (?<=(?<![A-Za-z])[A-Za-z]{{1,4}} ) *(?={cjk})",
+    ]
+    texts = ["".join(rng.choice(["中", "文", "，", "'", "a", "bc", "defgh", "7", " ", " ", "  ", "\u3000", "-", "\n"]) for _ in range(40)) for _ in range(400)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = F.regexp_replace("t", text.ODD_SPACE, " ")
+    for gap in gaps * 3:
+        want = F.regexp_replace(want, gap, "")
+    rows = frame.select(text.tidy_spacing(F.col("t")).alias("got"), F.regexp_replace(want, " {2,}", " ").alias("want"))
+    assert all(r.got == r.want for r in rows.collect())
+    plan = frame.select(text.tidy_spacing(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 3
+
+
+def test_wrapped_tokens_look_back_only_at_white_space(spark):
+    token = "QUJD" * 40
+    rows = [(1, f"{token[:76]}\n {token[76:152]}\r\n\t{token[152:]} x"), (2, f"{token[:60]}\n{token[60:]}"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = codec.b64_sweep(docs, wrapped=True)
+    assert [(r.doc_id, r.token) for r in found.orderBy("doc_id", "token").collect()] == [(1, token), (2, token[:60]), (2, token[60:])]
+    assert "(?=[ \\t\\r\\n])(?<=" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("raw, out", [("exam-\nple", "example"), ("你好\n世界", "你好世界"), ("结束。\n下一句", "结束。\n下一句"), ("a\nb", "a b"), ("", "")])
 def test_unwrap(spark, raw, out):
     assert one(spark, text.unwrap_soft_lines(F.col("t")), t=raw) == out
