@@ -177,19 +177,17 @@ BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u30
 def tidy_spacing(text: Column) -> Column:
     """Odd spaces are plain ones; none within CJK, around its punctuation, or between CJK and digits or Latin words of up to four letters; runs of spaces are one."""
     cjk, punct = f"[{CJK}]", f"[{PUNCT}]"
-    # each begins with a space, so that only spaces are looked at
+    # A run of spaces goes, or stays, by what stands on its two sides, and these never change: one pass does. Each
+    # match begins with a space, so that only spaces are looked at.
     gaps = [
-        rf" (?<={cjk} ) *(?={cjk})",
-        rf" +(?={punct})| (?<={punct} ) *",
-        rf" (?<={cjk} ) *(?=\p{{Nd}})| (?<=\p{{Nd}} ) *(?={cjk})",
-        rf" (?<={cjk} ) *(?=[A-Za-z]{{1,4}}(?![A-Za-z]))| (?<=(?<![A-Za-z])[A-Za-z]{{1,4}} ) *(?={cjk})",
+        rf"(?<={cjk} ) *(?={cjk}|\p{{Nd}}|[A-Za-z]{{1,4}}(?![A-Za-z]))",
+        rf" *(?={punct})",
+        rf"(?<={punct} ) *",
+        rf"(?<=\p{{Nd}} ) *(?={cjk})",
+        rf"(?<=(?<![A-Za-z])[A-Za-z]{{1,4}} ) *(?={cjk})",
     ]
-    plain = F.regexp_replace(text, ODD_SPACE, " ")
-    out = plain
-    for gap in gaps * 3:
-        out = F.regexp_replace(out, gap, "")
-    out = F.when(plain.rlike(f" {punct}|{punct} |{cjk} | {cjk}"), out).otherwise(plain)
-    return F.regexp_replace(out, " {2,}", " ")
+    tight = F.regexp_replace(F.regexp_replace(text, ODD_SPACE, " "), f" (?:{'|'.join(gaps)})", "")
+    return F.get(F.transform(F.array(tight), lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x)), F.lit(0))
 
 
 def unwrap_soft_lines(text: Column) -> Column:
