@@ -18,6 +18,11 @@ _FIXED = f"SELECT start, client, n FROM (SELECT strftime(make_timestamp(CAST(flo
 PARTS = 4
 
 
+def _file(rows: DataFrame, folder: str) -> None:
+    """One more file of a stream: found by many tasks, and in small row groups, so that many read it."""
+    rows.repartition(1).write.mode("append").option("parquet.block.size", 8 << 20).parquet(folder)
+
+
 def _parts(df: DataFrame, ts: str, back: str = "0 seconds") -> DataFrame:
     """A stream of a table's rows, a file a micro-batch in order of time: as many equal spans of time, each file with
     the last rows of the one before it (of `back`) once more. Rows without time are in the first."""
@@ -29,7 +34,7 @@ def _parts(df: DataFrame, ts: str, back: str = "0 seconds") -> DataFrame:
         again = F.expr(f"INTERVAL '{back}'") if i else F.expr("INTERVAL '0 seconds'")
         after = (F.col(ts).cast("timestamp") + again).cast("timestamp")
         fine = (F.unix_micros(after) / 1e6 >= low + i * span) & ((at < low + (i + 1) * span) | F.lit(i == PARTS - 1))
-        df.filter(fine | (F.col(ts).isNull() & F.lit(i == 0))).coalesce(1).write.mode("append").parquet(folder)
+        _file(df.filter(fine | (F.col(ts).isNull() & F.lit(i == 0))), folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -50,7 +55,7 @@ def _current(s: SparkSession, d: str) -> DataFrame:
     """J1 from files that come in no order of time, upserted into a stored table batch by batch."""
     updates, folder = table(s, d, "job_updates"), scratch(s)
     for i in (2, 0, 3, 1):
-        updates.filter(F.pmod(F.xxhash64("seq"), F.lit(PARTS)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        _file(updates.filter(F.pmod(F.xxhash64("seq"), F.lit(PARTS)) == i), f"{folder}/in")
     stream = s.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     st.stateful(s)
     st.run_batches(st.current_jobs_stream(stream), st.upsert_batch(f"{folder}/jobs", "job_id"), f"{folder}/state", "update")

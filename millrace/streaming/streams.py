@@ -168,46 +168,15 @@ def deduplicated(stream: DataFrame, key: str = "event_id", late: str = "1 hour")
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-class _Current(StatefulProcessor):
-    """State is a map with an entry for each field of a job: its value, and when that was written."""
-
-    def __init__(self, fields: tuple[str, ...]):
-        self.fields = fields
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("fields", "name string", "value string, t bigint, seq bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        new: dict[str, tuple] = {}
-        for part in rows:
-            at = list(zip(part["t"], part["seq"], strict=True))
-            for field in ("updated_at", *self.fields):
-                values = at if field == "updated_at" else part[field]
-                own = [(int(t), int(i), str(v)) for (t, i), v in zip(at, values, strict=True) if field == "updated_at" or v is not None]
-                if own:
-                    new[field] = max(own) if field not in new else max(new[field], max(own))
-        row = [key[0]]
-        for field in (*self.fields, "updated_at"):
-            old = self.state.getValue((field,)) if self.state.containsKey((field,)) else None
-            if field in new and (old is None or new[field][:2] >= (old[1], old[2])):
-                t, i, v = new[field]
-                self.state.updateValue((field,), (v, t, i))
-                old = (v, t, i)
-            row.append(None if old is None else int(old[1]) if field == "updated_at" else old[0])
-        yield pd.DataFrame([row], columns=["job_id", *self.fields, "t"])
-
-    def close(self) -> None:
-        pass
-
-
 def current_jobs_stream(updates: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """J1 on a stream: the whole row of each job (fields as strings, t in microseconds) whenever it changes, for `upsert_batch`.
 
-    The last write of a field wins by (ts, seq), in whatever order updates come. Updates without job_id or ts are dropped.
+    The last write of a field wins by (ts, seq), in whatever order updates come. Updates without job_id or ts are
+    dropped. State is a row for each job: for each field its last value, and when that was written.
     """
     rows = updates.filter("job_id is not null and ts is not null").select("job_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("seq").cast("long").alias("seq"), *(F.col(f).cast("string") for f in fields))
-    shape = ", ".join(["job_id string", *(f"{f} string" for f in fields), "t long"])
-    return rows.groupBy("job_id").transformWithStateInPandas(_Current(fields), shape, "update", "None")
+    lasts = (F.max(F.when(F.col(f).isNotNull(), F.struct("t", "seq", F.col(f).alias("v")))).alias(f) for f in fields)
+    return rows.groupBy("job_id").agg(*lasts, F.max("t").alias("t")).select("job_id", *(F.col(f)["v"].alias(f) for f in fields), "t")
 
 
 def upsert_batch(path: str, key: str, folders: int = 16) -> Callable[[DataFrame, int], None]:

@@ -65,6 +65,28 @@ def test_current_jobs_in_any_order(spark, tmp_path):
     assert got == want
 
 
+def test_current_jobs_need_no_python_state(spark, tmp_path):
+    stream = _replay(spark, tmp_path, [[("j", 1, 5, "a", None, None)], [("j", 2, 4, "b", 7, None)], [(None, 3, 9, "c", 8, "e")]], "job_id string, seq long, s long, status string, progress_permille long, error string")
+    current = streams.current_jobs_stream(stream)
+    assert "TransformWithState" not in current._jdf.queryExecution().logical().toString()
+    out, query = _run(current, tmp_path, "update")
+    assert [tuple(r)[:4] for r in out.orderBy(F.col("progress_permille").desc_nulls_last()).collect()] == [("j", "a", "7", None), ("j", "a", None, None)]
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_a_file_of_a_stream_is_read_by_many(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from millrace.plans.streams import _file
+
+    rows = spark.range(0, 3_000_000, 1, 4).select(F.xxhash64("id").alias("a"))
+    _file(rows, f"{tmp_path}/in")
+    (path,) = glob.glob(f"{tmp_path}/in/*.parquet")
+    assert pq.ParquetFile(path).num_row_groups > 1 and pq.ParquetFile(path).metadata.num_rows == 3_000_000
+
+
 def _parcels(spark):
     made = [("111111", 0, 2, 0, ""), ("222222", 1, 0, 1, ""), ("333333", 0, 0, 0, "")]
     ends = F.timestamp_seconds(F.lit(START) + 5000)
