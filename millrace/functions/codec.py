@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import pieces
+
 #: Least length of a Base64 token in a sweep; ours.
 B64_LEAST = 24
 # Forms of escapes, as Java patterns.
@@ -81,7 +83,7 @@ def unescape(rows: DataFrame, key: str, column: str, mode: str = "auto", passes:
     some = rows.filter(F.col(column).rlike("|".join(FORMS.values()))).select(F.col(key).cast("long"), column)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 try:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import pieces
+
 # Hints in attributes of main content and of the rest, tags, least score; schemes of links.
 MAIN = re.compile(
     r"(cnblogs_post_body|post_body|article[-_]?content|entry[-_]?content|"
@@ -278,7 +280,7 @@ def html_to_markdown(pages: DataFrame, tables: bool = True) -> DataFrame:
     """(page_id, markdown, input_chars, output_chars, blocks); links are resolved against the page's url."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             pages_, urls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             done = [markdown(p or "", u or "", tables) for p, u in zip(pages_, urls, strict=True)]
             blocks = pa.array([list(b.items()) for _, b in done], pa.map_(pa.string(), pa.int32()))

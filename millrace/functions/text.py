@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pieces
+
 _CJK = r"\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 #: Line breaks as Python's splitlines sees them.
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -100,7 +102,7 @@ def grep(docs: DataFrame, pattern: str, flags: str = "", count: int = 0) -> Data
     group = pa.list_(pa.struct([("index", pa.int32()), ("name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids, pos, starts, ends, texts, groups = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for i, m in enumerate(wanted.finditer(text or "")):
@@ -129,7 +131,7 @@ def replace_some(docs: DataFrame, pattern: str, replacement: str, count: int, fl
     python = re.sub(r"\$(?:\{(\w+)\}|(\d+))", lambda m: rf"\g<{m[1] or m[2]}>", replacement.replace("\\", r"\\"))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             done = [wanted.subn(python, t or "", count=max(0, count)) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], ["doc_id", "text", "replace_count"])
 

@@ -297,3 +297,13 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in activity.recent(records)._jdf.queryExecution().toString()
     assert "LeftAnti" in activity.delete_ids(records, spark.createDataFrame([("1",)], "id string"))._jdf.queryExecution().executedPlan().toString()
     assert requests.sliding_record(table(spark, SF, "requests"), 3, 60)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_large_batches_are_handled_in_pieces():
+    import pyarrow as pa
+
+    from millrace.session import pieces
+
+    batch = pa.record_batch([pa.array(range(1000))], ["n"])
+    got = list(pieces([batch, batch.slice(0, 0), batch.slice(0, 1)]))
+    assert max(map(len, got)) == 64 and [x for p in got for x in p.column(0).to_pylist()] == [*range(1000), 0]
