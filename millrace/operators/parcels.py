@@ -136,36 +136,95 @@ def assign_codes(new: DataFrame, used: DataFrame, seed: int = 7, space: int | No
     return _numbered(new, "id").join(codes, "n").drop("n")
 
 
+def by_code(packages: DataFrame, kind: str = "file") -> DataFrame:
+    """A row for each six-digit code `c`: its `parcels` in order of their ids, the most downloads that one has left (null
+    if none is capped), the ends of those a claim can count against (`goods`, the last one is `until`) and of those
+    without a cap (`open`), and the last end of all (`last`).
+    """
+    cap = F.when(F.col("burn_after") == 1, 1).otherwise(F.col("max_downloads"))
+    has = (F.col("text_payload") != "") if kind == "text" else (F.col("text_payload") == "") & (F.col("stored_rel") != "")
+    full = (cap > 0) & (F.col("download_count") >= cap)
+    known = packages.filter(F.col("code").rlike("^[0-9]{6}$")).select(
+        F.col("code").alias("c"),
+        (F.col("id") if "id" in packages.columns else F.lit("")).alias("parcel"),
+        F.col("expires_at").alias("ends"),
+        F.when(cap > 0, F.when(full, 0).otherwise(cap - F.col("download_count"))).cast("long").alias("left"),
+        F.coalesce(~full & has, F.lit(False)).alias("good"),
+        F.when(cap.isNotNull(), F.coalesce(~has, F.lit(False))).alias("missing"),
+    )
+    ends = F.col("ends")
+    found = known.groupBy("c").agg(
+        F.sort_array(F.collect_list(F.struct("parcel", "ends", "left", "good", "missing"))).alias("parcels"),
+        F.max(F.when(F.col("left") > 0, F.col("left"))).alias("most"),
+        F.collect_list(F.when(F.col("good"), ends)).alias("goods"),
+        F.max(F.when(F.col("good"), ends)).alias("until"),
+        F.collect_list(F.when(F.col("left").isNull() & ~F.col("missing"), ends)).alias("open"),
+        F.max("ends").alias("last"),
+    )
+    return found.withColumn("parcels", F.transform("parcels", lambda p: p.dropFields("parcel")))
+
+
+def later(ends: str, at: Column) -> Column:
+    """How many of the ends are after a time; 0 for none."""
+    return F.when(F.col(ends).isNotNull(), F.array_size(F.filter(ends, lambda end: end > at))).otherwise(0)
+
+
+def _outcome(p: Column, at: Column, used: Column) -> Column:
+    """What a claim gets of a parcel (null: there is none) whose code has had so many good ones."""
+    spent = p["left"] <= used
+    return F.when(p["missing"].isNull(), "invalid").when(F.coalesce(p["ends"] <= at, F.lit(True)), "expired").when(spent, "exhausted").when(p["missing"], "missing").otherwise("ok")
+
+
+def with_others(claims: DataFrame, at: Column) -> DataFrame:
+    """Claims with `before`, and `others`: for each parcel of the code how many good ones of the same claim precede it.
+    Null where that decides nothing: the most downloads are used up before the claim, or none is good."""
+    n = lambda p, k: F.array_size(F.filter(F.slice("parcels", 1, k), lambda q: q["good"] & (q["ends"] > at)))
+    return claims.withColumn("others", F.when((F.col("before") < F.col("most")) & (F.col("until") > at), F.transform("parcels", n)))
+
+
+def outcomes(claims: DataFrame, at: Column, *columns: str | Column) -> DataFrame:
+    """A row for each claim and parcel of its code: the columns and `outcome`."""
+    told = with_others(claims, at).select("*", F.posexplode_outer("parcels").alias("k", "p"))
+    return told.select(*columns, _outcome(F.col("p"), at, F.col("before") + F.coalesce(F.get("others", F.col("k")), F.lit(0))).alias("outcome"))
+
+
+def _counted(packages: DataFrame, claims: DataFrame, kind: str) -> DataFrame:
+    """Each claim once, with what `by_code` tells of its code and `before`, the code's good ones before it: exact as
+    long as a parcel has that many downloads left. A claim is good once for each parcel.
+
+    Where k downloads are left, only the first k good claims count; they are sought among those of each of 64 slices of
+    the code's claims, so a code with a great part of all claims is dealt to many tasks.
+    """
+    each = claims.withColumn("c", valid_code(F.col("code"))).join(by_code(packages, kind), "c", "left").withColumn("at", F.struct("ts", "claim_id"))
+    good = F.col("until") > F.col("ts")
+    counted = each.filter(good & F.col("most").isNotNull()).select("c", "at", "most", later("goods", F.col("ts")).alias("n"), F.pmod(F.xxhash64("claim_id"), F.lit(64)).alias("slice"))
+    some = counted.withColumn("place", F.row_number().over(Window.partitionBy("c", "slice").orderBy("at"))).filter("place <= most")
+    firsts = some.groupBy(F.col("c").alias("of")).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("firsts"), F.max("most").cast("int").alias("k"))
+    # the claim of each good one, to the k-th
+    nth = F.flatten(F.transform(F.slice("firsts", 1, F.col("k")), lambda x: F.array_repeat(x["at"], x["n"])))
+    firsts = firsts.select("of", F.slice(nth, 1, F.col("k")).alias("nth"))
+    at = F.col("at")
+    before = F.when(F.col("nth").isNull(), 0).when(at > F.element_at("nth", -1), F.array_size("nth")).when(good, F.array_position("nth", at) - 1).otherwise(F.array_size(F.filter("nth", lambda x: x < at)))
+    return each.join(firsts, F.col("c") == F.col("of"), "left").withColumn("before", before)
+
+
 def settle_claims(packages: DataFrame, claims: DataFrame, kind: str = "file") -> DataFrame:
     """P10: the outcome of every claim: invalid, expired, exhausted, missing or ok, tested in this order.
 
-    Only a claim that is otherwise good uses a download up. Where k downloads are left, all claims after the
-    k-th good one of their code find it spent; the first good ones are sought among those of each of 64 slices of
-    the code's good claims, so a code with a great part of all claims is dealt to many tasks.
-    A burnt parcel keeps no payload, yet later claims read `exhausted` first. A null code is invalid.
-    Parcels that share a code share its claims: there is a row for each parcel, and good ones of all count,
-    in order of ts, claim_id and the parcel's row.
+    Only a claim that is otherwise good uses a download up. A burnt parcel keeps no payload, yet later claims read
+    `exhausted` first. A null code is invalid. Parcels that share a code share its claims: there is a row for each
+    parcel, and good ones of all count, in order of ts, claim_id and the parcel's row. Claims are counted before they
+    become such rows, so these are neither sorted nor shuffled.
     """
-    cap = F.when(F.col("burn_after") == 1, 1).otherwise(F.col("max_downloads"))
-    has = (F.col("text_payload") != "") if kind == "text" else (F.col("text_payload") == "") & (F.col("stored_rel") != "")
-    known = packages.select(F.col("code").alias("c"), "expires_at", cap.alias("cap"), "download_count", has.alias("has"), (F.col("id") if "id" in packages.columns else F.lit("")).alias("parcel"))
-    # the most downloads that a parcel of the code has left; where none is capped no claim is ever counted
-    left = F.when((F.col("cap") > 0) & (F.col("download_count") < F.col("cap")), F.col("cap") - F.col("download_count"))
-    most = known.withColumn("k", left).groupBy(F.col("c").alias("m")).agg(F.max("k").alias("most")).filter("most is not null")
-    known = known.join(most, F.col("c") == F.col("m"), "left").drop("m")
-    each = claims.withColumn("c", valid_code(F.col("code"))).join(known.withColumn("found", F.lit(True)), "c", "left")
-    expired = F.coalesce(F.col("expires_at") <= F.col("ts"), F.lit(True))
-    full = (F.col("cap") > 0) & (F.col("download_count") >= F.col("cap"))
-    good = F.col("found").isNotNull() & ~expired & ~full & F.col("has")
-    each = each.withColumn("at", F.struct("ts", "claim_id", "parcel"))
-    counted = each.filter(good & F.col("most").isNotNull()).select("c", "at", "most", F.pmod(F.xxhash64("claim_id"), F.lit(64)).alias("slice"))
-    sliced = F.row_number().over(Window.partitionBy("c", "slice").orderBy("at"))
-    some = counted.withColumn("n", sliced).filter("n <= most")
-    firsts = some.groupBy(F.col("c").alias("of")).agg(F.sort_array(F.collect_list("at")).alias("firsts"))
-    each = each.join(firsts, F.col("c") == F.col("of"), "left")
-    spent = (F.col("cap") > 0) & (full | F.coalesce(F.col("at") > F.get("firsts", (F.col("cap") - F.col("download_count") - 1).cast("int")), F.lit(False)))
-    outcome = F.when(F.col("found").isNull(), "invalid").when(expired, "expired").when(spent, "exhausted").when(~F.col("has"), "missing").otherwise("ok")
-    return each.withColumn("outcome", outcome).select("claim_id", "code", "ts", "outcome")
+    return outcomes(_counted(packages, claims, kind), F.col("ts"), "claim_id", "code", "ts")
+
+
+def used_up(packages: DataFrame, claims: DataFrame, kind: str = "file") -> DataFrame:
+    """(c, used): how many outcomes of a code are `ok`, without a row for each claim and parcel."""
+    ts = F.col("ts")
+    told = F.array_size(F.filter("parcels", lambda p, k: _outcome(p, ts, F.col("before") + F.get("others", k)) == "ok"))
+    each = with_others(_counted(packages, claims, kind), ts)
+    return each.withColumn("ok", F.when(F.col("others").isNotNull(), told).otherwise(later("open", ts))).groupBy("c").agg(F.sum("ok").alias("used")).filter("used > 0")
 
 
 def lookup(packages: DataFrame, codes: DataFrame, now: str) -> DataFrame:
@@ -180,7 +239,11 @@ def lookup(packages: DataFrame, codes: DataFrame, now: str) -> DataFrame:
 
 def apply_claims(packages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Parcels with their new download counts; a burnt one loses its payload."""
-    used = outcomes.filter("outcome = 'ok'").groupBy(valid_code(F.col("code")).alias("c")).agg(F.count(F.lit(1)).alias("used"))
+    return apply_used(packages, outcomes.filter("outcome = 'ok'").groupBy(valid_code(F.col("code")).alias("c")).agg(F.count(F.lit(1)).alias("used")))
+
+
+def apply_used(packages: DataFrame, used: DataFrame) -> DataFrame:
+    """P12 by the counts of `used_up`."""
     joined = packages.join(used, F.col("code") == F.col("c"), "left")
     burnt = (F.col("burn_after") == 1) & (F.coalesce("used", F.lit(0)) > 0)
     changed = {"download_count": F.col("download_count") + F.coalesce("used", F.lit(0)), "text_payload": F.when(burnt, "").otherwise(F.col("text_payload")), "stored_rel": F.when(burnt, "").otherwise(F.col("stored_rel"))}

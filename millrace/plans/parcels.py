@@ -93,7 +93,7 @@ QUERIES = {
         FROM (SELECT DISTINCT code FROM $claims) c LEFT JOIN ({_VIEW}) v ON c.code = v.code""",
     ),
     "p12_apply_claims": (
-        lambda s, d: p.apply_claims(_p(s, d), p.settle_claims(_p(s, d), table(s, d, "claims"))).select("id", "download_count", "stored_rel"),
+        lambda s, d: p.apply_used(_p(s, d), p.used_up(_p(s, d), table(s, d, "claims"))).select("id", "download_count", "stored_rel"),
         f"""SELECT id, download_count + coalesce(used, 0) AS download_count, CASE WHEN burn_after = 1 AND used > 0 THEN '' ELSE stored_rel END AS stored_rel
         FROM $packages LEFT JOIN (SELECT code, count(*) AS used FROM ({_settled('file')}) WHERE outcome = 'ok' GROUP BY 1) USING (code)""",
     ),

@@ -49,14 +49,13 @@ def _packages(s, d):
 
 
 def _apply(s, d):
-    """Outcomes go into the ledger; only months with a parcel that a claim used up are rewritten."""
-    outcomes = written(parcels.settle_claims(table(s, d, "packages"), table(s, d, "claims")))
-    used = outcomes.filter("outcome = 'ok'").select(parcels.valid_code(F.col("code")).alias("code")).distinct()
+    """Counts of good claims go into the ledger; only months with a parcel that a claim used up are rewritten."""
+    used = written(parcels.used_up(table(s, d, "packages"), table(s, d, "claims")))
 
     def change(path: str) -> None:
         w.recover(s, path)
-        months = [r[0] for r in w.stored(s, path, "month").join(used, "code", "left_semi").select("month").distinct().collect()]
-        w.rewrite(s, path, "month", parcels.apply_claims(w.stored(s, path, "month", months), outcomes), months)
+        months = [r[0] for r in w.stored(s, path, "month").join(used, F.col("code") == F.col("c"), "left_semi").select("month").distinct().collect()]
+        w.rewrite(s, path, "month", parcels.apply_used(w.stored(s, path, "month", months), used), months)
 
     burnt = F.count_if((F.col("burn_after") == 1) & (F.col("text_payload") == "") & (F.col("stored_rel") == ""))
     return changed(s, _packages(s, d), "month", change, F.sum("download_count").cast("long").alias("used"), burnt.alias("burnt"))

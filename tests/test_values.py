@@ -165,6 +165,18 @@ def test_parcels_that_share_a_code(spark, kind):
     assert sorted(got) == sorted(want) and len({x[2] for x in got}) == 5
 
 
+@pytest.mark.parametrize("kind", ["file", "text"])
+def test_good_claims_are_counted_without_a_row_for_each_parcel(spark, kind):
+    rng = random.Random(6)
+    made = [(f"{i:03}", f"{rng.randrange(12):06}", rng.choice(["", "f"]), rng.choice(["2024-01-05", "2030-01-01", None]), rng.randrange(5), rng.choice([0, 0, 1]), int(rng.random() < 0.2), rng.choice(["", "", "t"])) for i in range(60)]
+    packages = spark.createDataFrame(made, "id string, code string, stored_rel string, e string, max_downloads int, download_count int, burn_after int, text_payload string").select("*", F.col("e").cast("timestamp_ntz").alias("expires_at")).drop("e")
+    claims = spark.createDataFrame([(i, f"{rng.randrange(14):06}", f"2024-01-{rng.randrange(1, 9):02}") for i in range(300)], "claim_id long, code string, d string").select("claim_id", "code", F.col("d").cast("timestamp_ntz").alias("ts"))
+    used = parcels.used_up(packages, claims, kind)
+    assert " Generate" not in used._jdf.queryExecution().optimizedPlan().toString()
+    want = parcels.settle_claims(packages, claims, kind).filter("outcome = 'ok'").groupBy("code").count()
+    assert sorted(map(tuple, used.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+
+
 def test_codes(spark):
     out = parcels.assign_codes(spark.range(30).select(F.col("id").cast("string")), spark.createDataFrame([("000000",)], "code string"))
     codes = [r.code for r in out.collect()]
