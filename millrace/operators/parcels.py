@@ -169,6 +169,12 @@ def later(ends: str, at: Column) -> Column:
     return F.when(F.col(ends).isNotNull(), F.array_size(F.filter(ends, lambda end: end > at))).otherwise(0)
 
 
+def good_claims(packages: DataFrame, claims: DataFrame, kind: str = "file") -> DataFrame:
+    """(c, n): how often claims of a code are good, a claim once for each parcel, whatever is left of these."""
+    each = claims.withColumn("c", valid_code(F.col("code"))).join(by_code(packages, kind), "c")
+    return each.groupBy("c").agg(F.sum(later("goods", F.col("ts"))).cast("long").alias("n")).filter("n > 0")
+
+
 def _outcome(p: Column, at: Column, used: Column) -> Column:
     """What a claim gets of a parcel (null: there is none) whose code has had so many good ones."""
     spent = p["left"] <= used

@@ -71,7 +71,7 @@ def _resumed(s: SparkSession, d: str) -> DataFrame:
     for name, half in (("first", claims.filter(early)), ("second", claims.filter(~early))):
         half.write.parquet(f"{folder}/{name}")
         stream = s.readStream.schema(claims.schema).parquet(f"{folder}/{name}")
-        settled = st.ledger(runs[0], packages) if runs else None
+        settled = st.ledger(runs[0], packages, s.read.parquet(f"{folder}/first")) if runs else None
         runs.append(_out(s, st.settle_claims_stream(packages, stream, settled=settled)))
     return runs[0].unionByName(runs[1])
 

@@ -290,11 +290,19 @@ class _Settle(StatefulProcessor):
         pass
 
 
-def ledger(outcomes: DataFrame, packages: DataFrame) -> DataFrame:
-    """(code, used, burnt) of settled claims: the state from which a stream of further ones goes on."""
+def ledger(outcomes: DataFrame, packages: DataFrame, claims: DataFrame | None = None, kind: str = "file") -> DataFrame:
+    """(code, used, burnt) of settled claims: the state from which a stream of further ones goes on.
+
+    Where parcels share codes, outcomes don't tell how many good claims a code has had (one that finds a parcel
+    exhausted is good for it all the same): there the settled `claims` are needed, which are then counted instead.
+    """
     burn = packages.select(F.col("code").alias("c"), (F.col("burn_after") == 1).alias("burn")).groupBy("c").agg(F.bool_or("burn").alias("burn"))
     ok = outcomes.filter("outcome = 'ok'").select(parcels.valid_code(F.col("code")).alias("c")).filter("c is not null").join(burn, "c", "left")
-    return ok.groupBy(F.col("c").alias("code")).agg(F.count(F.lit(1)).alias("used"), F.coalesce(F.bool_or("burn"), F.lit(False)).alias("burnt"))
+    settled = ok.groupBy(F.col("c").alias("code")).agg(F.count(F.lit(1)).alias("used"), F.coalesce(F.bool_or("burn"), F.lit(False)).alias("burnt"))
+    if claims is None:
+        return settled
+    good = parcels.good_claims(packages, claims, kind).select(F.col("c").alias("code"), F.col("n").alias("used"))
+    return good.join(settled.select("code", "burnt"), "code", "left").withColumn("burnt", F.coalesce("burnt", F.lit(False)))
 
 
 def settle_claims_stream(packages: DataFrame, claims: DataFrame, kind: str = "file", settled: DataFrame | None = None, expire: bool = False, late: str = "1 hour") -> DataFrame:

@@ -117,6 +117,25 @@ def test_codes_share_buckets_and_parcels_share_codes(spark, tmp_path):
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1  # a bucket, not a row for each code
 
 
+def _shared(spark):
+    rng = random.Random(4)
+    made = [(f"p{i:03}", f"1234{rng.randrange(9):02}", rng.randrange(7), int(rng.random() < 0.2), rng.choice(["", "rel", "rel"]), START + rng.randrange(500)) for i in range(60)]
+    packages = spark.createDataFrame(made, "id string, code string, max_downloads int, burn_after int, stored_rel string, e long").selectExpr("*", "0 AS download_count", "'' AS text_payload", "timestamp_seconds(e) AS expires_at")
+    return packages, [(f"1234{rng.randrange(10):02}", i, i) for i in range(400)]
+
+
+def test_a_ledger_counts_good_claims_of_parcels_that_share_a_code(spark, tmp_path):
+    packages, claims = _shared(spark)
+    first = spark.createDataFrame(claims[:20], "code string, claim_id long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + START))
+    before = parcels.settle_claims(packages, first)
+    settled = streams.ledger(before, packages, first)
+    out, _ = _run(streams.settle_claims_stream(packages, _replay(spark, tmp_path, [claims[20:]], "code string, claim_id long, s long"), settled=settled), tmp_path)
+    whole = spark.createDataFrame(claims, "code string, claim_id long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + START))
+    want = parcels.settle_claims(packages, whole).select("claim_id", "code", "outcome").collect()
+    got = [*out.collect(), *before.select("claim_id", "code", "outcome").collect()]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.outcome for r in want}) == 5
+
+
 def test_late_claims_are_dropped_and_counted_and_state_goes(spark, tmp_path):
     claims = [[("111111", 1, 100), ("333333", 2, 100)], [("333333", 3, 9000)], [("111111", 5, 9001)], [("333333", 4, 200), ("333333", 6, 9100)]]
     stream = _replay(spark, tmp_path, claims, "code string, claim_id long, s long")
