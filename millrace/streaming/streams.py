@@ -233,9 +233,10 @@ BUCKET = 4
 class _Settle(StatefulProcessor):
     """R10 by buckets of codes: state is how many good claims each capped code has had beyond its ledger's count, and its parcels' end.
 
+    A claim comes once, with the number of its code's parcels it is good for, and goes on with the count before it.
     A bucket is read and written once for a micro-batch, not once for each code. With `expire` timers take codes out
-    whose end the watermark has passed: later claims find them expired anyway. Claims without a parcel need no state;
-    their keys begin with `~`.
+    whose end the watermark has passed: later claims find them expired anyway. Claims of codes without a capped parcel
+    need no state; their keys begin with `~`.
     """
 
     def __init__(self, expire: bool):
@@ -264,22 +265,19 @@ class _Settle(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         if key[0].startswith("~"):
             for part in rows:
-                yield part[["claim_id", "raw"]].set_axis(["claim_id", "code"], axis=1).assign(outcome="invalid")
+                yield part[["claim_id", "c", "raw", "t"]].assign(before=0)
             return
-        own, out, changed = self.load(), [], False
-        claims = _sorted(rows, "t", "claim_id", "parcel")
-        columns = (claims[c].tolist() for c in ("c", "expired", "cap", "download_count", "has", "ends"))
-        for code, expired, cap, count, has, end in zip(*columns, strict=True):
-            used = own[code][0] if code in own else 0
-            spent = cap > 0 and count + used >= cap
-            out.append("expired" if expired else "exhausted" if spent else "missing" if not has else "ok")
-            if not expired and has and not 0 < cap <= count:
-                own[code] = used + 1, max(int(end), own[code][1] if code in own else 0)
-                changed = True
+        own, claims = self.load(), _sorted(rows, "t", "claim_id")
+        by = claims.groupby("c", sort=False)
+        before = by["good"].cumsum() - claims["good"] + claims["c"].map({c: n for c, (n, _) in own.items()}).fillna(0).astype("int64")
+        changed = False
+        for c, good, end in by.agg({"good": "sum", "ends": "max"}).itertuples():
+            if good:
+                used, last = own.get(c, (0, int(end)))
+                own[c], changed = (used + int(good), max(int(end), last)), True
         if changed:
-            capped = set(claims["c"][claims["cap"] > 0]) | (own.keys() - set(claims["c"]))
-            self.save({c: x for c, x in own.items() if c in capped})
-        yield pd.DataFrame({"claim_id": claims["claim_id"], "code": claims["raw"], "outcome": out})
+            self.save(own)
+        yield claims[["claim_id", "c", "raw", "t"]].assign(before=before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.state.exists():
@@ -310,35 +308,34 @@ def settle_claims_stream(packages: DataFrame, claims: DataFrame, kind: str = "fi
 
     settled: a `ledger` to go on from. With `expire`, claims behind the watermark are dropped (`dropped_rows` counts
     them), and a code's state goes when the watermark has passed its end. Claims of one code, however written, meet.
+    They are counted as claims, and meet each parcel of their code behind the state, so what is shuffled grows with
+    claims, not with claims times the parcels that share a code.
     """
-    cap = F.when(F.col("burn_after") == 1, 1).otherwise(F.col("max_downloads")).cast("long")
-    has = (F.col("text_payload") != "") if kind == "text" else (F.col("text_payload") == "") & (F.col("stored_rel") != "")
-    parcel = F.col("id") if "id" in packages.columns else F.lit("")
-    known = packages.select(F.col("code").alias("c"), "expires_at", cap.alias("cap"), F.col("download_count").cast("long"), has.alias("has"), F.coalesce(parcel, F.lit("")).alias("parcel"), F.lit(True).alias("found"))
-    at = F.col("ts").cast("timestamp")
-    claims = claims.withColumn("at", at).withWatermark("at", late) if expire else claims.withColumn("at", at)
-    rows = claims.withColumn("c", parcels.valid_code(F.col("code"))).join(known, "c", "left")
+    known = parcels.by_code(packages, kind)
+    micros = lambda at: F.unix_micros(at.cast("timestamp"))
+    never = F.lit(-(1 << 63))  # of claims without time
+    claims = claims.withColumn("at", F.col("ts").cast("timestamp"))
+    claims = claims.withWatermark("at", late) if expire else claims
+    rows = claims.withColumn("c", parcels.valid_code(F.col("code"))).join(known.select("c", "goods", "most", "last"), "c", "left")
     bucket = lambda code: F.left(code, F.lit(BUCKET))
     apart = F.concat(F.lit("~"), F.pmod(F.xxhash64("claim_id"), F.lit(256)).cast("string"))
     rows = rows.select(
-        F.when(F.col("found"), bucket(F.col("c"))).otherwise(apart).alias("key"),
-        F.coalesce("c", F.lit("")).alias("c"),
-        F.coalesce("code", F.lit("")).alias("raw"),
-        "at",
-        F.unix_micros("at").alias("t"),
+        F.when(F.col("most").isNotNull(), bucket(F.col("c"))).otherwise(apart).alias("key"),
+        "c",
+        F.when(F.col("c") != F.col("code"), F.col("code")).when(F.col("c").isNull(), F.col("code")).alias("raw"),
+        F.coalesce(micros(F.col("ts")), never).alias("t"),
         F.col("claim_id").cast("long").alias("claim_id"),
-        F.coalesce("parcel", F.lit("")).alias("parcel"),
-        F.coalesce(F.col("expires_at") <= F.col("ts"), F.lit(True)).alias("expired"),
-        F.coalesce(F.unix_micros(F.col("expires_at").cast("timestamp")), F.lit(0)).alias("ends"),
-        F.coalesce("cap", F.lit(0)).cast("long").alias("cap"),
-        F.coalesce("download_count", F.lit(0)).cast("long").alias("download_count"),
-        F.coalesce("has", F.lit(False)).alias("has"),
+        parcels.later("goods", F.col("ts")).cast("long").alias("good"),
+        F.coalesce(micros(F.col("last")), F.lit(0)).alias("ends"),
+        *(["at"] if expire else []),
     )
     start = None
     if settled is not None:
-        ends = known.groupBy(F.col("c").alias("code")).agg(F.max(F.unix_micros(F.col("expires_at").cast("timestamp"))).alias("ends"))
-        start = settled.join(ends, "code").select(bucket(F.col("code")).alias("key"), "code", F.col("used").cast("long").alias("used"), "burnt", F.coalesce("ends", F.lit(0)).alias("ends")).groupBy("key")
-    return rows.groupBy("key").transformWithStateInPandas(_Settle(expire), "claim_id long, code string, outcome string", "append", "EventTime" if expire else "None", initialState=start)
+        ends = known.filter("most is not null").select(F.col("c").alias("code"), F.coalesce(micros(F.col("last")), F.lit(0)).alias("ends"))
+        start = settled.join(ends, "code").select(bucket(F.col("code")).alias("key"), "code", F.col("used").cast("long").alias("used"), "burnt", "ends").groupBy("key")
+    counted = rows.groupBy("key").transformWithStateInPandas(_Settle(expire), "claim_id long, c string, raw string, t long, before long", "append", "EventTime" if expire else "None", initialState=start)
+    micro = known.select("c", "most", micros(F.col("until")).alias("until"), F.transform("parcels", lambda p: p.withField("ends", micros(p["ends"]))).alias("parcels"))
+    return parcels.outcomes(counted.join(micro, "c", "left"), F.nullif("t", never), "claim_id", F.coalesce("raw", "c").alias("code"))
 
 
 def dropped_rows(query: StreamingQuery) -> int:

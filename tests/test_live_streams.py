@@ -136,6 +136,19 @@ def test_a_ledger_counts_good_claims_of_parcels_that_share_a_code(spark, tmp_pat
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.outcome for r in want}) == 5
 
 
+def test_claims_pass_the_state_once_however_many_parcels_share_their_code(spark, tmp_path):
+    packages, claims = _shared(spark)
+    claims.append((None, 400, 400))
+    out, query = _run(streams.settle_claims_stream(packages, _replay(spark, tmp_path, [claims], "code string, claim_id long, s long")), tmp_path)
+    whole = spark.createDataFrame(claims, "code string, claim_id long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + START))
+    want = parcels.settle_claims(packages, whole).select("claim_id", "code", "outcome").collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(out.collect(), key=key) == sorted(want, key=key) and len(want) > 1000
+    plan = query._jsq.explainInternal(False)
+    behind, before = plan.split("TransformWithState", 1)
+    assert "Generate" in behind and "Generate" not in before
+
+
 def test_late_claims_are_dropped_and_counted_and_state_goes(spark, tmp_path):
     claims = [[("111111", 1, 100), ("333333", 2, 100)], [("333333", 3, 9000)], [("111111", 5, 9001)], [("333333", 4, 200), ("333333", 6, 9100)]]
     stream = _replay(spark, tmp_path, claims, "code string, claim_id long, s long")
