@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import oracle, table
 from ..operators.catalog import tool_from_path
-from ..session import scratch, written
+from ..session import scratch
 from ..sources.files import event_stream
 from ..streaming import streams as st
 from .requests import DAY
@@ -64,7 +64,7 @@ def _current(s: SparkSession, d: str) -> DataFrame:
 
 def _resumed(s: SparkSession, d: str) -> DataFrame:
     """R10 in two runs: the second begins with the ledger of the first."""
-    packages, claims = table(s, d, "packages"), written(table(s, d, "claims"))
+    packages, claims = table(s, d, "packages"), table(s, d, "claims")
     middle = claims.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0.5)).cast("long")).first()[0] or 0
     early = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) <= middle, F.lit(True))
     runs, folder = [], scratch(s)
